@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("retrieval",)
+GROUPS = ("retrieval", "parsing", "upkeep", "rag")
 
 
 def registered() -> dict:
