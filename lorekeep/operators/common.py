@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +88,33 @@ def join_with_hot_keys(
 
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+    """Folder for intermediate tables that every executor can reach.
+
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    caller's own shared folder is used; a local session may fall back to a
+    temporary folder, a cluster may not.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_scratch()
+
+
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="lorekeep-")
+
+
+def materialize(df: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Write once, read back: for results that several plans use.
+
+    Unlike a cache, the written table survives the loss of executors.
+    """
+    path = f"{shared_folder(df.sparkSession, fallback)}/lorekeep/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators.common import join_with_hot_keys
-from lorekeep.sources.files import is_textual
+from lorekeep.sources.files import clean_path, is_below, is_textual
 
 
 def classify_files(files: DataFrame, documents: DataFrame, force: bool = False) -> DataFrame:
@@ -42,8 +42,6 @@ def classify_files(files: DataFrame, documents: DataFrame, force: bool = False)
 
 def missing_documents(documents: DataFrame, present: DataFrame, directory: str) -> DataFrame:
     """Stored documents below ``directory`` whose file is gone (``present`` has ``path``)."""
-    from lorekeep.sources.files import clean_path, is_below
-
     base = directory.rstrip("/").removeprefix("file:")
     stored = documents.withColumn("path", clean_path(F.col("file_path")))
     return stored.where(is_below(F.col("path"), base)).join(present, "path", "left_anti")

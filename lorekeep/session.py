@@ -87,6 +87,12 @@ class KnowledgeBase:
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._path = spark._jvm.org.apache.hadoop.fs.Path
 
+    def qualified(self, path: str) -> str:
+        """Absolute spelling of a path, the one that scans report."""
+        found = self._path(path)
+        scheme = found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return scheme.makeQualified(found).toString()
+
     # ------------------------------------------------------------- commits
 
     def _log(self) -> list[dict]:
