@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 TEXT, INT = T.StringType(), T.IntegerType()
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
