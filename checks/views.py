@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.chunks import ChunkRules, chunk_elements
 from lorekeep.functions.elements import text_elements
 from lorekeep.functions.text import chunk_id
-from lorekeep.operators.common import spread, unnest
+from lorekeep.operators.common import materialize, spread, unnest
 from lorekeep.plans.search import Corpus
 
 
@@ -71,11 +71,11 @@ def plain_chunks(
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks with the vector of their document, if it has one."""
+    """The stored chunk table: chunks with the vector of their document, if any."""
     vectors = read(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("document_id"), "embedding"
     )
-    return plain_chunks(spark, folder).join(vectors, "document_id", "left")
+    return materialize(plain_chunks(spark, folder).join(vectors, "document_id", "left"))
 
 
 def corpus(spark: SparkSession, folder: str, with_chunks: bool = True) -> Corpus:

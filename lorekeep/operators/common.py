@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -107,7 +109,9 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
 
 @lru_cache(maxsize=1)
 def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="lorekeep-")
+    folder = tempfile.mkdtemp(prefix="lorekeep-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialize(df: DataFrame, fallback: str | None = None) -> DataFrame:

@@ -1,26 +1,42 @@
-"""BM25 ranking over any table that has an id and a text column."""
+"""BM25 ranking over any table that has an id and a text column.
+
+There are two ways to score. Counted texts (one row per text) are scored where
+they are read: every task keeps the best rows per query and nothing else is
+shuffled. A stored index (one row per term and text, sorted by term) is read
+for the terms of the queries only, and its few rows are joined and summed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.tokens import Tokenizer, term_counts
 from lorekeep.functions.text import bind
+from lorekeep.functions.tokens import Tokenizer, term_counts
 from lorekeep.operators.common import (
+    BROADCAST_ROWS,
     broadcast_if_small,
+    has_at_most,
+    materialize,
     top_per_group,
     unnest,
     unnest_values,
 )
+from lorekeep.operators.topk import BestPerQuery, hit_schema, query_key
 
 # Default parameters of the ranking function.
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
 SALTS = 64
+# Cells of the score matrix (texts x queries) that a task holds at a time.
+SCORE_CELLS = 4_000_000
 
 
 def term_table(df: DataFrame, ids: list[str], text: str, tokenizer: Tokenizer) -> DataFrame:
@@ -56,7 +72,8 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log10((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_weight(tf: Column, doc_len: Column, avg_len: Column, idf: Column) -> Column:
+def term_weight(tf, doc_len, avg_len, idf):
+    """Weight of one term in one text; for Spark columns and for arrays alike."""
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
@@ -69,16 +86,27 @@ class LexicalIndex:
     stats: DataFrame
     ids: tuple[str, ...]
     tokenizer: Tokenizer
+    terms: DataFrame | None = None
 
     @staticmethod
     def of(
-        df: DataFrame, ids: list[str], text: str, tokenizer: Tokenizer = Tokenizer()
+        df: DataFrame,
+        ids: list[str],
+        text: str,
+        tokenizer: Tokenizer = Tokenizer(),
+        keep: bool = False,
     ) -> LexicalIndex:
-        """Derive everything from the table at query time (no stored index)."""
+        """Derive everything from the table at query time (no stored index).
+
+        Statistics, frequencies and scores each read the counted terms. With
+        ``keep`` the texts are tokenised once and the counts written, which pays
+        as soon as more than one of the three is used.
+        """
         terms = term_table(df, ids, text, tokenizer)
+        terms = materialize(terms) if keep else terms
         posted = postings(terms, ids)
         return LexicalIndex(
-            posted, document_frequency(posted), corpus_stats(terms), tuple(ids), tokenizer
+            posted, document_frequency(posted), corpus_stats(terms), tuple(ids), tokenizer, terms
         )
 
     def save(self, path: str) -> None:
@@ -168,4 +196,86 @@ def _salted_join(posted: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
 def bm25_search(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame:
     """Best ``pool`` texts per query with a 0-based rank; ties go to the lower id."""
     order = [F.desc("score"), F.asc(index.ids[0])]
-    return top_per_group(bm25_scores(index, queries), ["query_id"], order, pool)
+    scored = None
+    if index.terms is not None:
+        scored = _score_in_place(index, queries, pool)
+    if scored is None:
+        scored = bm25_scores(index, queries)
+    return top_per_group(scored, ["query_id"], order, pool)
+
+
+def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame | None:
+    """Best rows of every partition of the counted texts; None if there are too many queries.
+
+    Every task holds the queries as a sparse term-by-query table. The terms of
+    a batch are looked up in it, and the weights of all matches are summed into
+    a small texts-by-queries matrix.
+    """
+    wanted = query_terms(queries.select("query_id", "query"), index.tokenizer)
+    if not has_at_most(wanted, BROADCAST_ROWS):
+        return None
+    pairs = wanted.collect()
+    ids = list(index.ids)
+    spark = queries.sparkSession
+    spark_key, arrow_key = query_key(queries.schema["query_id"].dataType)
+    schema = hit_schema(index.terms, ids, spark_key)
+    if not pairs:
+        return spark.createDataFrame([], schema)
+
+    names = sorted({p["query_id"] for p in pairs})
+    words = sorted({p["term"] for p in pairs})
+    found = index.frequencies.where(F.col("term").isin(words)).collect()
+    size = index.stats.first()
+    df = {r["term"]: r["df"] for r in found}
+    slot = {name: n for n, name in enumerate(names)}
+    asked: dict[str, list[int]] = {}
+    for p in pairs:
+        asked.setdefault(p["term"], []).append(slot[p["query_id"]])
+    words = [w for w in words if w in df]
+    frequency = np.array([df[w] for w in words], dtype=np.float64)
+    table = spark.sparkContext.broadcast(
+        {
+            "words": words,
+            "idf": np.log10((size["n_docs"] - frequency + 0.5) / (frequency + 0.5) + 1),
+            "first": np.cumsum([0, *[len(asked[w]) for w in words]]),
+            "queries": np.array([q for w in words for q in asked[w]], dtype=np.int64),
+        }
+    )
+    avg_len, n_queries = size["avg_len"], len(names)
+    step = max(1, SCORE_CELLS // n_queries)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        lookup = pa.array(known["words"], pa.string())
+        best = BestPerQuery(names, ids, pool)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                lists = batch.column(len(ids) + 1)
+                entries = lists.flatten()
+                word = pc.index_in(entries.field("term"), lookup)
+                hit = word.is_valid().to_numpy(zero_copy_only=False)
+                word = word.drop_null().to_numpy()
+                text = pc.list_parent_indices(lists).to_numpy()[hit]
+                tf = entries.field("tf").to_numpy(zero_copy_only=False)[hit].astype(np.float64)
+                length = batch.column(len(ids)).to_numpy(zero_copy_only=False)[text]
+                weight = term_weight(tf, length, avg_len, known["idf"][word])
+                # One entry per (text, term) becomes one per query that has the term.
+                first = known["first"]
+                copies = first[word + 1] - first[word]
+                source = np.repeat(np.arange(len(word)), copies)
+                nth = np.arange(len(source)) - np.repeat(np.cumsum(copies) - copies, copies)
+                query = known["queries"][first[word[source]] + nth]
+                cells = np.bincount(
+                    text[source] * n_queries + query,
+                    weights=weight[source],
+                    minlength=batch.num_rows * n_queries,
+                ).reshape(batch.num_rows, n_queries)
+                rows = pa.table({i: batch.column(n) for n, i in enumerate(ids)})
+                for q in np.unique(query):
+                    matched = np.flatnonzero(cells[:, q] > 0)
+                    scores = np.round(cells[matched, q], SCORE_DIGITS)
+                    best.offer(q, scores, rows.take(pa.array(matched)))
+        yield from best.batches(arrow_key)
+
+    return index.terms.select(*ids, "doc_len", "terms").mapInArrow(scan, schema)

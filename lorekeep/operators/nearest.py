@@ -8,15 +8,16 @@ query, so what leaves a task is ``queries x pool`` rows, whatever it read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.operators.common import has_at_most, top_per_group
+from lorekeep.operators.topk import BestPerQuery, hit_schema, query_key
 
 SCORE_DIGITS = 8
 # Queries per pass over the vectors; larger sets are answered in several passes.
@@ -38,61 +39,33 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best_rows(scores: np.ndarray, ids: pa.Array, pool: int) -> np.ndarray:
-    """Positions of the best scores, ties by id; exact also for many equal scores."""
-    if len(scores) > pool:
-        floor = np.partition(scores, len(scores) - pool)[len(scores) - pool]
-        kept = np.flatnonzero(scores >= floor)
-    else:
-        kept = np.arange(len(scores))
-    candidates = pa.table({"score": scores[kept], "id": ids.take(pa.array(kept))})
-    order = pc.sort_indices(candidates, [("score", "descending"), ("id", "ascending")])
-    return kept[order.to_numpy()[:pool]]
-
-
-def _search_block(
-    vectors: DataFrame, ids: list[str], vector: str, block: list, pool: int, dim: int
+def _scan(
+    vectors: DataFrame, ids: list[str], vector: str, block: list, key: T.DataType, pool: int
 ) -> DataFrame:
-    spark = vectors.sparkSession
-    query_type = block[0]["_type"]
+    """Best rows of every partition for a block of queries of one dimension."""
+    spark_key, arrow_key = query_key(key)
+    dim = len(block[0]["vector"])
     names = [r["query_id"] for r in block]
-    matrix = spark.sparkContext.broadcast(
+    matrix = vectors.sparkSession.sparkContext.broadcast(
         _unit_rows(np.array([r["vector"] for r in block], dtype=np.float64))
     )
-    out_schema = T.StructType(
-        [T.StructField("query_id", query_type)]
-        + [vectors.schema[i] for i in ids]
-        + [T.StructField("score", T.DoubleType())]
-    )
-    arrow_query_type = pa.int64() if isinstance(query_type, T.LongType) else pa.string()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = matrix.value
-        best: list[pa.Table | None] = [None] * len(queries)
+        best = BestPerQuery(names, ids, pool)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             flat = batch.column(len(ids)).flatten().to_numpy(zero_copy_only=False)
             rows = _unit_rows(flat.astype(np.float64).reshape(batch.num_rows, dim))
             scores = np.round(rows @ queries.T, SCORE_DIGITS)
-            keys = batch.column(0)
             held = pa.table({i: batch.column(n) for n, i in enumerate(ids)})
             for q in range(len(queries)):
-                top = _best_rows(scores[:, q], keys, pool)
-                found = held.take(pa.array(top)).append_column(
-                    "score", pa.array(scores[top, q], pa.float64())
-                )
-                if best[q] is not None:
-                    both = pa.concat_tables([best[q], found])
-                    again = _best_rows(both["score"].to_numpy(), both[ids[0]], pool)
-                    found = both.take(pa.array(again))
-                best[q] = found
-        for name, found in zip(names, best):
-            if found is not None:
-                column = pa.array([name] * len(found), arrow_query_type)
-                yield from found.add_column(0, "query_id", column).combine_chunks().to_batches()
-
-    return vectors.select(*ids, vector).mapInArrow(scan, out_schema)
+                best.offer(q, scores[:, q], held)
+        yield from best.batches(arrow_key)
+
+    fitting = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == dim))
+    return fitting.select(*ids, vector).mapInArrow(scan, hit_schema(vectors, ids, spark_key))
 
 
 def knn_search(
@@ -101,32 +74,25 @@ def knn_search(
     """Best ``pool`` vectors per query: ``query_id, ids, score, rank``.
 
     ``queries`` holds ``query_id, vector``. Rows without a vector on either
-    side take no part, as do vectors of another dimension than the query's. The
+    side take no part, nor do vectors of another dimension than the query's. The
     score is the cosine similarity, i.e. one minus the cosine distance.
     """
     usable = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    query_type = usable.schema["query_id"].dataType
-    query_type = T.LongType() if isinstance(query_type, T.IntegralType) else T.StringType()
-    usable = usable.withColumn("query_id", F.col("query_id").cast(query_type))
+    key = usable.schema["query_id"].dataType
     blocks = [usable]
     if not has_at_most(usable, QUERY_BLOCK):
         n = -(-usable.count() // QUERY_BLOCK) * 2
         hashed = F.pmod(F.xxhash64("query_id"), F.lit(n))
         blocks = [usable.where(hashed == i) for i in range(n)]
 
-    found = None
+    found = []
     for block in blocks:
-        rows = [{**r.asDict(), "_type": query_type} for r in block.collect()]
+        rows = block.collect()
         for dim in sorted({len(r["vector"]) for r in rows}):
             group = [r for r in rows if len(r["vector"]) == dim]
-            fitting = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == dim))
-            hits = _search_block(fitting, ids, vector, group, pool, dim)
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        schema = T.StructType(
-            [T.StructField("query_id", query_type)]
-            + [vectors.schema[i] for i in ids]
-            + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-        )
-        return vectors.sparkSession.createDataFrame([], schema)
-    return top_per_group(found, ["query_id"], [F.desc("score"), F.asc(ids[0])], pool)
+            found.append(_scan(vectors, ids, vector, group, key, pool))
+    if not found:
+        nothing = hit_schema(vectors, ids, query_key(key)[0])
+        found = [vectors.sparkSession.createDataFrame([], nothing)]
+    hits = reduce(DataFrame.unionByName, found)
+    return top_per_group(hits, ["query_id"], [F.desc("score"), F.asc(ids[0])], pool)

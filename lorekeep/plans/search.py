@@ -38,6 +38,7 @@ class Corpus:
             ["id"],
             "raw_text",
             self.tokenizer,
+            keep=True,
         )
 
     def lexical_chunks(self) -> LexicalIndex:
@@ -46,6 +47,7 @@ class Corpus:
             ["id", "document_id"],
             "text",
             self.tokenizer,
+            keep=True,
         )
 
 
