@@ -36,8 +36,8 @@ def content(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding"
     )
-    rows = texts(spark, folder).select("doc_id", F.col("text").alias("raw_text"))
-    return rows.join(vectors, "doc_id", "left").select(
+    rows = read(spark, folder, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    return spread(rows).join(vectors, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("document_id"), "raw_text", "embedding"
     )
 

@@ -107,32 +107,37 @@ def promote_parent(parent_text: Column, text: Column) -> Column:
     return F.coalesce(_nonblank(parent_text), text)
 
 
-def _wanted(ranked: DataFrame, bounded: bool) -> DataFrame:
-    ids = ranked.select("id").distinct()
-    return F.broadcast(ids) if bounded else ids
+# Up to this many ids are also handed to the scans as literals.
+LITERAL_IDS = 1000
+
+
+def _look_up(table: DataFrame, column: str, ranked: DataFrame, wanted: str) -> DataFrame:
+    """Rows of a big table that can match, found by file statistics if ids are few.
+
+    The stored tables are sorted by id and carry bloom filters, so literal ids
+    skip row groups: fetching k rows does not read a whole text column.
+    """
+    ids = [r[0] for r in ranked.select(wanted).distinct().limit(LITERAL_IDS + 1).collect()]
+    return table.where(F.col(column).isin(ids)) if len(ids) <= LITERAL_IDS else table
 
 
 def hydrate_documents(
-    ranked: DataFrame,
-    documents: DataFrame,
-    content: DataFrame,
-    metadata: DataFrame,
-    bounded: bool = False,
+    ranked: DataFrame, documents: DataFrame, content: DataFrame, metadata: DataFrame
 ) -> DataFrame:
     """Attach names, text and summary; ids without stored rows disappear.
 
-    ``ranked`` is already cut to k rows per query, so the big tables are
-    filtered by its ids before anything wide moves. ``bounded`` says that the
-    number of queries was checked, which makes those ids safe to broadcast.
+    ``ranked`` is a written table of k rows per query. Its size is known to the
+    planner, which broadcasts it while it is small, so that the big tables are
+    filtered where they are read, and shuffles otherwise.
     """
-    wanted = _wanted(ranked, bounded)
-    docs = documents.select("id", "file_name", "file_path").join(wanted, "id", "left_semi")
-    texts = content.select(F.col("document_id").alias("id"), "raw_text").join(
-        wanted, "id", "left_semi"
+    docs = _look_up(documents, "id", ranked, "id").select("id", "file_name", "file_path")
+    texts = _look_up(content, "document_id", ranked, "id").select(
+        F.col("document_id").alias("id"), "raw_text"
     )
-    notes = metadata.select(F.col("document_id").alias("id"), "summary").join(
-        wanted, "id", "left_semi"
+    notes = _look_up(metadata, "document_id", ranked, "id").select(
+        F.col("document_id").alias("id"), "summary"
     )
+    notes = notes.join(ranked.select("id"), "id", "left_semi")
     return (
         ranked.join(docs, "id").join(texts, "id").join(notes, "id", "left")
         .select(
@@ -143,27 +148,24 @@ def hydrate_documents(
 
 
 def hydrate_chunks(
-    ranked: DataFrame,
-    chunks: DataFrame,
-    documents: DataFrame,
-    metadata: DataFrame,
-    bounded: bool = False,
+    ranked: DataFrame, chunks: DataFrame, documents: DataFrame, metadata: DataFrame
 ) -> DataFrame:
     """Attach chunk, file name and summary; see :func:`hydrate_documents`."""
-    wanted = _wanted(ranked, bounded)
-    parts = chunks.select(
+    parts = _look_up(chunks, "id", ranked, "id").select(
         "id", "document_id", "chunk_index", "text", "parent_text", "element_type",
         "page_number", "section",
-    ).join(wanted, "id", "left_semi")
-    rows = ranked.drop("document_id").join(parts, "id")
-    found = _wanted(rows.select(F.col("document_id").alias("id")), bounded)
-    found = found.withColumnRenamed("id", "document_id")
-    names = documents.select(F.col("id").alias("document_id"), "file_name", "file_path").join(
-        found, "document_id", "left_semi"
+    )
+    names = _look_up(documents, "id", ranked, "document_id").select(
+        F.col("id").alias("document_id"), "file_name", "file_path"
+    )
+    notes = _look_up(metadata, "document_id", ranked, "document_id")
+    notes = notes.select("document_id", "summary").join(
+        ranked.select("document_id"), "document_id", "left_semi"
     )
-    notes = metadata.select("document_id", "summary").join(found, "document_id", "left_semi")
+    # The names are joined to the small side first: the chunk has its own document.
+    named = ranked.join(names, "document_id").join(notes, "document_id", "left")
     return (
-        rows.join(names, "document_id").join(notes, "document_id", "left")
+        named.join(parts, ["id", "document_id"])
         .select(
             "query_id", "rank", F.col("id").alias("chunk_id"), "document_id", "chunk_index",
             promote_parent(F.col("parent_text"), F.col("text")).alias("text"),

@@ -204,6 +204,44 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame
     return top_per_group(scored, ["query_id"], order, pool)
 
 
+def _count_words(terms: DataFrame, words: list[str]) -> tuple[int, float, np.ndarray]:
+    """Number of texts, their mean length and how many hold each word, in one pass.
+
+    A task emits one row per word plus one with its totals.
+    """
+    shared = terms.sparkSession.sparkContext.broadcast(words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = pa.array(shared.value, pa.string())
+        held = np.zeros(len(lookup), dtype=np.int64)
+        texts = length = 0
+        for batch in batches:
+            word = pc.index_in(batch.column(1).flatten(), lookup).drop_null().to_numpy()
+            held += np.bincount(word, minlength=len(lookup))
+            texts += batch.num_rows
+            length += pc.sum(batch.column(0)).as_py() or 0
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "slot": pa.array([-1, *seen], pa.int64()),
+                "n": pa.array([texts, *held[seen]], pa.int64()),
+                "length": pa.array([length, *[0] * len(seen)], pa.int64()),
+            }
+        )
+
+    parts = terms.select("doc_len", F.col("terms.term")).mapInArrow(
+        scan, "slot long, n long, length long"
+    )
+    totals = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    frequency, n_docs, length = np.zeros(len(words)), 0, 0
+    for row in totals.collect():  # at most one row per word of the queries
+        if row["slot"] < 0:
+            n_docs, length = row["n"], row["length"]
+        else:
+            frequency[row["slot"]] = row["n"]
+    return n_docs, (length / n_docs if n_docs else 0.0), frequency
+
+
 def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame | None:
     """Best rows of every partition of the counted texts; None if there are too many queries.
 
@@ -223,25 +261,21 @@ def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataF
         return spark.createDataFrame([], schema)
 
     names = sorted({p["query_id"] for p in pairs})
-    words = sorted({p["term"] for p in pairs})
-    found = index.frequencies.where(F.col("term").isin(words)).collect()
-    size = index.stats.first()
-    df = {r["term"]: r["df"] for r in found}
     slot = {name: n for n, name in enumerate(names)}
     asked: dict[str, list[int]] = {}
     for p in pairs:
         asked.setdefault(p["term"], []).append(slot[p["query_id"]])
-    words = [w for w in words if w in df]
-    frequency = np.array([df[w] for w in words], dtype=np.float64)
+    words = sorted(asked)
+    n_docs, avg_len, frequency = _count_words(index.terms, words)
     table = spark.sparkContext.broadcast(
         {
             "words": words,
-            "idf": np.log10((size["n_docs"] - frequency + 0.5) / (frequency + 0.5) + 1),
+            "idf": np.log10((n_docs - frequency + 0.5) / (frequency + 0.5) + 1),
             "first": np.cumsum([0, *[len(asked[w]) for w in words]]),
             "queries": np.array([q for w in words for q in asked[w]], dtype=np.int64),
         }
     )
-    avg_len, n_queries = size["avg_len"], len(names)
+    n_queries = len(names)
     step = max(1, SCORE_CELLS // n_queries)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators import fusion
-from lorekeep.operators.common import BROADCAST_ROWS, has_at_most
+from lorekeep.operators.common import materialize
 from lorekeep.operators.fusion import FusionRules
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.operators.nearest import knn_search
@@ -103,11 +103,8 @@ def hybrid_search(
     ``queries`` holds ``query_id``, ``query`` (lexical modes) and ``vector``
     (vector modes; NULL leaves the query to the lexical engine).
     """
-    ranked = fusion.best(_candidates(corpus, queries, mode, rules, chunks=False), k)
-    bounded = has_at_most(queries, BROADCAST_ROWS // k)
-    return fusion.hydrate_documents(
-        ranked, corpus.documents, corpus.content, corpus.metadata, bounded
-    )
+    ranked = materialize(fusion.best(_candidates(corpus, queries, mode, rules, chunks=False), k))
+    return fusion.hydrate_documents(ranked, corpus.documents, corpus.content, corpus.metadata)
 
 
 def hybrid_search_chunks(
@@ -120,11 +117,8 @@ def hybrid_search_chunks(
 ) -> DataFrame:
     """Best ``k`` chunks per query, at most ``per_document`` of one document."""
     found = _candidates(corpus, queries, mode, rules, chunks=True)
-    ranked = fusion.diversify(found, per_document, k)
-    bounded = has_at_most(queries, BROADCAST_ROWS // k)
-    return fusion.hydrate_chunks(
-        ranked, corpus.chunks, corpus.documents, corpus.metadata, bounded
-    )
+    ranked = materialize(fusion.diversify(found, per_document, k))
+    return fusion.hydrate_chunks(ranked, corpus.chunks, corpus.documents, corpus.metadata)
 
 
 def chunks_or_documents(

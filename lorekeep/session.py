@@ -61,6 +61,7 @@ def build_session(app: str = "lorekeep", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
         **conf,
     }
     for name, value in options.items():
@@ -144,7 +145,14 @@ class KnowledgeBase:
                 .alias(f.name)
                 for f in schema
             ]
-            rows.select(*columns).write.mode("overwrite").parquet(self._dir(table, batch))
+            key = PRIMARY_KEY[table]
+            (
+                rows.select(*columns)
+                .sortWithinPartitions(key)
+                .write.mode("overwrite")
+                .option(f"parquet.bloom.filter.enabled#{key}", "true")
+                .parquet(self._dir(table, batch))
+            )
             parts["rows"].append(table)
         for table in TABLES:
             keys = []
