@@ -83,7 +83,7 @@ def ingest_files(
     dim = kb.settings.embed_dim
     chunks = build_chunks(good, rules) if with_chunks else None
     counts = None
-    upserts = {
+    inserts = {
         "documents": good.select(
             "id", X.basename(F.col("path")).alias("file_name"), F.col("path").alias("file_path"),
             F.lit(category).alias("category"), F.current_timestamp().alias("indexed_at"),
@@ -98,13 +98,13 @@ def ingest_files(
         counts = chunks.groupBy(F.col("document_id").alias("id")).agg(
             F.count(F.lit(1)).alias("n_chunks")
         )
-        upserts["chunks"] = chunks.withColumn("embedding", _vector(embedder, dim, F.col("text")))
+        inserts["chunks"] = chunks.withColumn("embedding", _vector(embedder, dim, F.col("text")))
     replaced = good.where(F.col("old_id").isNotNull()).select(F.col("old_id").alias("id"))
     if force:
         replaced = replaced.unionByName(good.select("id"))
     if not good.isEmpty():
         removed = {} if replaced.isEmpty() else kb.keys_of_documents(replaced)
-        kb.commit(upserts, removed)
+        kb.commit(inserts=inserts, removed=removed)
 
     result = state.join(found.select("path", "failure", "extract_error"), "path", "left")
     if counts is not None:
@@ -174,5 +174,6 @@ def rechunk(
     chunks = build_chunks(rows, rules)
     vector = _vector(embedder, kb.settings.embed_dim, F.col("text"))
     return kb.commit(
-        {"chunks": chunks.withColumn("embedding", vector)}, {"chunks": kb.chunks.select("id")}
+        inserts={"chunks": chunks.withColumn("embedding", vector)},
+        removed={"chunks": kb.chunks.select("id")},
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -128,16 +129,20 @@ class KnowledgeBase:
         self,
         upserts: dict[str, DataFrame] | None = None,
         removed: dict[str, DataFrame] | None = None,
+        inserts: dict[str, DataFrame] | None = None,
         full: bool = False,
     ) -> int:
         """Publish rows and removals of any number of tables at once.
 
-        ``upserts`` replace rows of the same primary key, ``removed`` holds one
-        column of primary keys per table. ``full`` starts over from these rows.
+        ``upserts`` replace rows of the same primary key, ``inserts`` are known
+        to have none, ``removed`` holds one column of primary keys per table.
+        ``full`` starts over from these rows. The tables are written side by
+        side, so that a short one does not wait for a long one.
         """
         batch = self._next()
-        parts: dict[str, list[str]] = {"rows": [], "gone": []}
-        for table, rows in (upserts or {}).items():
+        upserts, removed, inserts = upserts or {}, removed or {}, inserts or {}
+
+        def write_rows(table: str, rows: DataFrame) -> None:
             schema = TABLES[table]
             columns = [
                 (F.col(f.name) if f.name in rows.columns else F.lit(None))
@@ -153,21 +158,24 @@ class KnowledgeBase:
                 .option(f"parquet.bloom.filter.enabled#{key}", "true")
                 .parquet(self._dir(table, batch))
             )
-            parts["rows"].append(table)
-        for table in TABLES:
+
+        def write_keys(table: str) -> None:
             keys = []
-            if table in (upserts or {}) and not full and batch > 1:
+            if table in upserts:
                 written = self.spark.read.schema(TABLES[table]).parquet(self._dir(table, batch))
                 keys.append(written.select(F.col(PRIMARY_KEY[table]).alias("key")))
-            if table in (removed or {}):
+            if table in removed:
                 keys.append(removed[table].toDF("key"))
-            if keys:
-                gone = reduce(DataFrame.unionByName, keys)
-                gone.select(F.col("key").cast("string")).write.mode("overwrite").parquet(
-                    self._dir(table, batch, "_gone")
-                )
-                parts["gone"].append(table)
-        entry = json.dumps({"batch": batch, "full": full, **parts})
+            reduce(DataFrame.unionByName, keys).select(F.col("key").cast("string")).write.mode(
+                "overwrite"
+            ).parquet(self._dir(table, batch, "_gone"))
+
+        rows = {**upserts, **inserts}
+        gone = [] if full else [t for t in TABLES if t in upserts or t in removed]
+        with ThreadPoolExecutor(len(TABLES)) as pool:
+            list(pool.map(lambda item: write_rows(*item), rows.items()))
+            list(pool.map(write_keys, gone))
+        entry = json.dumps({"batch": batch, "full": full, "rows": list(rows), "gone": gone})
         marker = self._path(f"{self.root}/_commits/{batch:08d}")
         stream = self._fs.create(marker, False)  # fails if another writer was first
         stream.write(bytearray(entry.encode()))
@@ -227,8 +235,7 @@ class KnowledgeBase:
     def initialize(self) -> None:
         """Create the tables; does nothing if they are there already."""
         if not self._log():
-            empty = {n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}
-            self.commit(upserts=empty, full=True)
+            self.commit(full=True)
 
     def keys_of_documents(self, ids: DataFrame) -> dict[str, DataFrame]:
         """Primary keys, per table, of everything that belongs to the documents ``id``."""

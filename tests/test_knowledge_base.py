@@ -117,10 +117,10 @@ def test_stream_equals_batch(kb, spark, tmp_path):
     folder.mkdir()
     for n in range(7):
         (folder / f"f{n}.txt").write_text(f"text number {n % 5}")
-    watch_directory(kb, str(folder), str(tmp_path / "cp"), max_files=2).awaitTermination()
+    watch_directory(kb, str(folder), str(tmp_path / "cp"), max_files=4).awaitTermination()
     assert rows(kb)["documents"] == 5
     (folder / "new.txt").write_text("later")
-    watch_directory(kb, str(folder), str(tmp_path / "cp"), max_files=2).awaitTermination()
+    watch_directory(kb, str(folder), str(tmp_path / "cp"), max_files=4).awaitTermination()
     whole = KnowledgeBase(spark, str(tmp_path / "kb2"), Settings(embed_dim=4))
     whole.initialize()
     ingest_directory(whole, str(folder), sync=False)
