@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("retrieval", "parsing", "upkeep", "rag")
+GROUPS = ("retrieval", "parsing", "upkeep", "rag", "pipeline")
 
 
 def registered() -> dict:
