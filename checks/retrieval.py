@@ -27,7 +27,7 @@ def bm25_docs(spark, d):
 
 
 def bm25_chunks(spark, d):
-    hits = P.search_fts_chunks(V.corpus(spark, d), V.questions(spark, d))
+    hits = P.search_fts_chunks(V.corpus(spark, d, stored=False), V.questions(spark, d))
     return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -51,7 +51,7 @@ def knn_docs(spark, d):
 
 
 def knn_chunks(spark, d):
-    hits = P.search_vector_chunks(V.corpus(spark, d), V.questions(spark, d))
+    hits = P.search_vector_chunks(V.corpus(spark, d, stored=False), V.questions(spark, d))
     return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -104,7 +104,7 @@ def hybrid_chunks(spark, d):
 
 
 def diversify_cap(spark, d):
-    hits = P.search_fts_chunks(V.corpus(spark, d), V.questions(spark, d))
+    hits = P.search_fts_chunks(V.corpus(spark, d, stored=False), V.questions(spark, d))
     kept = fusion.diversify(fusion.single_source(hits, "fts", ("document_id",)), 2, 5)
     return kept.select("query_id", F.col("id").alias("chunk_id"), "document_id", F.col("rank").cast("long").alias("rank"))
 

@@ -27,7 +27,7 @@ def pending_first(spark, d):
 
 
 def pending_chunks(spark, d):
-    rows = upkeep.pending(V.chunks(spark, d), V.documents(spark, d), "text", ["document_id", "chunk_index"])
+    rows = upkeep.pending(V.derived_chunks(spark, d), V.documents(spark, d), "text", ["document_id", "chunk_index"])
     return rows.select("id", "document_id")
 
 
@@ -53,7 +53,7 @@ def fill_vectors(spark, d):
 
 
 def corpus_status(spark, d):
-    found = upkeep.corpus_status(V.documents(spark, d), V.chunks(spark, d), V.metadata(spark, d), 299)
+    found = upkeep.corpus_status(V.documents(spark, d), V.derived_chunks(spark, d), V.metadata(spark, d), 299)
     return found.withColumn("mean_chunk_chars", F.round("mean_chunk_chars", 6))
 
 

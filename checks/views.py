@@ -70,20 +70,27 @@ def plain_chunks(
     )
 
 
-def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored chunk table: chunks with the vector of their document, if any."""
+def derived_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with the vector of their document, if any, chunked where they are used."""
     vectors = read(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("document_id"), "embedding"
     )
-    return materialize(plain_chunks(spark, folder).join(vectors, "document_id", "left"))
+    return plain_chunks(spark, folder).join(vectors, "document_id", "left")
+
+
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stored table, for plans that read it more than once."""
+    return materialize(derived_chunks(spark, folder))
 
 
-def corpus(spark: SparkSession, folder: str, with_chunks: bool = True) -> Corpus:
+def corpus(
+    spark: SparkSession, folder: str, with_chunks: bool = True, stored: bool = True
+) -> Corpus:
+    parts = None
+    if with_chunks:
+        parts = chunks(spark, folder) if stored else derived_chunks(spark, folder)
     return Corpus(
-        documents(spark, folder),
-        content(spark, folder),
-        metadata(spark, folder),
-        chunks(spark, folder) if with_chunks else None,
+        documents(spark, folder), content(spark, folder), metadata(spark, folder), parts
     )
 
 

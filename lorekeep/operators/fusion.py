@@ -111,14 +111,19 @@ def promote_parent(parent_text: Column, text: Column) -> Column:
 LITERAL_IDS = 1000
 
 
-def _look_up(table: DataFrame, column: str, ranked: DataFrame, wanted: str) -> DataFrame:
+def _few_ids(ranked: DataFrame, column: str) -> list | None:
+    """The distinct ids of the ranked rows, or None if there are many."""
+    ids = [r[0] for r in ranked.select(column).distinct().limit(LITERAL_IDS + 1).collect()]
+    return ids if len(ids) <= LITERAL_IDS else None
+
+
+def _look_up(table: DataFrame, column: str, ids: list | None) -> DataFrame:
     """Rows of a big table that can match, found by file statistics if ids are few.
 
     The stored tables are sorted by id and carry bloom filters, so literal ids
     skip row groups: fetching k rows does not read a whole text column.
     """
-    ids = [r[0] for r in ranked.select(wanted).distinct().limit(LITERAL_IDS + 1).collect()]
-    return table.where(F.col(column).isin(ids)) if len(ids) <= LITERAL_IDS else table
+    return table if ids is None else table.where(F.col(column).isin(ids))
 
 
 def hydrate_documents(
@@ -130,11 +135,12 @@ def hydrate_documents(
     planner, which broadcasts it while it is small, so that the big tables are
     filtered where they are read, and shuffles otherwise.
     """
-    docs = _look_up(documents, "id", ranked, "id").select("id", "file_name", "file_path")
-    texts = _look_up(content, "document_id", ranked, "id").select(
+    ids = _few_ids(ranked, "id")
+    docs = _look_up(documents, "id", ids).select("id", "file_name", "file_path")
+    texts = _look_up(content, "document_id", ids).select(
         F.col("document_id").alias("id"), "raw_text"
     )
-    notes = _look_up(metadata, "document_id", ranked, "id").select(
+    notes = _look_up(metadata, "document_id", ids).select(
         F.col("document_id").alias("id"), "summary"
     )
     notes = notes.join(ranked.select("id"), "id", "left_semi")
@@ -151,14 +157,15 @@ def hydrate_chunks(
     ranked: DataFrame, chunks: DataFrame, documents: DataFrame, metadata: DataFrame
 ) -> DataFrame:
     """Attach chunk, file name and summary; see :func:`hydrate_documents`."""
-    parts = _look_up(chunks, "id", ranked, "id").select(
+    owners = _few_ids(ranked, "document_id")
+    parts = _look_up(chunks, "id", _few_ids(ranked, "id")).select(
         "id", "document_id", "chunk_index", "text", "parent_text", "element_type",
         "page_number", "section",
     )
-    names = _look_up(documents, "id", ranked, "document_id").select(
+    names = _look_up(documents, "id", owners).select(
         F.col("id").alias("document_id"), "file_name", "file_path"
     )
-    notes = _look_up(metadata, "document_id", ranked, "document_id")
+    notes = _look_up(metadata, "document_id", owners)
     notes = notes.select("document_id", "summary").join(
         ranked.select("document_id"), "document_id", "left_semi"
     )
