@@ -41,6 +41,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def is_one_of(column: str, values: list) -> Column:
+    """``column IN (values)`` built in one call, however many values there are."""
+    if not values or not all(isinstance(v, str) for v in values):
+        return F.col(column).isin(values)
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"`{column}` IN ({', '.join(quoted)})")
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
@@ -80,7 +88,7 @@ def join_with_hot_keys(
     hot = [r[0] for r in counts.collect()]
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
+    is_hot = is_one_of(key, hot)
     return (
         left.where(is_hot)
         .join(F.broadcast(right.where(is_hot)), key, how)
@@ -88,10 +96,6 @@ def join_with_hot_keys(
     )
 
 
-def empty(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """Folder for intermediate tables that every executor can reach.
 

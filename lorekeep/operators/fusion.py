@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import _nonblank
-from lorekeep.operators.common import top_per_group
+from lorekeep.operators.common import is_one_of, top_per_group
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ def _look_up(table: DataFrame, column: str, ids: list | None) -> DataFrame:
     The stored tables are sorted by id and carry bloom filters, so literal ids
     skip row groups: fetching k rows does not read a whole text column.
     """
-    return table if ids is None else table.where(F.col(column).isin(ids))
+    return table if ids is None else table.where(is_one_of(column, ids))
 
 
 def hydrate_documents(

@@ -23,6 +23,7 @@ from lorekeep.operators.common import (
     BROADCAST_ROWS,
     broadcast_if_small,
     has_at_most,
+    is_one_of,
     materialize,
     top_per_group,
     unnest,
@@ -157,7 +158,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
         # A stored index: literal terms reach the scan and prune files.
         words = [r.term for r in vocabulary.collect()]
         posted = posted.where(
-            F.col("prefix").isin(sorted({w[:2] for w in words})) & F.col("term").isin(words)
+            is_one_of("prefix", sorted({w[:2] for w in words})) & is_one_of("term", words)
         )
     else:
         posted = posted.join(small_vocabulary, "term", "left_semi")

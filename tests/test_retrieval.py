@@ -245,3 +245,10 @@ def test_hot_keys_are_joined_apart(spark):
     got = common.join_with_hot_keys(left, right, "k", "left", hot_rows=10)
     want = left.join(right, "k", "left")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 53
+
+
+def test_literal_lists_are_quoted(spark):
+    rows = ["plain", "it's", "back\\slash", "\\'", 'dq"', "é\n"]
+    df = spark.createDataFrame([(r,) for r in rows + ["other"]], "id string")
+    assert [r[0] for r in df.where(common.is_one_of("id", rows)).collect()] == rows
+    assert df.where(common.is_one_of("id", [])).count() == 0
