@@ -184,6 +184,28 @@ def describe_column(describer: Describer | None):
     return describe
 
 
+def describe_all_column(describer: Describer | None):
+    """``array<struct<page_number, mime, data>> -> array<struct<page_number, text>>``.
+
+    Pictures that could not be described are left out; the order is kept.
+    """
+    told = T.StructType(
+        [T.StructField("page_number", T.IntegerType()), T.StructField("text", T.StringType())]
+    )
+
+    @F.pandas_udf(T.ArrayType(told))
+    def describe(pictures: pd.Series) -> pd.Series:
+        def one(found) -> list[dict] | None:
+            if found is None:
+                return None
+            texts = [(p["page_number"], describe_image(p["data"], p["mime"], describer)) for p in found]
+            return [{"page_number": n, "text": text} for n, text in texts if text]
+
+        return pd.Series([one(found) for found in pictures], dtype=object)
+
+    return describe
+
+
 def chat_column(chat: Chat):
     """``prompt -> struct<raw, elapsed_s>``; a failure becomes the answer text."""
     shape = T.StructType(

@@ -114,28 +114,38 @@ def cmd_rechunk(kb, args, found):
     rechunk(kb, embedder=found["embedder"])
 
 
+VISION_SLICE = 1000
+
+
 def cmd_reindex_vision(kb, args, found):
-    """Re-ingest stored files with vision; finished ones are remembered by file path.
+    """Re-ingest stored files with vision, in slices; finished files are remembered by path.
 
     The list of finished files is a table next to the others: content hashes
-    change with the files, paths do not.
+    change with the files, paths do not. Each slice is committed and remembered,
+    so an interrupted run goes on where it stopped.
     """
     done_folder = f"{kb.root}/_vision_done"
     spark, schema = kb.spark, "path string"
-    known = kb._fs.exists(kb._path(done_folder)) and not args.reset
+    if args.reset:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(done_folder)
+    known = kb._fs.exists(kb._path(done_folder))
     done = spark.read.schema(schema).parquet(done_folder) if known else spark.createDataFrame([], schema)
     rows = kb.documents.withColumn("path", F.col("file_path"))
     if args.filter:
         rows = rows.where(F.expr(args.filter))
-    todo = remaining(rows, done, "path").orderBy("path")
-    if args.limit:
-        todo = todo.limit(args.limit)
-    paths = [r["path"] for r in todo.select("path").collect()]
-    if not paths:
-        return
-    outcome = ingest_files(kb, read_files(spark, *paths), args.category, force=True, **found)
-    finished = outcome.where(F.col("status").isin("ok", "updated")).select("path")
-    finished.write.mode("overwrite" if args.reset else "append").parquet(done_folder)
+    todo = remaining(rows, done, "path").select("path")
+    last, left = "", args.limit
+    while left is None or left > 0:
+        size = VISION_SLICE if left is None else min(VISION_SLICE, left)
+        batch = todo.where(F.col("path") > last).orderBy("path").limit(size)
+        paths = [r["path"] for r in batch.collect()]
+        if not paths:
+            break
+        files = read_files(spark, *paths)
+        outcome = ingest_files(kb, files, args.category, force=True, **found)
+        finished = outcome.where(F.col("status").isin("ok", "updated")).select("path")
+        finished.write.mode("append").parquet(done_folder)
+        last, left = paths[-1], None if left is None else left - len(paths)
 
 
 def cmd_status(kb, args, found):

@@ -32,7 +32,7 @@ def classify_files(files: DataFrame, documents: DataFrame, force: bool = False)
         .when(copy, "dup")
         .otherwise("new"),
     ).drop("first_path", "is_stored")
-    older = documents.select(F.col("file_path").alias("path"), F.col("id").alias("old_id"))
+    older = documents.groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("old_id"))
     rows = rows.join(older, "path", "left")
     replaces = (F.col("status") == "new") & F.col("old_id").isNotNull()
     return rows.withColumn(

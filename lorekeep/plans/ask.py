@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lorekeep.backends import Embedder, embed_text
 from lorekeep.operators import assembly
-from lorekeep.plans.search import Corpus, hybrid_search, hybrid_search_chunks
+from lorekeep.plans.search import Corpus, hybrid_search, hybrid_search_chunks, unanswered
 
 WEB_CHUNKS = 5
 WEB_DOCUMENTS = 2
@@ -41,12 +41,14 @@ def as_queries(
 
 def web_prompts(corpus: Corpus, queries: DataFrame, mode: str = "hybrid") -> DataFrame:
     """``query_id, query, context, sources, prompt`` with a fallback to documents."""
-    documents = assembly.web_document_context(hybrid_search(corpus, queries, WEB_DOCUMENTS, mode))
-    contexts = documents
+    contexts, left = None, queries
     if corpus.chunks is not None:
-        contexts = assembly.web_context(hybrid_search_chunks(corpus, queries, WEB_CHUNKS, mode))
-        missing = documents.join(contexts.select("query_id"), "query_id", "left_anti")
-        contexts = contexts.unionByName(missing)
+        hits = hybrid_search_chunks(corpus, queries, WEB_CHUNKS, mode)
+        contexts, left = assembly.web_context(hits), unanswered(queries, hits)
+    if left is not None:
+        found = hybrid_search(corpus, left, WEB_DOCUMENTS, mode)
+        documents = assembly.web_document_context(found)
+        contexts = documents if contexts is None else contexts.unionByName(documents)
     wanted = queries.select("query_id", "query")
     return assembly.with_prompts(wanted, contexts, assembly.NO_DOCUMENT_WEB)
 
@@ -56,11 +58,11 @@ def benchmark_prompts(corpus: Corpus, queries: DataFrame, level: str = "document
     if level == "document":
         contexts = assembly.document_context(hybrid_search(corpus, queries, 3, "fts"))
     else:
-        contexts = assembly.chunk_context(hybrid_search_chunks(corpus, queries))
-        documents = assembly.document_context(hybrid_search(corpus, queries, 3))
-        contexts = contexts.unionByName(
-            documents.join(contexts.select("query_id"), "query_id", "left_anti")
-        )
+        hits = hybrid_search_chunks(corpus, queries)
+        contexts, left = assembly.chunk_context(hits), unanswered(queries, hits)
+        if left is not None:
+            documents = assembly.document_context(hybrid_search(corpus, left, 3))
+            contexts = contexts.unionByName(documents)
     return assembly.with_prompts(queries, contexts)
 
 

@@ -71,7 +71,7 @@ def ingest_files(
 
     chosen, _ = broadcast_if_small(wanted.select("path", "id", "status", "old_id"))
     fresh = files.select("path", "content").join(chosen, "path")
-    found = extract_elements(fresh, describer).drop("content")
+    found = extract_elements(fresh, describer, kb.settings.vision_dpi).drop("content")
     found = keep(found.withColumn("raw_text", elements_to_text(F.col("elements"))))
 
     failure = F.when(F.col("extract_error").isNotNull(), "parse_error").when(

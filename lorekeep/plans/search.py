@@ -121,15 +121,11 @@ def hybrid_search_chunks(
     return fusion.hydrate_chunks(ranked, corpus.chunks, corpus.documents, corpus.metadata)
 
 
-def chunks_or_documents(
-    chunk_hits: DataFrame, document_hits: DataFrame, queries: DataFrame
-) -> DataFrame:
-    """Chunk hits, and document hits for those queries that have no chunk hit."""
-    answered = chunk_hits.select("query_id").distinct()
-    fallback = document_hits.join(answered, "query_id", "left_anti")
-    return chunk_hits.withColumn("level", F.lit("chunk")).unionByName(
-        fallback.withColumn("level", F.lit("document")), allowMissingColumns=True
-    )
+def unanswered(queries: DataFrame, hits: DataFrame) -> DataFrame | None:
+    """Queries without a hit, written once; None if every query has one."""
+    left = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    left = materialize(left)
+    return None if left.isEmpty() else left
 
 
 def search(
@@ -139,10 +135,17 @@ def search(
     mode: str = "hybrid",
     fallback_k: int | None = None,
 ) -> DataFrame:
-    """Chunk search with a fallback to documents, per query."""
-    documents = hybrid_search(corpus, queries, fallback_k or k, mode)
+    """Chunk search; queries without a chunk hit, and only those, search documents.
+
+    ``level`` tells which; columns that a level does not have are NULL.
+    """
+    level = F.lit("document").alias("level")
     if corpus.chunks is None:
-        return documents.withColumn("level", F.lit("document"))
-    return chunks_or_documents(
-        hybrid_search_chunks(corpus, queries, k, mode), documents, queries
-    )
+        return hybrid_search(corpus, queries, fallback_k or k, mode).select("*", level)
+    hits = hybrid_search_chunks(corpus, queries, k, mode)
+    found = hits.select("*", F.lit("chunk").alias("level"))
+    left = unanswered(queries, hits)
+    if left is None:
+        return found.withColumn("raw_text", F.lit(None).cast("string"))
+    documents = hybrid_search(corpus, left, fallback_k or k, mode).select("*", level)
+    return found.unionByName(documents, allowMissingColumns=True)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.functions.text import IMAGE_MIME
+
 _ELEMENT = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -33,6 +35,13 @@ _WORD = T.StructType(
         T.StructField("fontname", T.StringType()),
     ]
 )
+_IMAGE = T.StructType(
+    [
+        T.StructField("page_number", T.IntegerType()),
+        T.StructField("mime", T.StringType()),
+        T.StructField("data", T.BinaryType()),
+    ]
+)
 _BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x0", "top", "x1", "bottom")])
 _PAGE = T.StructType(
     [
@@ -143,10 +152,32 @@ def _docx(content: bytes) -> list[dict]:
     return [e for e in out if e["text"]]
 
 
-def _docx_images(content: bytes) -> list[bytes]:
+def _docx_images(content: bytes) -> list[dict]:
+    """Pictures placed inline in the text, in reading order."""
+    relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
     with zipfile.ZipFile(io.BytesIO(content)) as package:
-        names = sorted(n for n in package.namelist() if n.startswith("word/media/"))
-        return [package.read(n) for n in names]
+        if "word/_rels/document.xml.rels" not in package.namelist():
+            return []
+        links = ElementTree.fromstring(package.read("word/_rels/document.xml.rels"))
+        target = {link.get("Id"): link.get("Target", "") for link in links}
+        body = ElementTree.fromstring(package.read("word/document.xml"))
+        placed = [
+            target.get(node.get(relation), "")
+            for shape in body.iter()
+            if shape.tag.endswith("}inline")
+            for node in shape.iter()
+            if node.tag.endswith("}blip")
+        ]
+        names = [f"word/{t.removeprefix('/word/')}" for t in placed if t]
+        return [
+            {"page_number": None, "mime": _mime(n), "data": package.read(n)}
+            for n in names
+            if n in package.namelist()
+        ]
+
+
+def _mime(name: str) -> str:
+    return IMAGE_MIME.get(name.rsplit(".", 1)[-1].lower(), "image/png")
 
 
 @F.pandas_udf(_result(_ELEMENT))
@@ -154,7 +185,7 @@ def docx_elements(content: pd.Series) -> pd.DataFrame:
     return _guarded(_docx, content)
 
 
-@F.pandas_udf(_result(T.BinaryType()))
+@F.pandas_udf(_result(_IMAGE))
 def docx_images(content: pd.Series) -> pd.DataFrame:
     return _guarded(_docx_images, content)
 
@@ -236,13 +267,27 @@ def rasterize_page(content: bytes, page_number: int, dpi: int) -> bytes:
         return document[page_number - 1].get_pixmap(dpi=dpi, alpha=False).tobytes("png")
 
 
-@F.pandas_udf(T.BinaryType())
-def page_image(content: pd.Series, page_number: pd.Series, dpi: pd.Series) -> pd.Series:
-    """Rendered pages; NULL where rendering is impossible."""
+def _pdf_images(content: bytes, dpi: int) -> list[dict]:
+    """What a describer should see: whole pages without text, else embedded pictures."""
+    import fitz
+
     out = []
-    for data, page, resolution in zip(content, page_number, dpi):
-        try:
-            out.append(rasterize_page(data, page, resolution))
-        except Exception:  # noqa: BLE001 - the page is skipped
-            out.append(None)
-    return pd.Series(out, dtype=object)
+    with fitz.open(stream=content, filetype="pdf") as document:
+        for number, page in enumerate(document, start=1):
+            if not page.get_text().strip():
+                picture = page.get_pixmap(dpi=dpi, alpha=False).tobytes("png")
+                out.append({"page_number": number, "mime": "image/png", "data": picture})
+                continue
+            for entry in page.get_images(full=True):
+                found = document.extract_image(entry[0])
+                if found.get("image"):
+                    mime = _mime("x." + found.get("ext", "png"))
+                    out.append({"page_number": number, "mime": mime, "data": found["image"]})
+    return out
+
+
+@F.pandas_udf(_result(_IMAGE))
+def pdf_images(content: pd.Series, dpi: pd.Series) -> pd.DataFrame:
+    """Pictures of a PDF; an error, and no pictures, without the renderer."""
+    resolution = int(dpi.iloc[0]) if len(dpi) else 0
+    return _guarded(lambda data: _pdf_images(data, resolution), content)

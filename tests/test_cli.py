@@ -41,3 +41,21 @@ def test_migrate_command(spark, capsys, tmp_path):
 
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     assert kb.metadata.first()["keywords"] == ["k"] and kb.chunks.count() == 0
+
+
+def test_vision_reindex_resumes(spark, capsys, tmp_path, monkeypatch):
+    from lorekeep import cli
+    from lorekeep.session import KnowledgeBase
+
+    root, folder = tmp_path / "kb", tmp_path / "in"
+    folder.mkdir()
+    for name in "abc":
+        (folder / f"{name}.txt").write_text(f"text {name}")
+    run(spark, capsys, root, "batch-ingest", str(folder))
+    monkeypatch.setattr(cli, "VISION_SLICE", 2)
+    run(spark, capsys, root, "reindex-vision", "--limit", "1", "--category", "Seen")
+    kb = KnowledgeBase(spark, str(root))
+    seen = lambda: sorted(r["file_name"] for r in kb.documents.where("category = 'Seen'").collect())
+    assert seen() == ["a.txt"] and kb.documents.count() == 3
+    run(spark, capsys, root, "reindex-vision", "--category", "Seen")
+    assert seen() == ["a.txt", "b.txt", "c.txt"] and kb.documents.count() == 3

@@ -62,7 +62,10 @@ def test_page_elements(spark):
         (1, [], [], [word("Head", 1.0, 1.0, 20.0), word("body", 1.0, 30.0)], []),
         (2, ["a\tb"], [], [], ["flat line"]),
     ]
-    df = spark.createDataFrame([(pages,)], schema)
+    df = spark.createDataFrame([(pages, [(1, "picture")])], schema + ", t array<struct<page_number:int,text:string>>")
+    told = df.select(page_elements(F.col("p"), F.col("t"))).first()[0]
+    assert [e.text for e in told] == ["Head", "body", "picture", "a\tb", "flat line"]
+    assert tuple(told[2]) == ("picture", "NarrativeText", 1, "Head")
     got = df.select(page_elements(F.col("p"))).first()[0]
     assert [tuple(e) for e in got] == [
         ("Head", "Title", 1, None),
@@ -78,11 +81,16 @@ def docx_bytes():
     cell = lambda text: f"<w:tc>{para(text)}</w:tc>"
     table = f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>"
     body = para("Top", "H1") + para("text") + table + para("entry", "ListBullet") + para(" ")
+    blip = '<a:blip xmlns:a="a" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="r1"/>'
+    body += f'<w:p><w:r><wp:inline xmlns:wp="wp">{blip}</wp:inline></w:r></w:p>'
+    links = '<Relationships><Relationship Id="r1" Target="media/i.jpeg"/><Relationship Id="r2" Target="media/unused.png"/></Relationships>'
     styles = f'<w:styles {w}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style></w:styles>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as package:
         package.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
         package.writestr("word/styles.xml", styles)
+        package.writestr("word/_rels/document.xml.rels", links)
+        package.writestr("word/media/i.jpeg", b"jpeg")
     return out.getvalue()
 
 
@@ -115,11 +123,10 @@ def test_router(extracted):
         ("text", "NarrativeText", "Top"),
         ("a\tb\n1\t2", "Table", "Top"),
         ("entry", "ListItem", "Top"),
+        ("seen image/jpeg", "NarrativeText", "Top"),
     ]
     assert found(extracted["/d/c.docx"]) == [] and "BadZipFile" in extracted["/d/c.docx"]["extract_error"]
-    assert found(extracted["/d/d.png"]) == [("seen image/png", "NarrativeText", "d.png")] or found(
-        extracted["/d/d.png"]
-    ) == [(" seen image/png ".strip(), "NarrativeText", "d.png")]
+    assert found(extracted["/d/d.png"]) == [("seen image/png", "NarrativeText", "d.png")]
     assert found(extracted["/d/e.md"]) == [("T", "Title", "T"), ("café", "NarrativeText", "T")]
     assert len(found(extracted["/d/f.HTM"])) == 7
     assert extracted["/d/g.pdf"]["extract_error"] and found(extracted["/d/g.pdf"]) == []
@@ -139,3 +146,50 @@ def test_read_files_is_recursive(spark, tmp_path):
     (tmp_path / "sub" / "b.txt").write_text("b")
     got = {r["path"] for r in read_files(spark, str(tmp_path)).select("path").collect()}
     assert got == {str(tmp_path / "a.txt"), str(tmp_path / "sub" / "b.txt")}
+
+
+class FakePdf(list):
+    """Stands in for the optional renderer: one page of text with a picture, one scanned page."""
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+    def extract_image(self, number):
+        return {"image": b"pic", "ext": "jpg"} if number == 7 else {}
+
+
+class FakePage:
+    def __init__(self, text, images=()):
+        self.text, self.images = text, images
+
+    def get_text(self):
+        return self.text
+
+    def get_images(self, full):
+        return self.images
+
+    def get_pixmap(self, dpi, alpha):
+        self.dpi = dpi
+        return self
+
+    def tobytes(self, kind):
+        return f"{kind}@{self.dpi}".encode()
+
+
+def test_pdf_pictures(monkeypatch):
+    import sys
+    import types
+
+    from lorekeep.sources import office
+
+    pages = FakePdf([FakePage(" text ", [(7,), (8,)]), FakePage(" \n")])
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: pages))
+    assert office._pdf_images(b"x", 150) == [
+        {"page_number": 1, "mime": "image/jpeg", "data": b"pic"},
+        {"page_number": 2, "mime": "image/png", "data": b"png@150"},
+    ]
+    assert office.rasterize_page(b"x", 2, 90) == b"png@90"
+    assert [p["plain"] for p in office._pdf_plain(b"x")] == [["text"], []]
