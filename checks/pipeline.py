@@ -10,11 +10,13 @@ from checks import sqlparts as S
 from checks import views as V
 from lorekeep import KnowledgeBase, Settings
 from lorekeep.backends import HashingEmbedder
+from lorekeep.functions.text import llm_input
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators.common import shared_folder
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.plans.backfill import embed_rows
 from lorekeep.plans.ingest import analyze, ingest_files
+from lorekeep.sources.files import read_jsonl
 from lorekeep.streaming.ingest import stream_ingest
 
 DIM = 64
@@ -72,6 +74,21 @@ def analyze_extractive(spark, d):
     return found.select("document_id", "summary", F.array_join("keywords", "|").alias("keywords"))
 
 
+def jsonl_source(spark, d):
+    """Conversations written as JSON lines and read back with a fixed schema."""
+    rows = V.read(spark, d, "conversations")
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return read_jsonl(spark, path, rows.schema)
+
+
+def bulk_model_input(spark, d):
+    """A model that answers with the length of what it is shown (bulk cut)."""
+    rows = V.texts(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text"))
+    told = analyze(rows, lambda text: '{"summary": "%d", "keywords": ["n"]}' % len(text), llm_input)
+    return told.select("document_id", "summary")
+
+
 def embed_documents(spark, d):
     rows = V.raw_texts(spark, d)
     found = embed_rows(rows, "raw_text", HashingEmbedder(DIM), DIM)
@@ -116,6 +133,12 @@ s AS (SELECT doc_id, trim(substr(regexp_extract(text, '(?s)^\\s*(.*?[.!?\\n]|.*)
 SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lead <> '' AND kw IS NOT NULL THEN lead
  ELSE 'No summary available (LLM failed)' END AS summary, CASE WHEN lead <> '' AND kw IS NOT NULL THEN kw
  ELSE 'error|fallback' END AS keywords FROM s LEFT JOIN g USING (doc_id)""",
+    ),
+    "jsonl_source": (jsonl_source, "SELECT * FROM conversations"),
+    "bulk_model_input": (
+        bulk_model_input,
+        """SELECT CAST(doc_id AS VARCHAR) AS document_id,
+ CAST(CASE WHEN length(text) > 6000 THEN 6004 ELSE length(text) END AS VARCHAR) AS summary FROM documents""",
     ),
     "embed_documents": (embed_documents, None),
     "bm25_docs_english": (bm25_docs_english, None),

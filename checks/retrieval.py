@@ -9,7 +9,8 @@ from checks import views as V
 from lorekeep.functions.text import bind
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators import fusion, lexical
-from lorekeep.operators.common import top_per_group, unnest_values
+from lorekeep.operators.common import top_per_group
+from lorekeep.operators.nearest import cosine
 from lorekeep.plans import search as P
 
 DOC_BODY = "(SELECT CAST(doc_id AS VARCHAR) AS id, text AS body FROM documents)"
@@ -55,6 +56,15 @@ def knn_chunks(spark, d):
     return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def cosine_distance(spark, d):
+    """Similarity and distance of every vector to the one that its label numbers."""
+    rows = V.read(spark, d, "embeddings")
+    other = rows.select(F.col("vec_id").alias("label"), F.col("embedding").alias("other"))
+    pairs = rows.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").join(other, "label")
+    score = cosine("embedding", "other")
+    return pairs.select("vec_id", F.round(score, 6).alias("score"), F.round(1 - score, 6).alias("distance"))
+
+
 def _fused(spark, d):
     corpus, q = V.corpus(spark, d, with_chunks=False), V.questions(spark, d)
     return fusion.fuse(P.search_fts(corpus, q), P.search_vector(corpus, q))
@@ -184,6 +194,12 @@ CHECKS = {
  GROUP BY doc_id, term""",
     ),
     "knn_docs": (knn_docs, f"WITH {_NN_DOCS} SELECT query_id, id AS document_id, score, rank FROM nn"),
+    "cosine_distance": (
+        cosine_distance,
+        """SELECT vec_id, round(s, 6) AS score, round(1 - s, 6) AS distance FROM (SELECT a.vec_id,
+ list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
+ FROM embeddings a JOIN embeddings b ON b.vec_id = a.label)""",
+    ),
     "knn_chunks": (
         knn_chunks,
         f"WITH RECURSIVE {S.chunks()}, {_NN_CHUNKS} SELECT query_id, id AS chunk_id, document_id, score, rank FROM nn",

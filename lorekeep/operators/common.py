@@ -103,7 +103,11 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     caller's own shared folder is used; a local session may fall back to a
     temporary folder, a cluster may not.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or fallback
+    )
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

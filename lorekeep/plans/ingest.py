@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -28,12 +29,20 @@ def _vector(embedder: Embedder | None, dim: int, text: Column) -> Column:
     return F.when(X.strip(text) != "", embed_column(embedder, dim)(X.truncate(text)))
 
 
-def analyze(rows: DataFrame, analyzer: Chat | None = None) -> DataFrame:
-    """``document_id, summary, keywords``; without a model the text speaks for itself."""
+def analyze(
+    rows: DataFrame,
+    analyzer: Chat | None = None,
+    shorten: Callable[[Column], Column] = X.head_and_tail,
+) -> DataFrame:
+    """``document_id, summary, keywords``; without a model the text speaks for itself.
+
+    ``shorten`` fits long texts to the model: head and tail, or ``llm_input``,
+    the plain cut that bulk runs use.
+    """
     if analyzer is None:
         answer = extractive_answer(F.col("raw_text"))
     else:
-        answer = answer_column(analyzer)(X.head_and_tail(F.col("raw_text")))
+        answer = answer_column(analyzer)(shorten(F.col("raw_text")))
     told = rows.select("document_id", answer.alias("_answer"))
     return told.select("document_id", X.parse_analysis(F.col("_answer")).alias("_a")).select(
         "document_id", "_a.summary", "_a.keywords"

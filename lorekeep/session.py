@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +73,20 @@ def build_session(app: str = "lorekeep", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on every executor, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="lorekeep-package-")) / "lorekeep"
+    context.addPyFile(shutil.make_archive(str(base), "zip", home.parent, home.name))
+    _shipped.add(context.applicationId)
+
+
 class KnowledgeBase:
     """Tables below ``root``.
 
@@ -82,6 +99,7 @@ class KnowledgeBase:
     """
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None) -> None:
+        ship_package(spark)
         self.spark = spark
         self.root = root.rstrip("/")
         self.settings = settings or Settings()
