@@ -252,3 +252,24 @@ def test_literal_lists_are_quoted(spark):
     df = spark.createDataFrame([(r,) for r in rows + ["other"]], "id string")
     assert [r[0] for r in df.where(common.is_one_of("id", rows)).collect()] == rows
     assert df.where(common.is_one_of("id", [])).count() == 0
+
+
+def test_stored_index_sums_without_a_second_exchange(spark, tmp_path):
+    df = spark.createDataFrame(list(DOCS.items()), "id string, body string")
+    lexical.LexicalIndex.of(df, ["id"], "body").save(str(tmp_path / "i"))
+    stored = lexical.LexicalIndex.load(spark, str(tmp_path / "i"), ["id"], Tokenizer())
+    q = spark.createDataFrame([(1, "red"), (2, "fox")], "query_id long, query string")
+    lines = plan_of(lexical.bm25_scores(stored, q)).splitlines()
+    postings_side = [line for line in lines if "Exchange hashpartitioning(id" in line]
+    assert len(postings_side) == 1 and "REPARTITION_BY_COL" in postings_side[0]
+    assert not any("Exchange hashpartitioning(query_id" in line for line in lines)
+
+
+def test_extraction_and_chunking_do_not_shuffle(spark, tmp_path):
+    from lorekeep.functions.chunks import chunk_elements
+    from lorekeep.functions.elements import text_elements
+
+    spark.createDataFrame([("a", "x. y")], "document_id string, text string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    plan = plan_of(common.unnest(rows, ["document_id"], chunk_elements(text_elements(F.col("text")))))
+    assert "Exchange" not in plan and "Python" not in plan and plan.count("aggregate(") <= 3
