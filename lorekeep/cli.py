@@ -106,6 +106,11 @@ def cmd_embed(kb, args, found):
         print(table, json.dumps(counts))
 
 
+def cmd_compact(kb, args, found):
+    kb.compact()
+    print(kb.vacuum(), "folders deleted")
+
+
 def cmd_reindex(kb, args, found):
     backfill.build_indexes(kb)
 
@@ -262,6 +267,7 @@ def parser() -> argparse.ArgumentParser:
         "embed", cmd_embed, opt("--filter", default=None), opt("--limit", **number),
         opt("--rebuild", action="store_true"), opt("--chunks-only", action="store_true"),
     )
+    add("compact", cmd_compact)
     add("reindex", cmd_reindex)
     add("rechunk", cmd_rechunk)
     add(

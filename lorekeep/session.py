@@ -119,15 +119,18 @@ class KnowledgeBase:
         folder = self._path(f"{self.root}/_commits")
         if not self._fs.exists(folder):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
+        names = sorted(
+            n for n in (s.getPath().getName() for s in self._fs.listStatus(folder)) if n.isdigit()
+        )
         entries = []
         for name in names:
             stream = self._fs.open(self._path(f"{self.root}/_commits/{name}"))
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
-            if not text:  # a writer died between creating and filling the marker
+            try:
+                entry = json.loads(text)
+            except ValueError:  # the writer died, or is still, between creating and filling it
                 continue
-            entry = json.loads(text)
             entries = [entry] if entry["full"] else [*entries, entry]
         return entries
 
@@ -136,12 +139,17 @@ class KnowledgeBase:
         log = self._log()
         return log[-1]["batch"] if log else 0
 
-    def _next(self) -> int:
+    def _reserve(self) -> int:
+        """A batch number of one's own: two writers never share a folder."""
         folder = self._path(f"{self.root}/_commits")
-        if not self._fs.exists(folder):
-            return 1
-        taken = [int(s.getPath().getName()) for s in self._fs.listStatus(folder)]
-        return max(taken, default=0) + 1
+        taken = []
+        if self._fs.exists(folder):
+            names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+            taken = [int(n.removesuffix(".lock")) for n in names]
+        batch = max(taken, default=0) + 1
+        # Fails, and leaves everything as it is, if another writer is faster.
+        self._fs.create(self._path(f"{self.root}/_commits/{batch:08d}.lock"), False).close()
+        return batch
 
     def commit(
         self,
@@ -157,7 +165,7 @@ class KnowledgeBase:
         ``full`` starts over from these rows. The tables are written side by
         side, so that a short one does not wait for a long one.
         """
-        batch = self._next()
+        batch = self._reserve()
         upserts, removed, inserts = upserts or {}, removed or {}, inserts or {}
 
         def write_rows(table: str, rows: DataFrame) -> None:
@@ -195,7 +203,7 @@ class KnowledgeBase:
             list(pool.map(write_keys, gone))
         entry = json.dumps({"batch": batch, "full": full, "rows": list(rows), "gone": gone})
         marker = self._path(f"{self.root}/_commits/{batch:08d}")
-        stream = self._fs.create(marker, False)  # fails if another writer was first
+        stream = self._fs.create(marker, False)
         stream.write(bytearray(entry.encode()))
         stream.close()
         return batch
@@ -273,6 +281,32 @@ class KnowledgeBase:
         """Delete documents with everything that hangs on them."""
         return self.commit(removed=self.keys_of_documents(ids))
 
+    def vacuum(self) -> int:
+        """Delete folders that no version reads any more; how many.
+
+        Only to be called while no job reads or writes: old batches, unfinished
+        batches, intermediate results and indexes of other versions go.
+        """
+        live = {
+            self._dir(table, e["batch"], kind)
+            for e in self._log()
+            for part, kind in (("rows", ""), ("gone", "_gone"))
+            for table in e[part]
+        }
+        live |= {f"{self.root}/_lexical/{n}/version={self.version}" for n in ("documents", "chunks")}
+        groups = [f"{t}{kind}" for t in TABLES for kind in ("", "_gone")]
+        groups += ["_lexical/documents", "_lexical/chunks", "_staging/lorekeep"]
+        deleted = 0
+        for group in groups:
+            folder = self._path(f"{self.root}/{group}")
+            if not self._fs.exists(folder):
+                continue
+            for status in self._fs.listStatus(folder):
+                name = f"{self.root}/{group}/{status.getPath().getName()}"
+                if name not in live:
+                    deleted += bool(self._fs.delete(self._path(name), True))
+        return deleted
+
     def compact(self) -> int:
         """Rewrite the current rows once, without what was replaced or deleted."""
         return self.commit(upserts={n: self.table(n) for n in TABLES}, full=True)
