@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import sentencepiece, sharding, tokencounts
+from lorekeep.llm import packing, quality, sentencepiece, sharding, tokencounts
 from lorekeep.llm.common import read_table
 
 SHARDS = 24
@@ -37,8 +37,18 @@ def op3_unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.encode_and_decode(read_table(spark, folder, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read_table(spark, folder, "documents"))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 REGISTERED = {
     "op1_jump_sharding": (op1_jump_sharding, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_unigram_pieces": (op3_unigram_pieces, None),
+    "op5_quality_outliers": (op5_quality_outliers, None),
+    "op7_packing": (op7_packing, None),
 }
