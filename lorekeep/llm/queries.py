@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import packing, quality, sentencepiece, sharding, tokencounts, toxicity
+from lorekeep.llm import fingerprint, packing, quality, sentencepiece, sharding, tokencounts, toxicity
 from lorekeep.llm.common import read_table
 
 SHARDS = 24
@@ -45,6 +45,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op8_parsing_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, folder, "labels")))
@@ -56,5 +60,6 @@ REGISTERED = {
     "op3_unigram_pieces": (op3_unigram_pieces, None),
     "op5_quality_outliers": (op5_quality_outliers, None),
     "op7_packing": (op7_packing, None),
+    "op8_parsing_fingerprints": (op8_parsing_fingerprints, None),
     "op9_toxicity": (op9_toxicity, None),
 }
