@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, packing, quality, sentencepiece, sharding, tokencounts, toxicity
+from lorekeep.llm import fingerprint, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
 from lorekeep.llm.common import read_table
 
 SHARDS = 24
@@ -54,6 +54,25 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, folder, "labels")))
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    return warc.read_archive(warc.write_archive(pages, "page_id", "url", "html"), "page_id")
+
+
+#: Base32 of a hexadecimal SHA-1 by five bits at a time, since this SQL has no such function.
+OP10_SQL = """
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+marked AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS response FROM hashed)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((((strpos('0123456789abcdef', substr(h, CAST((i * 5) // 4 + 1 AS BIGINT), 1)) - 1) * 16
+      + greatest(strpos('0123456789abcdef', substr(h || '0', CAST((i * 5) // 4 + 2 AS BIGINT), 1)) - 1, 0))
+      >> CAST(3 - (i * 5) % 4 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM marked
+"""
+
 REGISTERED = {
     "op1_jump_sharding": (op1_jump_sharding, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -62,4 +81,5 @@ REGISTERED = {
     "op7_packing": (op7_packing, None),
     "op8_parsing_fingerprints": (op8_parsing_fingerprints, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op10_warc": (op10_warc, OP10_SQL),
 }
