@@ -31,9 +31,9 @@ from lorekeep.llm.html_tree import Page, features, read_page
 TRAIN_PAGES = 600
 ROUNDS, DEPTH = 20, 5
 #: What entering an article, and leaving one for a part that does not belong, costs in log odds.
-ENTER, LEAVE = 1.0, 1.0
-#: Log odds count up to here, and so much less for nodes without text of their own.
-MOST, EMPTY_WEIGHT = 4.0, 0.5
+ENTER, LEAVE = 0.3, 0.3
+#: Log odds count up to here, and are multiplied by the weight in nodes without text of their own.
+MOST, EMPTY_WEIGHT = 4.0, 1.0
 
 
 @dataclass(frozen=True)
