@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, html_extract, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
+from lorekeep.llm import fingerprint, html_extract, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
 from lorekeep.llm.common import read_table
 
 SHARDS = 24
@@ -56,6 +56,10 @@ def op5_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read_table(spark, folder, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(read_table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -94,6 +98,7 @@ REGISTERED = {
     "op3_unigram_pieces": (op3_unigram_pieces, None),
     "op4_html_extraction": (op4_html_extraction, OP4_SQL),
     "op5_quality_outliers": (op5_quality_outliers, None),
+    "op6_near_duplicates": (op6_near_duplicates, None),
     "op7_packing": (op7_packing, None),
     "op8_parsing_fingerprints": (op8_parsing_fingerprints, None),
     "op9_toxicity": (op9_toxicity, None),
