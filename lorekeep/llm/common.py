@@ -14,6 +14,9 @@ from lorekeep.operators.common import shared_folder
 #: Texts are worked on in slices of about so many characters, which bounds what a worker holds besides its batch.
 SLICE_CHARS = 1_000_000
 
+#: Rows of an Arrow batch that are worked on at once; results leave the worker in such steps.
+STEP_ROWS = 1000
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -50,8 +53,8 @@ def over_batches(make: Callable) -> Callable:
     def run(batches):
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                out = work(batch.slice(at, STEP_ROWS))
                 if out is not None and out.num_rows:
                     yield out
 

@@ -31,7 +31,7 @@ from lorekeep.operators.common import broadcast_if_small
 
 SEQUENCE = 4096
 END_ID = 2
-CACHE_PARTS = 500_000
+CACHE_PARTS = 300_000
 
 
 class Encoder:
