@@ -47,16 +47,21 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[range]:
         yield range(start, len(texts))
 
 
+def steps(batches, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def over_batches(make: Callable) -> Callable:
     """For mapInArrow: ``make()`` runs once in each task and returns a function from a batch to arrays or a batch."""
 
     def run(batches):
         work = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                out = work(batch.slice(at, STEP_ROWS))
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in steps(batches):
+            out = work(batch)
+            if out is not None and out.num_rows:
+                yield out
 
     return run
 

@@ -15,7 +15,7 @@ Defined results: null and empty texts have the empty fingerprint; two empty ones
 one 0. The next row is that with the next larger (key, text hash), nulls first; after the last comes the
 first, so a single row is its own next. Rows with equal keys are each processed. Extra columns are ignored.
 
-Plan: one exchange deals the texts into sorted ranges of the key. A task has its rows' successors at hand, but for its
+Plan: one exchange deals the compressed texts into sorted ranges of the key. A task has its rows' successors at hand, but for its
 last row; the first and the last text of every range are written beside the results and joined afterwards.
 """
 
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import over_batches, record_batch, slices, spread_bits, stored
+from lorekeep.llm.common import over_batches, record_batch, slices, spread_bits, steps, stored
 
 LEVEL = 2
 SKETCH = 64
@@ -126,6 +126,11 @@ _COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_finge
 _WHOLE = pa.schema([*_FIELDS, ("range", pa.int32()), ("role", pa.string()), ("t", pa.string())])
 
 
+def _unpacked(packed: pa.Array, sizes: list[int]) -> list[str]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(z.as_buffer(), n, asbytes=True).decode() for z, n in zip(packed, sizes, strict=True)]
+
+
 def _along(batches):
     """Results of all rows but the range's last one, and its first and last text."""
     number, held, begun = TaskContext.get().partitionId(), None, False
@@ -135,8 +140,8 @@ def _along(batches):
         return pa.RecordBatch.from_arrays([keys, *columns.columns], ["key", *_WHOLE.names])
 
     nothing = (None,) * len(_FIELDS)
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+    for batch in steps(batches):
+        texts = _unpacked(batch.column(1), batch.column(2).to_pylist())
         keys = batch.column(0)
         for part in slices(texts):
             some, ids = [texts[i] for i in part], keys.slice(part.start, len(part))
@@ -159,7 +164,20 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``."""
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("t"))
     kind = narrow.schema["key"].dataType.simpleString()
-    dealt = narrow.withColumn("h", F.xxhash64("t")).repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "t")
+
+    def pack():
+        codec = pa.Codec("zstd")
+
+        def work(batch):
+            held = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            packed = [codec.compress(t, asbytes=True) for t in held]
+            columns = [pa.array(packed, pa.binary()), pa.array([len(t) for t in held], pa.int64())]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "h", "z", "size"])
+
+        return work
+
+    packed = narrow.select("key", F.xxhash64("t").alias("h"), "t").mapInArrow(over_batches(pack), f"key {kind}, h long, z binary, size long")
+    dealt = packed.repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "z", "size")
     table = stored(dealt.mapInArrow(_along, f"key {kind}, {_COLUMNS}, range int, role string, t string"), "fingerprints")
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
     firsts = table.where("role = 'first'").select(F.col("range").alias("following"), F.col("t").alias("f"))
