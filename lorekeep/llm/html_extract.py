@@ -28,10 +28,10 @@ from lorekeep.llm.common import over_batches, slices
 from lorekeep.llm.html_samples import sample_page
 from lorekeep.llm.html_tree import Page, features, read_page
 
-TRAIN_PAGES = 600
-ROUNDS, DEPTH = 20, 5
+TRAIN_PAGES = 3000
+ROUNDS, DEPTH, LEAF_NODES = 80, 5, 20
 #: What entering an article, and leaving one for a part that does not belong, costs in log odds.
-ENTER, LEAVE = 0.3, 0.3
+ENTER, LEAVE = 0.3, 1.0
 #: Log odds count up to here, and are multiplied by the weight in nodes without text of their own.
 MOST, EMPTY_WEIGHT = 4.0, 1.0
 
@@ -96,7 +96,7 @@ def fit(spark: SparkSession, pages: int = TRAIN_PAGES) -> Trees:
 
     rows = spark.range(0, pages, 1, 4).mapInArrow(nodes, "label double, x array<double>")
     data = rows.select("label", array_to_vector("x").alias("features"))
-    return Trees.of(GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, seed=4, subsamplingRate=1.0).fit(data))
+    return Trees.of(GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, minInstancesPerNode=LEAF_NODES, stepSize=0.2, subsamplingRate=0.7, featureSubsetStrategy="0.4", seed=4).fit(data))
 
 
 def decode(page: Page, margins: list[float]) -> list[bool]:

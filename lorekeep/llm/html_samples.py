@@ -78,8 +78,9 @@ def _article(r: random.Random) -> str:
     start, end = _open(r, 1, tags)
     heading = f"<h1>{_sentence(r, r.randint(1, 9))}</h1>"
     parts = [heading] if r.random() < 0.85 else []
-    for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 14))):
-        kind, text = r.random(), _prose(r, r.choice((1, 2, 8, 30, 80, 200)))
+    sizes = r.choice(((1, 2, 8, 30, 80, 200), (1, 2, 8, 30, 80, 200), (4, 8, 12), (60, 120, 300)))
+    for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 14, 40, 100))):
+        kind, text = r.random(), _prose(r, r.choice(sizes))
         if kind < 0.62:
             parts.append(f"<p>{text}</p>")
         elif kind < 0.72:
@@ -96,7 +97,7 @@ def _article(r: random.Random) -> str:
             parts.append(f"<table><tr><td>{_word(r)}</td><td>{_word(r)}</td></tr><tr><td>{_word(r)}<td>{_sentence(r, 3)}</table>")
         else:
             parts.append(f"<div>{text}</div>")
-    for _ in range(r.choice((0, 0, 0, 1, 2))):
+    for _ in range(r.choice((0, 1, 1, 2, 3))):
         parts.insert(r.randint(0, len(parts)), _noise(r, r.choice(("ad", "share", "side", "notice", "form", "comments"))))
     if not parts:
         parts = [heading]
@@ -111,6 +112,8 @@ def sample_page(i: int) -> str:
     tail = [_noise(r, k) for k in ("comments", "side", "ad", "nav", "form", "share", "notice") if r.random() < 0.35]
     if r.random() < 0.8:
         tail.append(_noise(r, "footer"))
+    if r.random() < 0.08:
+        top, tail = [], []
     r.shuffle(top)
     core = _article(r) if r.random() < 0.96 else ""
     before = [_noise(r, "side")] if r.random() < 0.15 else []
@@ -120,4 +123,6 @@ def sample_page(i: int) -> str:
         tail, before = tail[1:], []
     page = f"<!DOCTYPE html><html><head><title>{_sentence(r, 5)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
     page += "".join([*top, *before, core, *tail]) + "</body></html>"
+    if r.random() < 0.1:
+        page = "".join([*top, *before, core, *tail])
     return page[: r.randint(len(page) // 3, len(page))] if r.random() < 0.1 else page

@@ -147,7 +147,7 @@ def read_page(source: str) -> Page:
 
 
 def features(pages: list[Page]) -> np.ndarray:
-    """A row of features for every node of all pages."""
+    """A row of features for every node of all pages; places and counts saturate, so long pages look like others."""
     out = []
     for page in pages:
         n = len(page.parent)
@@ -172,7 +172,7 @@ def features(pages: list[Page]) -> np.ndarray:
         for v in range(n):
             p = max(parent[v], 0)
             out.append((
-                page.depth[v], page.order[v], page.children[p], page.own[v], chars[v], links[v] / (chars[v] + 1), nodes[v] / (chars[v] + 1),
+                min(page.depth[v], 12), min(page.order[v], 9), min(page.children[p], 10), page.own[v], chars[v], links[v] / (chars[v] + 1), nodes[v] / (chars[v] + 1),
                 blocks[v], chars[v] / total, chars[v] / (chars[p] + 1), marks[v] / (chars[v] + 1), before[v] / total, blocks[p],
                 page.words[v], words_above[v], page.tags[v], tags_above[v],
             ))

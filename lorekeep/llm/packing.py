@@ -10,14 +10,16 @@ Defined results: a null or empty text is the end id alone; every row is packed,
 columns are ignored. Texts may have any length.
 
 Encoding: no token of the vocabulary covers white space, so a text is split there and each distinct part is
-encoded by the library once per worker (bounded cache). Texts with added tokens or with control characters
-that only Python counts as white space are encoded whole.
+encoded once per worker (bounded cache). A part of Latin letters, digits and ASCII signs is cut into the vocabulary's
+words, whose merges the library's model does (another bounded cache); the library encodes every other part as a whole, and
+texts with added tokens or with control characters that only Python counts as white space.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import over_batches, record_batch, slices, stored
-from lorekeep.llm.tokencounts import load
+from lorekeep.llm.common import over_batches, record_batch, stored
+from lorekeep.llm.tokencounts import in_bytes, load
 from lorekeep.operators.common import broadcast_if_small
 
 SEQUENCE = 4096
 END_ID = 2
-CACHE_PARTS = 300_000
+#: Parts, and words, that a worker remembers; each starts anew when they are reached.
+CACHE_PARTS = 500_000
+#: Characters whose lower case and composition no version of Unicode changes; words of them under the vocabulary's pattern.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+class _Words(dict):
+    """Ids of the vocabulary's words as bytes, remembered up to a bound."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_PARTS:
+            self.clear()
+        ids = self[word] = array("I", [t.id for t in self.tokenize(in_bytes(word))]).tobytes()
+        return ids
+
+
+class _Parts(dict):
+    """Ids of parts without white space as bytes, remembered up to a bound."""
+
+    def __init__(self, own):
+        super().__init__()
+        self.own, self.words = own, _Words(own.model)
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHE_PARTS:
+            self.clear()
+        if _SIMPLE.fullmatch(part):
+            ids = b"".join(map(self.words.__getitem__, _WORDS.findall(part.lower())))
+        else:
+            ids = array("I", self.own.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
 
 
 class Encoder:
@@ -42,33 +80,20 @@ class Encoder:
         split = str(described["pre_tokenizer"])
         if "'invert': True" not in split or "Removed" not in split:
             raise ValueError("a vocabulary that drops white space between words is needed")
-        self.whole = re.compile("|".join([*(re.escape(x["content"]) for x in described["added_tokens"]), "[\x1c-\x1f]"]))
-        self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for part, found in zip(some, self.own.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(found.ids, "<u4").tobytes()
+        self.whole = [*(x["content"] for x in described["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
+        self.end = array("I", [end_id]).tobytes()
+        self.parts = _Parts(self.own)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text and the end id, as little-endian unsigned 32-bit numbers."""
-        out = [self.end] * len(texts)
-        for piece in slices(texts):
-            some = [(i, texts[i]) for i in piece if texts[i]]
-            split = [(i, t.split()) for i, t in some if not self.whole.search(t)]
-            every = set().union(*(parts for _, parts in split))
-            if new := every - self.known.keys():
-                if len(self.known) + len(new) > CACHE_PARTS:
-                    self.known, new = {}, every
-                self.learn(new)
-            get = self.known.__getitem__
-            for i, parts in split:
-                out[i] = b"".join(map(get, parts)) + self.end
-            for i in {i for i, _ in some} - {i for i, _ in split}:
-                out[i] = np.array(self.own.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() + self.end
+        out, get = [], self.parts.__getitem__
+        for text in texts:
+            if not text:
+                out.append(self.end)
+            elif any(x in text for x in self.whole):
+                out.append(array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes() + self.end)
+            else:
+                out.append(b"".join(map(get, text.split())) + self.end)
         return out
 
 

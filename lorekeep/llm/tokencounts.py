@@ -20,7 +20,6 @@ import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
-from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -28,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import over_batches, record_batch, slices
+from lorekeep.llm.common import over_batches, record_batch
 
 SAMPLE_ROWS = 20_000
-TABLE_ROWS = 65_536
-#: Pre-tokens that a worker remembers besides the table; it starts anew when they are reached.
-CACHE_ROWS = 600_000
-#: Texts above this are walked in pieces of as many pre-tokens.
+TABLE_ROWS = 32_768
+#: Pre-tokens that a worker remembers besides the table, and parts between spaces; each starts anew when the number is reached.
+CACHE_ROWS = 500_000
+#: Texts above this are walked pre-token by pre-token, without a list of them.
 WALK = 200_000
 
 #: Fixed value: the published pattern of byte-level BPE pre-tokens.
@@ -68,8 +67,62 @@ def load(path: str):
     return own, described
 
 
+def byte_names() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it shows, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (c for c in range(256) if c not in shown)
+    return {c: chr(c) for c in shown} | {c: chr(256 + i) for i, c in enumerate(rest)}
+
+
+_NAMES = byte_names()
+
+
+def in_bytes(token: str) -> str:
+    """The token in a byte-level vocabulary's spelling."""
+    if token.isascii() and token.isprintable() and " " not in token:
+        return token
+    return token.encode().decode("latin-1").translate(_NAMES)
+
+
+class _Lengths(dict):
+    """Tokens of pre-tokens: the broadcast tier, and what the worker encodes, up to a bound."""
+
+    def __init__(self, model, frequent: dict[str, int]):
+        super().__init__(frequent)
+        self.tokenize, self.frequent, self.odd = model.tokenize, frequent, _unassigned()
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= len(self.frequent) + CACHE_ROWS:
+            self.clear()
+            self.update(self.frequent)
+        n = self[token] = _UNSURE if not token.isascii() and self.odd.search(token) else len(self.tokenize(in_bytes(token)))
+        return n
+
+
+class _Parts(dict):
+    """Tokens of what follows a space up to the next one, up to a bound."""
+
+    def __init__(self, known: _Lengths, find):
+        super().__init__()
+        self.known, self.find = known, find
+
+    def __missing__(self, part: str) -> int:
+        if len(self) >= CACHE_ROWS:
+            self.clear()
+        if not part or part[0].isspace() or part[-1].isspace():
+            n = _APART
+        else:
+            n = sum(map(self.known.__getitem__, self.find.findall(" " + part)))
+        self[part] = n
+        return n
+
+
 class Counts:
-    """Counts tokens of texts. ``known`` starts as the broadcast tier and takes in what the worker encodes."""
+    """Counts tokens of texts. ``known`` starts as the broadcast tier and takes in the pre-tokens that the worker encodes.
+
+    A single space between two other characters always begins a pre-token. Parts between such spaces recur, so their sums
+    are remembered as well; a text with other white space beside a space is looked up pre-token by pre-token.
+    """
 
     def __init__(self, path: str, frequent: dict[str, int]):
         self.own, described = load(path)
@@ -77,53 +130,35 @@ class Counts:
         if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or described["normalizer"]:
             raise ValueError("a vocabulary of plain byte-level BPE is needed")
         added = [x["content"] for x in described["added_tokens"]]
-        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+        self.added = added, re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.find = regex.compile(PATTERN)
-        self.odd = _unassigned()
-        self.frequent, self.known = frequent, dict(frequent)
-
-    def learn(self, tokens: set[str]) -> None:
-        if len(self.known) + len(tokens) > len(self.frequent) + CACHE_ROWS:
-            self.known = dict(self.frequent)
-        new = list(tokens)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for token, encoded in zip(part, self.own.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[token] = _UNSURE if self.odd.search(token) else len(encoded.ids)
+        self.known = _Lengths(self.own.model, frequent)
+        self.parts = _Parts(self.known, self.find)
 
     def walked(self, text: str) -> int:
-        """Tokens of one long text without added tokens."""
-        total, found = 0, self.find.finditer(text)
-        while tokens := [m.group() for m in islice(found, WALK)]:
-            if new := set(tokens) - self.known.keys():
-                self.learn(new)
-                self.learn(set(tokens) - self.known.keys())
-            total += sum(map(self.known.__getitem__, tokens))
-        return total
+        """Tokens of a text without added tokens, pre-token by pre-token."""
+        return sum(map(self.known.__getitem__, (m.group() for m in self.find.finditer(text))))
 
     def of(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of every text."""
-        counts = [0] * len(texts)
-        for part in slices(texts):
-            some = [(i, texts[i]) for i in part if texts[i]]
-            plain = [(i, t) for i, t in some if len(t) <= WALK and not self.added.search(t)]
-            split = [self.find.findall(t) for _, t in plain]
-            if new := (every := set().union(*split)) - self.known.keys():
-                self.learn(new)
-                self.learn(every - self.known.keys())
-            get = self.known.__getitem__
-            for (i, _), tokens in zip(plain, split, strict=True):
-                counts[i] = sum(map(get, tokens))
-            done = {i for i, _ in plain}
-            for i, t in some:
-                if i not in done:
-                    counts[i] = sum(map(self.walked, self.added.split(t))) + len(self.added.findall(t))
-                if counts[i] < 0:
-                    counts[i] = len(self.own.encode(t, add_special_tokens=False).ids)
+        counts, get = [], self.parts.__getitem__
+        for t in texts:
+            if not t:
+                counts.append(0)
+                continue
+            n, special = _APART, any(x in t for x in self.added[0])
+            if len(t) <= WALK and not special:
+                first, *rest = t.split(" ")
+                if not first[-1:].isspace() and (first or not rest):
+                    n = self.walked(first) + sum(map(get, rest))
+            if n < _UNSURE:
+                n = sum(map(self.walked, self.added[1].split(t))) + (len(self.added[1].findall(t)) if special else 0)
+            counts.append(n if n >= 0 else len(self.own.encode(t, add_special_tokens=False).ids))
         return counts
 
 
-_UNSURE = -(1 << 50)
+#: Stand in for lengths: the library has to count the text; it has to be walked pre-token by pre-token.
+_UNSURE, _APART = -(1 << 30), -(1 << 58)
 
 
 def frequent_lengths(df: DataFrame, path: str, text: str = "text", sample_rows: int = SAMPLE_ROWS, table_rows: int = TABLE_ROWS) -> dict[str, int]:
@@ -139,7 +174,7 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", sample_rows:
         def tally(batch):
             tally = Counter()
             for t in batch.column(0).to_pylist():
-                if t and len(t) <= WALK and not counts.added.search(t):
+                if t and len(t) <= WALK and not counts.added[1].search(t):
                     tally.update(counts.find.findall(t))
             best = tally.most_common(table_rows)
             return record_batch(_TALLY, [[k for k, _ in best], [v for _, v in best]])
@@ -149,8 +184,7 @@ def frequent_lengths(df: DataFrame, path: str, text: str = "text", sample_rows:
     parts = df.select(F.col(text).alias("t")).sample(share, seed=1).mapInArrow(lambda batches: make()(batches), "token string, n long")
     best = parts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(table_rows)
     found = Counts(path, {})
-    found.learn({row[0] for row in best.select("token").collect()})
-    return found.known
+    return {row[0]: found.known[row[0]] for row in best.select("token").collect()}
 
 
 _TALLY = pa.schema([("token", pa.string()), ("n", pa.int64())])
