@@ -14,8 +14,8 @@ Groups: equal word sequences are one class at once and are represented by their
 their other samples; each is paired with the first of its run and with the one before it, so there are at most two
 pairs per text and band and no group is ever held or multiplied out. The sort is a range exchange that splits
 groups of any size; pairs across range borders are added afterwards. Each text's best pair is verified first; of
-the others only those that would still join two components. Then the rows outside the component of the first of their
-run are sorted anew and paired among themselves, as long as that finds links.
+the others only those that would still join two components. In further passes, the rows outside the component of the
+first of their run are sorted anew and paired among themselves.
 
 Defined results: texts without words are copies of one another; a text of one to four words has one shingle, itself. Rows that
 repeat an id are one document and stay or go together; null ids are compared like others, and come last. Extra columns are carried by ``keep_one`` and ignored
@@ -40,6 +40,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 BUCKETS = 18
+#: Times that candidates are paired; on 51,282 documents they added 2463, 14, 5 and 0 links.
+PASSES = 3
 DAMPING = 12.0
 CACHE_WORDS = 500_000
 _SLICE = 400_000
@@ -254,20 +256,34 @@ def verified(pairs: DataFrame, texts: DataFrame, held, threshold: float) -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Written table of (node, label): the smallest node that links lead to, for nodes with links."""
+    """Written table of (node, label): the smallest node that links lead to, for nodes with links.
+
+    A node takes the smallest label among its neighbours and then the label of that label, until nothing changes.
+    """
     edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "neardup-edges")
-    labels = stored(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "neardup-labels")
+    labels = edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label"))
     while True:
+        labels = stored(labels, "neardup-labels")
         seen = edges.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("m"))
-        lower = labels.join(seen, labels["node"] == seen["x"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        lower = stored(lower, "neardup-labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(lower.join(jump, "label").select("node", F.least("label", "further").alias("label"), "was"), "neardup-labels")
+        lower = labels.join(seen.withColumnRenamed("x", "node"), "node").select("node", F.least("label", "m").alias("lower"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("further"))
+        new = stored(lower.join(jump, "lower").select("node", F.least("lower", "further").alias("label"), "was"), "neardup-labels")
         if new.where("label <> was").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links. Only the components that links join take part in the search."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = components(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    moved = between.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = between.join(labels.select("node"), "node", "left_anti")
+    return stored(old.unionByName(new), "neardup-labels")
+
+
 def _unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
@@ -295,25 +311,19 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     full = reps.where(F.col("rep").isNotNull() & (F.size("bands") > 0)).select("rep", F.posexplode("bands").alias("band", "value"), order.alias("order"))
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
     labels = stored(full.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0), "neardup-labels")
-    links, tried, bands, turn = None, None, full, 0
-    while True:
+    tried, bands = None, full
+    for turn in range(PASSES):
         pairs = candidates(bands)
         if tried is not None:
             pairs = _unlike(pairs.join(tried, ["a", "b"], "left_anti"), labels)
         pairs = stored(pairs, "neardup-candidates")
         best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
         first = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b")
-        grown = False
         for chosen in (first, pairs.join(first, ["a", "b"], "left_anti").select("a", "b")):
-            found = verified(_unlike(chosen, labels), texts, held, threshold)
-            if not found.isEmpty():
-                links, grown = (found if links is None else links.unionByName(found)), True
-                labels = components(links)
-        if not grown:
-            break
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        turn += 1
-        bands = _left(full, labels, turn)
+            labels = merged(labels, verified(_unlike(chosen, labels), texts, held, threshold))
+        if turn + 1 < PASSES:
+            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+            bands = _left(full, labels, turn)
     label = labels
     named = reps.select("digest", "rep").join(label, reps["rep"] == label["node"], "left").select("digest", "rep", F.coalesce("label", "rep").alias("class_id"))
     joined = signed.select("key", "digest").join(named, "digest")
