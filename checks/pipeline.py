@@ -92,7 +92,19 @@ def bulk_model_input(spark, d):
 def embed_documents(spark, d):
     rows = V.raw_texts(spark, d)
     found = embed_rows(rows, "raw_text", HashingEmbedder(DIM), DIM)
-    return found.select("document_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first"))
+    first = F.round(F.col("embedding")[0].cast("double"), 4).alias("first")
+    return found.select("document_id", F.size("embedding").cast("long").alias("dim"), first)
+
+
+#: Stop words of the index check; the stemmer is tested with the published word list.
+STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "it", "for", "on", "with", "by", "le", "la", "de", "der", "die", "el", "que")
+
+
+def bm25_docs_stopwords(spark, d):
+    """An index that leaves stop words out, of texts and of queries."""
+    index = LexicalIndex.of(V.raw_texts(spark, d), ["document_id"], "raw_text", Tokenizer(STOP_WORDS), keep=True)
+    hits = bm25_search(index, V.questions(spark, d), 20)
+    return hits.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_docs_english(spark, d):
@@ -140,6 +152,18 @@ SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lead <> '' AND kw IS NO
         """SELECT CAST(doc_id AS VARCHAR) AS document_id,
  CAST(CASE WHEN length(text) > 6000 THEN 6004 ELSE length(text) END AS VARCHAR) AS summary FROM documents""",
     ),
-    "embed_documents": (embed_documents, None),
+    "embed_documents": (
+        embed_documents,
+        f"""WITH w AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS c FROM (SELECT doc_id,
+  unnest(list_filter(string_split_regex(lower(text), {S.SPACES}), lambda w: w <> '')) AS w FROM documents)),
+b AS (SELECT doc_id, c % {DIM} AS i, sum(CASE WHEN c >= 2147483648 THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS norm, CAST(coalesce(max(CASE WHEN i = 0 THEN s END), 0) AS DOUBLE) AS s0 FROM b GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS document_id, CAST(CASE WHEN norm > 0 THEN {DIM} ELSE -1 END AS BIGINT) AS dim,
+ round(CAST(CAST(s0 / nullif(norm, 0) AS FLOAT) AS DOUBLE), 4) AS first FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    ),
+    "bm25_docs_stopwords": (
+        bm25_docs_stopwords,
+        f"WITH {S.bm25(S.CONTENT_TEXTS, S.QUESTIONS, 20, stop=STOP_WORDS)} SELECT query_id, id AS document_id, score, rank FROM bm",
+    ),
     "bm25_docs_english": (bm25_docs_english, None),
 }

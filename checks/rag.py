@@ -76,8 +76,8 @@ _DOC_HITS = f"""WITH {S.bm25(DOC_BODY, S.QUESTIONS, 20)}, h AS (SELECT query_id,
 _PROMPT_SQL = f"""{_DOC_HITS.replace("rank < 5", "rank < 3 AND score > 20")}, {_BUDGET.format(text="text")},
 c AS (SELECT query_id, string_agg('--- Document : ' || file_name || ' ---' || chr(10) || snip, chr(10) || chr(10)
   ORDER BY rank) AS context, count(*) AS n FROM k GROUP BY query_id)
-SELECT item_id AS query_id, '### Instruction' || chr(10) || text || chr(10) || chr(10) || '### Context' || chr(10)
- || coalesce(context, '(aucun document trouvé)') || chr(10) || chr(10) || '### Answer' || chr(10) AS prompt,
+SELECT item_id AS query_id, 'Sources:' || chr(10) || coalesce(context, '(aucun document trouvé)') || chr(10) || chr(10)
+ || 'Question, to be answered from these sources: ' || text || chr(10) AS prompt,
  coalesce(n, 0) AS n_sources FROM benchmark LEFT JOIN c ON query_id = item_id"""
 _LABEL = """concat_ws(' - ', file_name, CASE WHEN page <> 0 THEN 'p.' || page END, section)"""
 _LABELS = f"""{_CHUNK_HITS}, l AS (SELECT query_id, {_LABEL} AS label, min(rank) AS r FROM h GROUP BY 1, 2)"""

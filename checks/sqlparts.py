@@ -16,14 +16,19 @@ METADATA = """(SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN toxic =
  THEN 'No summary available (LLM failed)' ELSE 'quality ' || quality || ', toxic ' || toxic END
  AS summary FROM labels)"""
 
+CONTENT_TEXTS = "(SELECT CAST(doc_id AS VARCHAR) AS id, text AS body FROM documents)"
+
+SPACES = "'[' || " + WS + " || ']+'"
+
 QUESTIONS = """(SELECT item_id AS query_id, text AS query, embedding AS vector
  FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"""
 
 
-def tokens(text: str) -> str:
+def tokens(text: str, stop: tuple = ()) -> str:
+    left_out = ", ".join(f"'{w}'" for w in ("", *stop))
     return (
         f"list_filter(string_split_regex(strip_accents(lower({text})), '[^a-z]+'), "
-        "lambda t: t <> '')"
+        f"lambda t: t NOT IN ({left_out}))"
     )
 
 
@@ -36,17 +41,17 @@ def lines(text: str) -> str:
     )
 
 
-def bm25(texts: str, queries: str, pool: int, carry: str = "") -> str:
+def bm25(texts: str, queries: str, pool: int, carry: str = "", stop: tuple = ()) -> str:
     """CTEs up to ``bm``: query_id, id, score, rank. ``texts``: id, body[, carry]."""
     more = f", {carry}" if carry else ""
     return f"""
-bm_src AS (SELECT id{more}, {tokens("body")} AS toks FROM {texts}),
+bm_src AS (SELECT id{more}, {tokens("body", stop)} AS toks FROM {texts}),
 bm_len AS (SELECT id{more}, len(toks) AS dl FROM bm_src),
 bm_tf AS (SELECT id, term, count(*) AS tf
           FROM (SELECT id, unnest(toks) AS term FROM bm_src) GROUP BY id, term),
 bm_df AS (SELECT term, count(*) AS df FROM bm_tf GROUP BY term),
 bm_st AS (SELECT count(*) AS n, avg(dl) AS a FROM bm_len),
-bm_q AS (SELECT DISTINCT query_id, unnest({tokens("query")}) AS term FROM {queries}),
+bm_q AS (SELECT DISTINCT query_id, unnest({tokens("query", stop)}) AS term FROM {queries}),
 bm_sc AS (SELECT query_id, id{more}, round(sum(log10((n - df + 0.5) / (df + 0.5) + 1)
             * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score
           FROM bm_q JOIN bm_tf USING (term) JOIN bm_df USING (term) JOIN bm_len USING (id), bm_st
@@ -108,7 +113,7 @@ def split(name: str, source: str, size: int, overlap: int) -> str:
  WHERE piece <> '')"""
 
 
-def chunks(cap: int | None = 100) -> str:
+def chunks(cap: int | None = None) -> str:
     """CTEs up to ``ch``: document_id, chunk_index, id, text, parent_text.
 
     Written for documents whose lines are all narrative, as in the given data.

@@ -158,7 +158,7 @@ def migrate_keywords_json(spark, d):
 
 
 def invalid_json_sample(spark, d):
-    return migrate.invalid_json(_legacy_keywords(spark, d), None)
+    return migrate.invalid_json(_legacy_keywords(spark, d))
 
 
 def add_missing_column(spark, d):

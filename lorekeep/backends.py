@@ -8,11 +8,11 @@ speak the common local-model protocol and are used only when configured.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import time
 import urllib.error
 import urllib.request
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,14 +26,15 @@ Embedder = Callable[[str], "list[float] | None"]
 Describer = Callable[[bytes, str], "str | None"]
 Chat = Callable[[str], str]
 
-# Lengths tried when a text exceeds the model's context, attempts, waits.
-EMBED_LIMITS = (8000, 4000, 2000)
+# Window of a text that a model is shown, least window, attempts, waits.
+EMBED_WINDOW = 8000
+EMBED_LEAST = 250
 EMBED_ATTEMPTS = 2
 VISION_ATTEMPTS = 2
 VISION_BACKOFF_SECONDS = 2
 OCR_PROMPT = (
-    "Transcribe all text of this image word for word, in reading order, as Markdown. "
-    "Keep tables and lists. Describe charts and user interfaces."
+    "The picture is part of a document that people search by its words. Write down every word "
+    "that can be read in it; where a drawing or a screen carries meaning, say what it shows."
 )
 
 
@@ -43,17 +44,29 @@ class ContextTooLong(Exception):
 
 @dataclass(frozen=True)
 class HashingEmbedder:
-    """Deterministic signed feature hashing of lower-cased words, unit length."""
+    """Deterministic signed feature hashing of lower-cased words, unit length.
+
+    A word's number is the first eight hexadecimal digits of its MD5.
+    """
 
     dim: int
 
     def __call__(self, text: str) -> list[float] | None:
-        vector = np.zeros(self.dim)
-        for word in text.lower().split():
-            code = zlib.crc32(word.encode())
-            vector[code % self.dim] += 1.0 if code & 0x80000000 else -1.0
-        norm = np.linalg.norm(vector)
-        return None if norm == 0 else (vector / norm).tolist()
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[list[float] | None]:
+        """Vectors of whole texts; equal words of a batch are hashed once."""
+        split = [(t or "").lower().split() for t in texts]
+        words = list(dict.fromkeys(w for part in split for w in part))
+        codes = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words}
+        out = []
+        for part in split:
+            code = np.fromiter(map(codes.__getitem__, part), np.int64, len(part))
+            sign = np.where(code & 0x80000000, 1.0, -1.0)
+            vector = np.bincount(code % self.dim, sign, self.dim)
+            norm = np.linalg.norm(vector)
+            out.append(None if norm == 0 else (vector / norm).tolist())
+        return out
 
 
 @dataclass(frozen=True)
@@ -81,20 +94,42 @@ class HttpEmbedder:
 
 
 def embed_text(text: str | None, embedder: Embedder, dim: int) -> list[float] | None:
-    """One vector, or None: shorter inputs are tried only if the text is too long."""
-    for limit in EMBED_LIMITS:
+    """One vector of the whole text, or None.
+
+    A text longer than the window is embedded window by window; a window that
+    is too long for the model is halved. Several vectors are averaged with
+    their windows' lengths and scaled to unit length.
+    """
+    text = text or ""
+    found: list[tuple[list[float], int]] = []
+    size, start = EMBED_WINDOW, 0
+    while start < len(text) or not found:
+        piece = text[start : start + size]
         try:
-            vector = embedder((text or "")[:limit])
+            vector = embedder(piece)
         except ContextTooLong:
+            size = min(size, len(piece)) // 2
+            if size < EMBED_LEAST:
+                return None
             continue
         except Exception:  # noqa: BLE001 - a failing model must not fail the job
             return None
-        return list(vector) if vector is not None and len(vector) == dim else None
-    return None
+        if vector is None or len(vector) != dim:
+            return None
+        found.append((list(vector), len(piece)))
+        start += size
+    if len(found) == 1:
+        return found[0][0]
+    total = np.average([v for v, _ in found], axis=0, weights=[n for _, n in found])
+    norm = np.linalg.norm(total)
+    return None if norm == 0 else (total / norm).tolist()
 
 
 def embed_column(embedder: Embedder, dim: int, attempts: int = EMBED_ATTEMPTS):
-    """A column function ``text -> array<float>``; NULL where the model failed."""
+    """A column function ``text -> array<float>``; NULL where the model failed.
+
+    A model with a ``batch`` method is shown all texts of a batch at once.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -105,8 +140,9 @@ def embed_column(embedder: Embedder, dim: int, attempts: int = EMBED_ATTEMPTS):
                     return vector
             return None
 
+        together = getattr(embedder, "batch", None)
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
+            yield pd.Series(together(texts.tolist()) if together else [one(t) for t in texts], dtype=object)
 
     return embed
 

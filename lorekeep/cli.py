@@ -22,12 +22,12 @@ from lorekeep.session import KnowledgeBase, Settings, build_session
 from lorekeep.sources.files import read_files, read_jsonl
 
 SYSTEM_PROMPT = (
-    "Use nothing but the given documents. Cite them. If they do not answer the question, "
-    "say so and name what is missing."
+    "You look things up in a company's documents. Every statement of yours names the document it is "
+    "taken from; what they leave open, you leave open and point out."
 )
 ANALYSIS_PROMPT = (
-    "Summarise the text in French and list its keywords. Reply with a JSON object only: "
-    '{"summary": "...", "keywords": ["..."]}.'
+    "For a search index: one French sentence or two on what the text is about (summary), and the terms under "
+    'which somebody would look for it (keywords). Return {"summary": string, "keywords": [string, ...]} and nothing else.'
 )
 
 
@@ -229,7 +229,7 @@ def cmd_migrate(kb, args, found):
             hadoop = spark._jvm.org.apache.hadoop.fs.FileUtil
             target = kb._path(f"{kb.root}.backup-{stamp}")
             hadoop.copy(kb._fs, kb._path(kb.root), kb._fs, target, False, spark._jsc.hadoopConfiguration())
-        kb.commit(migrate.migrated_tables(spark, tables), full=True)
+        kb.commit(migrate.migrated_tables(spark, tables), replaces=[e["batch"] for e in kb._log()])
     return 2 if migrate.is_blocked(plan) else 0
 
 

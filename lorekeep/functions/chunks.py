@@ -19,6 +19,9 @@ from lorekeep.functions.text import bind, strip
 # right behind the punctuation mark or the newline of the last such place.
 LAST_BOUNDARY = r"(?s)^.*(?:[.!?](?= )|\n)"
 
+# Characters of the blocks that long texts are cut from.
+BLOCK_CHARS = 4096
+
 CHUNKS = (
     "array<struct<chunk_index:int,text:string,parent_text:string,"
     "element_type:string,page_number:int,section:string>>"
@@ -33,30 +36,33 @@ class ChunkRules:
     table_max_chars: int = 3000
     child_chars: int = 300
     child_overlap: int = 50
-    max_chunks: int | None = 100
+    max_chunks: int | None = None
 
 
-def split_long_text(
-    text: Column, max_chars: int, overlap: int, max_parts: int | None = None
-) -> Column:
+def split_long_text(text: Column, max_chars: int, overlap: int) -> Column:
     """Overlapping parts of at most ``max_chars``, cut at sentence ends if possible.
 
-    ``max_parts`` only stops the work early when a caller keeps no more parts.
+    A long text is first cut into blocks of fixed size, so that a part is taken
+    from one or two blocks and not searched for from the start of the text.
     """
     if not 0 <= overlap < max_chars // 2:
         raise ValueError("overlap must be smaller than half of max_chars")
     quarter, half = max_chars // 4, max_chars // 2
+    size = max(BLOCK_CHARS, max_chars)
+
+    def taken(blocks: Column, start: Column, count: Column) -> Column:
+        at = F.floor(start / size).cast("int")
+        pair = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+        return F.substring(pair, (start - at * size + 1).cast("int"), count)
 
-    def advance(n: Column, state: Column, k: Column) -> Column:
+    def advance(blocks: Column, n: Column, state: Column, k: Column) -> Column:
         start = F.when(k == 0, 0).otherwise(F.greatest(F.lit(0), state["stop"] - overlap))
-        return bind(start, lambda s: emit(n, state, s))
+        return bind(start, lambda s: emit(blocks, n, state, s))
 
-    def emit(n: Column, state: Column, start: Column) -> Column:
+    def emit(blocks: Column, n: Column, state: Column, start: Column) -> Column:
         reach = F.least(start + max_chars, n)
         low = F.greatest(start, reach - quarter)
-        tail = F.length(
-            F.regexp_extract(F.substring(text, low + 1, reach - low), LAST_BOUNDARY, 0)
-        )
+        tail = F.length(F.regexp_extract(taken(blocks, low, reach - low), LAST_BOUNDARY, 0))
         stop = bind(
             tail,
             lambda t: F.when(
@@ -66,37 +72,35 @@ def split_long_text(
         return bind(
             stop,
             lambda e: F.struct(
-                e.alias("stop"),
-                F.concat(
-                    state["parts"], F.array(strip(F.substring(text, start + 1, e - start)))
-                ).alias("parts"),
+                e.alias("stop"), F.concat(state["cuts"], F.array(F.struct(start.alias("start"), e.alias("stop")))).alias("cuts")
             ),
         )
 
-    def loop(n: Column) -> Column:
+    def loop(blocks: Column, n: Column) -> Column:
+        # The state is copied in every round, so it holds places and no text.
         start = F.struct(
-            F.lit(0).alias("stop"), F.array().cast("array<string>").alias("parts")
+            F.lit(0).alias("stop"), F.array().cast("array<struct<start:int,stop:int>>").alias("cuts")
         )
         # Each part moves on by more than half - overlap, which bounds the rounds.
         rounds = (n / (half - overlap)).cast("int") + 1
-        if max_parts is not None:
-            rounds = F.least(rounds, F.lit(2 * max_parts))
-        done = lambda state, k: (k > 0) & (state["stop"] >= n)
-        if max_parts is not None:
-            enough = lambda state, k: done(state, k) | (F.size(state["parts"]) >= 2 * max_parts)
-        else:
-            enough = done
-        parts = F.aggregate(
+        cuts = F.aggregate(
             F.sequence(F.lit(0), rounds),
             start,
-            lambda state, k: F.when(enough(state, k), state).otherwise(advance(n, state, k)),
-            lambda state: state["parts"],
+            lambda state, k: F.when((k > 0) & (state["stop"] >= n), state).otherwise(
+                advance(blocks, n, state, k)
+            ),
+            lambda state: state["cuts"],
         )
+        parts = F.transform(cuts, lambda c: strip(taken(blocks, c["start"], c["stop"] - c["start"])))
         return F.filter(parts, lambda p: p != "")
 
+    def blocks_of(n: Column) -> Column:
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        return bind(blocks, lambda b: loop(b, n))
+
     return bind(
         F.length(text),
-        lambda n: F.when(n <= max_chars, F.array(text)).otherwise(loop(n)),
+        lambda n: F.when(n <= max_chars, F.array(text)).otherwise(blocks_of(n)),
     )
 
 
@@ -107,7 +111,7 @@ def parent_chunks(elements: Column, rules: ChunkRules = ChunkRules()) -> Column:
         def shape(text: Column) -> Column:
             table = element["element_type"] == "Table"
             long = F.length(text) > rules.max_chars
-            cut = split_long_text(text, rules.max_chars, rules.overlap, rules.max_chunks)
+            cut = split_long_text(text, rules.max_chars, rules.overlap)
             whole = table & (F.length(text) <= rules.table_max_chars)
             own = F.when(whole, F.array(text)).when(table | long, cut)
             return F.struct(
@@ -125,73 +129,43 @@ def parent_chunks(elements: Column, rules: ChunkRules = ChunkRules()) -> Column:
     prepared = F.transform(
         F.filter(elements, lambda e: e["text"].isNotNull() & (strip(e["text"]) != "")), prepare
     )
-    parent_type = (
-        "array<struct<text:string,meta:struct<element_type:string,page_number:int,section:string>>>"
-    )
-    start = F.struct(
-        F.lit("").alias("buffer"),
-        F.lit(None).cast("struct<element_type:string,page_number:int,section:string>").alias("meta"),
-        F.array().cast(parent_type).alias("parents"),
-    )
-
-    def flushed(state: Column) -> Column:
-        pending = F.array(
-            F.struct(state["buffer"].alias("text"), state["meta"].alias("meta"))
-        )
-        return F.when(
-            state["buffer"] != "", F.concat(state["parents"], pending)
-        ).otherwise(state["parents"])
-
-    def add(state: Column, element: Column) -> Column:
-        buffer, text = state["buffer"], element["text"]
-        held = F.length(buffer)
+    def step(state: Column, sizes: Column) -> Column:
+        held, size = state["held"], sizes["size"]
         title_break = (
-            element["meta"]["element_type"].isin(*TITLE_TYPES)
-            & (held > 0)
-            & (held >= min(rules.section_min_chars, rules.max_chars))
+            sizes["title"] & (held > 0) & (held >= min(rules.section_min_chars, rules.max_chars))
         )
-        alone = element["own"].isNotNull()
-        full = held + 1 + F.length(text) > rules.max_chars
-        restart = title_break | alone | (held == 0) | full
-
-        own = F.transform(
-            element["own"], lambda t: F.struct(t.alias("text"), element["meta"].alias("meta"))
-        )
-        return (
-            F.when(
-                alone,
-                F.struct(
-                    F.lit("").alias("buffer"),
-                    element["meta"].alias("meta"),
-                    F.concat(flushed(state), own).alias("parents"),
-                ),
-            )
-            .when(
-                restart,
-                F.struct(
-                    text.alias("buffer"),
-                    element["meta"].alias("meta"),
-                    flushed(state).alias("parents"),
-                ),
-            )
-            .otherwise(
-                F.struct(
-                    F.concat(buffer, F.lit("\n"), text).alias("buffer"),
-                    state["meta"].alias("meta"),
-                    state["parents"].alias("parents"),
-                )
-            )
+        restart = title_break | sizes["alone"] | (held == 0) | (held + 1 + size > rules.max_chars)
+        begun = F.when(restart, F.concat(state["starts"], F.array(sizes["at"])))
+        return F.struct(
+            F.when(sizes["alone"], 0).when(restart, size).otherwise(held + 1 + size).alias("held"),
+            F.coalesce(begun, state["starts"]).alias("starts"),
         )
 
-    def step(state: Column, element: Column) -> Column:
-        if rules.max_chunks is None:
-            return add(state, element)
-        # Every parent yields a chunk, so past the cap nothing more can be kept.
-        return F.when(F.size(state["parents"]) >= rules.max_chunks, state).otherwise(
-            add(state, element)
+    def grouped(elements: Column) -> Column:
+        sizes = F.transform(
+            elements,
+            lambda e, i: F.struct(
+                i.alias("at"),
+                F.length(e["text"]).alias("size"),
+                F.coalesce(e["meta"]["element_type"].isin(*TITLE_TYPES), F.lit(False)).alias("title"),
+                e["own"].isNotNull().alias("alone"),
+            ),
+        )
+        # As above: the state that every round copies has places only.
+        nothing = F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, nothing, step, lambda state: state["starts"])
+        return bind(starts, lambda found: F.flatten(F.transform(found, lambda s, k: parents_of(elements, found, s, k))))
+
+    def parents_of(elements: Column, starts: Column, start: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get(starts, k + 1), F.size(elements))
+        first = F.get(elements, start)
+        text = F.array_join(F.transform(F.slice(elements, start + 1, stop - start), lambda e: e["text"]), "\n")
+        return F.transform(
+            F.coalesce(first["own"], F.array(text)),
+            lambda t: F.struct(t.alias("text"), first["meta"].alias("meta")),
         )
 
-    return F.aggregate(prepared, start, step, flushed)
+    return bind(prepared, grouped)
 
 
 def chunk_elements(elements: Column, rules: ChunkRules = ChunkRules()) -> Column:

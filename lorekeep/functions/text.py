@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ TAIL_MARKER = "Queue du document:"
 FAILED_SUMMARY = "No summary available (LLM failed)"
 FAILED_KEYWORDS = ("error", "fallback")
 CHANNEL_MARK = "<|channel|>"
+THOUGHT_WORD = "thought"
 
 # What str.strip() removes and str.splitlines() breaks on, derived by rule.
 WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
@@ -109,11 +111,11 @@ def xml_document(index: Column, source: Column, content: Column) -> Column:
 
 def rag_prompt(question: Column, context: Column) -> Column:
     return F.concat(
-        F.lit("### Instruction\n"),
-        question,
-        F.lit("\n\n### Context\n"),
+        F.lit("Sources:\n"),
         context,
-        F.lit("\n\n### Answer\n"),
+        F.lit("\n\nQuestion, to be answered from these sources: "),
+        question,
+        F.lit("\n"),
     )
 
 
@@ -166,13 +168,25 @@ def parse_analysis(answer: Column) -> Column:
 
 
 def strip_thinking(answer: Column) -> Column:
-    """Drop reasoning blocks and keep what follows the last channel marker."""
-    mark = r"<\|channel\|>"
-    out = F.regexp_replace(
-        F.coalesce(answer, F.lit("")), rf"(?is){mark}\s*thought.*?(?={mark}|$)", ""
-    )
-    out = F.regexp_replace(out, r"(?is)<think>.*?</think>", "")
-    return strip(F.element_at(F.split(out, mark), -1))
+    """The part of an answer that is not reasoning.
+
+    Between channel markers, a part that begins with the word for thoughts is
+    dropped; of the rest the last counts. In it, whatever stands between a
+    think tag and its end tag is dropped.
+    """
+    parts = F.split(F.coalesce(answer, F.lit("")), re.escape(CHANNEL_MARK))
+    first, later = F.slice(parts, 1, 1), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    said = F.filter(later, lambda p: ~F.startswith(F.lower(F.ltrim(strip(p))), F.lit(THOUGHT_WORD)))
+    last = F.element_at(F.concat(first, said), -1)
+
+    def outside(pieces: Column) -> Column:
+        kept = F.transform(
+            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+            lambda p: bind(F.split(p, "(?i)</think>", 2), lambda x: F.when(F.size(x) > 1, x[1]).otherwise(F.concat(F.lit("<think>"), p))),
+        )
+        return F.concat(pieces[0], F.array_join(kept, ""))
+
+    return strip(bind(F.split(last, "(?i)<think>"), outside))
 
 
 def keywords_from_json(raw: Column) -> Column:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lorekeep.functions.text import bind
 from lorekeep.functions.tokens import Tokenizer, term_counts
@@ -129,10 +130,15 @@ class LexicalIndex:
         self.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+        self.posted.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
+
     @staticmethod
     def load(spark, path: str, ids: list[str], tokenizer: Tokenizer) -> LexicalIndex:
+        """A stored index; one of no texts has no postings file, so the schema is stored beside it."""
+        schema = spark.read.parquet(f"{path}/schema").schema
+        prefixed = StructType([*schema.fields, StructField("prefix", StringType())])
         return LexicalIndex(
-            spark.read.parquet(f"{path}/postings"),
+            spark.read.schema(prefixed).parquet(f"{path}/postings"),
             spark.read.parquet(f"{path}/frequencies"),
             spark.read.parquet(f"{path}/stats"),
             tuple(ids),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lorekeep.backends import Embedder, embed_column
-from lorekeep.functions.text import truncate
 from lorekeep.operators.common import spread
 from lorekeep.operators.lexical import LexicalIndex
 from lorekeep.operators.upkeep import pending
@@ -21,7 +20,7 @@ LEVELS = {
 
 def embed_rows(rows: DataFrame, text: str, embedder: Embedder, dim: int) -> DataFrame:
     """The rows with new vectors, NULL where the model failed twice."""
-    return rows.withColumn("embedding", embed_column(embedder, dim)(truncate(F.col(text))))
+    return rows.withColumn("embedding", embed_column(embedder, dim)(F.col(text)))
 
 
 def embed_pending(

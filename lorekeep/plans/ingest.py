@@ -26,29 +26,51 @@ OUTCOME = ["path", "id", "status", "n_chunks", "detail"]
 def _vector(embedder: Embedder | None, dim: int, text: Column) -> Column:
     if embedder is None:
         return F.lit(None).cast("array<float>")
-    return F.when(X.strip(text) != "", embed_column(embedder, dim)(X.truncate(text)))
+    return F.when(X.strip(text) != "", embed_column(embedder, dim)(text))
 
 
 def analyze(
     rows: DataFrame,
     analyzer: Chat | None = None,
-    shorten: Callable[[Column], Column] = X.head_and_tail,
+    shorten: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``document_id, summary, keywords``; without a model the text speaks for itself.
 
-    ``shorten`` fits long texts to the model: head and tail, or ``llm_input``,
-    the plain cut that bulk runs use.
+    A model reads a long text piece by piece; summaries are joined in order,
+    keywords of all pieces are kept once. ``shorten`` shows it one shortened
+    text instead: ``head_and_tail``, or ``llm_input``, the plain cut.
     """
     if analyzer is None:
         answer = extractive_answer(F.col("raw_text"))
-    else:
+    elif shorten is not None:
         answer = answer_column(analyzer)(shorten(F.col("raw_text")))
+    else:
+        return _analyzed_in_pieces(rows, analyzer)
     told = rows.select("document_id", answer.alias("_answer"))
     return told.select("document_id", X.parse_analysis(F.col("_answer")).alias("_a")).select(
         "document_id", "_a.summary", "_a.keywords"
     )
 
 
+def _analyzed_in_pieces(rows: DataFrame, analyzer: Chat) -> DataFrame:
+    size = X.LLM_INPUT_CHARS
+    pieces = F.regexp_extract_all(F.coalesce("raw_text", F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+    one = rows.select("document_id", F.posexplode(pieces).alias("n", "piece"))
+    told = one.select("document_id", "n", X.parse_analysis(answer_column(analyzer)(F.col("piece"))).alias("a"))
+    told = told.withColumn("ok", F.col("a.summary") != X.FAILED_SUMMARY)
+    good = told.groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("n", "a")))).alias("good"), F.first("a").alias("any")
+    )
+    words = F.array_distinct(F.flatten(F.transform("good", lambda g: g["a"]["keywords"])))
+    some = F.size("good") > 0
+    return good.select(
+        "document_id",
+        F.when(some, F.array_join(F.transform("good", lambda g: g["a"]["summary"]), " ")).otherwise(F.col("any.summary")).alias("summary"),
+        F.when(some, words).otherwise(F.col("any.keywords")).alias("keywords"),
+    )
+
+
 def build_chunks(rows: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFrame:
     """Chunk rows from ``document_id, elements``."""
     found = unnest(rows, ["document_id"], chunk_elements(F.col("elements"), rules))

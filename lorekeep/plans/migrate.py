@@ -13,7 +13,6 @@ from lorekeep.functions.text import keywords_from_json
 from lorekeep.operators.upkeep import duplicate_keys
 from lorekeep.schemas import CHUNKS, VECTOR
 
-SAMPLE_ROWS = 1000
 ACTIONS = "step int, target string, action string, detail string"
 
 
@@ -33,10 +32,9 @@ def _unique(tables: dict[str, DataFrame], name: str) -> Step:
     return Step(name, "skip", "document_id is unique")
 
 
-def invalid_json(metadata: DataFrame, sample: int | None = SAMPLE_ROWS) -> DataFrame:
-    """How many of the first (or of all) values are no JSON: one row, ``invalid``."""
+def invalid_json(metadata: DataFrame) -> DataFrame:
+    """How many values are no JSON: one row, ``invalid``."""
     values = metadata.where(F.col("keywords").isNotNull()).select("keywords")
-    values = values if sample is None else values.limit(sample)
     readable = F.try_parse_json(F.col("keywords")).isNotNull()
     return values.agg(F.count_if(~readable).alias("invalid"))
 
@@ -59,7 +57,7 @@ def _keywords(tables: dict[str, DataFrame]) -> Step:
         return Step(name, "skip", "keywords is a list")
     bad = invalid_json(tables[name]).first()[0]
     return Step(
-        name, "change", f"keywords to list, {bad} unreadable in the sample become []",
+        name, "change", f"keywords to list, {bad} unreadable become []",
         lambda t: convert_keywords(t[name]),
     )
 

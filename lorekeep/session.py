@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -131,13 +132,16 @@ class KnowledgeBase:
                 entry = json.loads(text)
             except ValueError:  # the writer died, or is still, between creating and filling it
                 continue
-            entries = [entry] if entry["full"] else [*entries, entry]
-        return entries
+            entries.append(entry)
+        replaced = {n for e in entries for n in e.get("replaces", ())}
+        return [e for e in entries if e["batch"] not in replaced]
 
     @property
-    def version(self) -> int:
-        log = self._log()
-        return log[-1]["batch"] if log else 0
+    def version(self) -> str:
+        """Names the set of live batches: any commit, whatever its number, makes another version."""
+        live = [e["batch"] for e in self._log()]
+        digest = hashlib.sha256(json.dumps(live).encode()).hexdigest()[:12]
+        return f"{max(live)}-{digest}" if live else ""
 
     def _reserve(self) -> int:
         """A batch number of one's own: two writers never share a folder."""
@@ -156,14 +160,16 @@ class KnowledgeBase:
         upserts: dict[str, DataFrame] | None = None,
         removed: dict[str, DataFrame] | None = None,
         inserts: dict[str, DataFrame] | None = None,
-        full: bool = False,
+        replaces: list[int] | None = None,
     ) -> int:
         """Publish rows and removals of any number of tables at once.
 
         ``upserts`` replace rows of the same primary key, ``inserts`` are known
         to have none, ``removed`` holds one column of primary keys per table.
-        ``full`` starts over from these rows. The tables are written side by
-        side, so that a short one does not wait for a long one.
+        ``replaces`` names batches whose rows these are; only those stop to be
+        read, so that a batch which another writer commits meanwhile is kept,
+        and its removals apply to these rows too. The tables are written side
+        by side, so that a short one does not wait for a long one.
         """
         batch = self._reserve()
         upserts, removed, inserts = upserts or {}, removed or {}, inserts or {}
@@ -197,11 +203,14 @@ class KnowledgeBase:
             ).parquet(self._dir(table, batch, "_gone"))
 
         rows = {**upserts, **inserts}
-        gone = [] if full else [t for t in TABLES if t in upserts or t in removed]
+        gone = [] if replaces is not None else [t for t in TABLES if t in upserts or t in removed]
         with ThreadPoolExecutor(len(TABLES)) as pool:
             list(pool.map(lambda item: write_rows(*item), rows.items()))
             list(pool.map(write_keys, gone))
-        entry = json.dumps({"batch": batch, "full": full, "rows": list(rows), "gone": gone})
+        told = {"batch": batch, "rows": list(rows), "gone": gone}
+        if replaces:
+            told |= {"replaces": replaces, "as_of": max(replaces)}
+        entry = json.dumps(told)
         marker = self._path(f"{self.root}/_commits/{batch:08d}")
         stream = self._fs.create(marker, False)
         stream.write(bytearray(entry.encode()))
@@ -213,9 +222,9 @@ class KnowledgeBase:
 
     # ------------------------------------------------------------- reading
 
-    def table(self, name: str) -> DataFrame:
-        """The current rows of a table."""
-        log = self._log()
+    def table(self, name: str, log: list[dict] | None = None) -> DataFrame:
+        """The current rows of a table, or those of a log read before."""
+        log = self._log() if log is None else log
         schema = TABLES[name]
         live = [self._dir(name, e["batch"]) for e in log if name in e["rows"]]
         if not live:
@@ -225,6 +234,10 @@ class KnowledgeBase:
             self.spark.read.schema(stored).option("basePath", f"{self.root}/{name}").parquet(*live)
         )
         gone = [self._dir(name, e["batch"], "_gone") for e in log if name in e["gone"]]
+        for entry in log:
+            if "as_of" in entry:
+                same = F.col("batch") == entry["batch"]
+                rows = rows.withColumn("batch", F.when(same, entry["as_of"]).otherwise(F.col("batch")))
         if gone:
             keys = (
                 self.spark.read.schema("key string, batch int")
@@ -261,7 +274,7 @@ class KnowledgeBase:
     def initialize(self) -> None:
         """Create the tables; does nothing if they are there already."""
         if not self._log():
-            self.commit(full=True)
+            self.commit(replaces=[])
 
     def keys_of_documents(self, ids: DataFrame) -> dict[str, DataFrame]:
         """Primary keys, per table, of everything that belongs to the documents ``id``."""
@@ -309,4 +322,6 @@ class KnowledgeBase:
 
     def compact(self) -> int:
         """Rewrite the current rows once, without what was replaced or deleted."""
-        return self.commit(upserts={n: self.table(n) for n in TABLES}, full=True)
+        log = self._log()
+        rows = {n: self.table(n, log) for n in TABLES}
+        return self.commit(upserts=rows, replaces=[e["batch"] for e in log])

@@ -1,6 +1,8 @@
 import base64
 import random
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -184,8 +186,28 @@ def test_title_opens_a_parent_only_after_enough_text(spark):
 def test_cap_renumbers(spark):
     rows = [("A long enough sentence to pass. " * 60, "NarrativeText", None, None)] * 150
     df = spark.createDataFrame([(rows,)], f"x {ELEMENTS}")
-    got = df.select(chunk_elements(F.col("x"))).first()[0]
+    got = df.select(chunk_elements(F.col("x"), ChunkRules(max_chunks=100))).first()[0]
     assert [c.chunk_index for c in got] == list(range(100))
+    assert len(df.select(chunk_elements(F.col("x"))).first()[0]) > 150
+
+
+def test_one_very_long_line_is_split_in_linear_time(spark):
+    def seconds(chars):
+        df = spark.createDataFrame([("Some words é of it. " * (chars // 20),)], "x string")
+        start = time.time()
+        assert df.select(F.size(split_long_text(F.col("x"), 300, 50))).first()[0] > chars / 300
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(2_000_000) < 8
+
+
+def test_documents_of_many_elements_are_chunked_in_linear_time(spark):
+    rows = [("A line of a long document, some eighty characters long, as lines mostly are.", "NarrativeText", None, None)] * 20_000
+    df = spark.createDataFrame([(rows,)], f"x {ELEMENTS}")
+    start = time.time()
+    assert df.select(F.size(chunk_elements(F.col("x")))).first()[0] > 4000
+    assert time.time() - start < 10
 
 
 # -------------------------------------------------------------------- tokens
