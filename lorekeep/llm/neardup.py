@@ -229,7 +229,8 @@ def candidates(bands: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, held, threshold: float) -> DataFrame:
     """Written table of ``pairs`` (a, b) with their weighted Jaccard similarity, of ``threshold`` or more."""
     pairs = stored(pairs.select("a", "b"), "neardup-chosen")
-    ids, _ = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    ids, _ = broadcast_if_small(stored(ids, "neardup-ids"))
     some = texts.join(ids, "rep")
     with_b = pairs.join(some.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
     both = with_b.join(some.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a")
