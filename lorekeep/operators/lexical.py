@@ -146,6 +146,12 @@ class LexicalIndex:
         )
 
 
+def half_up(values: np.ndarray) -> np.ndarray:
+    """Rounded as the other plan rounds: halves go up."""
+    scale = 10.0**SCORE_DIGITS
+    return np.floor(values * scale + 0.5) / scale
+
+
 def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Distinct terms of every query: ``query_id, term``."""
     tokens = F.array_distinct(tokenizer.tokens(F.col("query")))
@@ -254,7 +260,7 @@ def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataF
 
     Every task holds the queries as a sparse term-by-query table. The terms of
     a batch are looked up in it, and the weights of all matches are summed into
-    a small texts-by-queries matrix.
+    one score per text and query that have a term in common.
     """
     wanted = query_terms(queries.select("query_id", "query"), index.tokenizer)
     if not has_at_most(wanted, BROADCAST_ROWS):
@@ -307,16 +313,19 @@ def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataF
                 source = np.repeat(np.arange(len(word)), copies)
                 nth = np.arange(len(source)) - np.repeat(np.cumsum(copies) - copies, copies)
                 query = known["queries"][first[word[source]] + nth]
-                cells = np.bincount(
-                    text[source] * n_queries + query,
-                    weights=weight[source],
-                    minlength=batch.num_rows * n_queries,
-                ).reshape(batch.num_rows, n_queries)
+                if not len(query):
+                    continue
+                # Sums over the pairs that occur, ordered by query and text.
+                pair = query * batch.num_rows + text[source]
+                order = np.argsort(pair, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(pair[order]) > 0))
+                scores = half_up(np.add.reduceat(weight[source][order], starts))
+                pair = pair[order][starts]
                 rows = pa.table({i: batch.column(n) for n, i in enumerate(ids)})
-                for q in np.unique(query):
-                    matched = np.flatnonzero(cells[:, q] > 0)
-                    scores = np.round(cells[matched, q], SCORE_DIGITS)
-                    best.offer(q, scores, rows.take(pa.array(matched)))
+                ends = np.flatnonzero(np.append(np.diff(pair // batch.num_rows) > 0, True)) + 1
+                for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
+                    matched = pair[low:high] % batch.num_rows
+                    best.offer(int(pair[low] // batch.num_rows), scores[low:high], rows.take(pa.array(matched)))
         yield from best.batches(arrow_key)
 
     return index.terms.select(*ids, "doc_len", "terms").mapInArrow(scan, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.operators.common import has_at_most, top_per_group
+from lorekeep.operators.common import has_at_most, materialize, top_per_group
 from lorekeep.operators.topk import BestPerQuery, hit_schema, query_key
 
 SCORE_DIGITS = 8
@@ -90,7 +90,9 @@ def knn_search(
         rows = block.collect()
         for dim in sorted({len(r["vector"]) for r in rows}):
             group = [r for r in rows if len(r["vector"]) == dim]
-            found.append(_scan(vectors, ids, vector, group, key, pool))
+            hits = _scan(vectors, ids, vector, group, key, pool)
+            # Of several blocks the driver holds one: its hits are written before the next is read.
+            found.append(hits if len(blocks) == 1 else materialize(hits))
     if not found:
         nothing = hit_schema(vectors, ids, query_key(key)[0])
         found = [vectors.sparkSession.createDataFrame([], nothing)]
