@@ -149,7 +149,7 @@ _HTML = f"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace({_DROP}, '(
    '<[a-zA-Z/][^>]*$', '') AS body FROM pages),
 m AS (SELECT page_id, unnest(ms) AS part, generate_subscripts(ms, 1) AS i FROM
   (SELECT page_id, regexp_extract_all(body,
-    '(?is)<(?:h[1-6]|p|li)(?:\\s[^>]*)?>.*?(?:</(?:h[1-6]|p|li|article)\\s*>|<br><p>|$)') AS ms FROM (
+    '(?is)<(?:h[1-6]|p|li|div)(?:\\s[^>]*)?>.*?(?:</(?:h[1-6]|p|li|article|div)\\s*>|<br><p>|$)') AS ms FROM (
     SELECT page_id, replace(body, '<br><p>', '<br></p><p>') AS body FROM c))),
 t AS (SELECT page_id, i, CASE WHEN part ILIKE '<h%' THEN 'Title' WHEN part ILIKE '<li%' THEN 'ListItem'
    ELSE 'NarrativeText' END AS element_type,

@@ -19,6 +19,13 @@ ELEMENT_OF = {
     "li": "ListItem",
     "table": "Table",
 }
+# Subtrees whose text is no text of the page.
+UNSEEN = {"head", "title", "noscript", "template", "textarea", "select", "button"}
+# Elements inside a line; any other tag ends a run of text that stands in no element of its own.
+INLINE = set(
+    "a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
+    "sub sup time tt u var".split()
+)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 # Start tags that end an open paragraph (HTML standard, "p" end tag omission).
 ENDS_PARAGRAPH = set(
@@ -49,7 +56,9 @@ class _Collector(HTMLParser):
 
     Text goes to every open match, so a paragraph inside a list item is
     reported twice, as both. Each text node is stripped and the pieces are
-    joined without a separator.
+    joined without a separator. Text that stands in none of the elements, for
+    instance directly in a ``div``, is a paragraph of its own; its pieces are
+    joined by a space.
     """
 
     def __init__(self) -> None:
@@ -58,10 +67,17 @@ class _Collector(HTMLParser):
         self.found: list[dict] = []
         self.muted = 0
         self.pending = ""
+        self.unseen = 0
+        self.loose: dict | None = None
 
     def _settle_text(self) -> None:
         text, self.pending = self.pending.strip(), ""
-        if text and not self.muted:
+        if text and not self.muted and not self.unseen and all(match is None for _, match in self.open):
+            if self.loose is None:
+                self.loose = {"kind": "NarrativeText", "parts": [], "rows": []}
+                self.found.append(self.loose)
+            self.loose["parts"].append((" " if self.loose["parts"] else "") + text)
+        elif text and not self.muted:
             for tag, match in self.open:
                 if match is None:
                     continue
@@ -73,6 +89,7 @@ class _Collector(HTMLParser):
     def _close_through(self, position: int) -> None:
         for tag, _ in self.open[position:]:
             self.muted -= tag in DROPPED
+            self.unseen -= tag in UNSEEN
         del self.open[position:]
 
     def _close_open(self, tags: set[str], stop: set[str]) -> None:
@@ -87,6 +104,8 @@ class _Collector(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._settle_text()
+        if tag not in INLINE:
+            self.loose = None
         if tag in VOID:
             return
         if tag in ENDS_PARAGRAPH:
@@ -105,6 +124,7 @@ class _Collector(HTMLParser):
             match = {"kind": ELEMENT_OF[tag], "parts": [], "rows": []}
             self.found.append(match)
         self.muted += tag in DROPPED
+        self.unseen += tag in UNSEEN
         self.open.append((tag, match))
 
     def handle_startendtag(self, tag, attrs):
@@ -112,6 +132,8 @@ class _Collector(HTMLParser):
 
     def handle_endtag(self, tag):
         self._settle_text()
+        if tag not in INLINE:
+            self.loose = None
         for position in range(len(self.open) - 1, -1, -1):
             if self.open[position][0] == tag:
                 self._close_through(position)

@@ -78,7 +78,11 @@ def _row(text: str, kind: str, section: str | None = None) -> dict:
 
 
 def _csv(content: bytes) -> list[dict]:
-    table = pd.read_csv(io.BytesIO(content))
+    try:
+        text = content.decode()
+    except UnicodeDecodeError:
+        text = content.decode("cp1252", "replace")
+    table = pd.read_csv(io.StringIO(text))
     return [_row(table.to_string(index=False), "Table")]
 
 

@@ -115,8 +115,14 @@ def extract_elements(
         *[F.col(f"{h}.error") for h in helpers],
         F.when(extension.isin(*UNREADABLE), F.lit("unsupported format")),
     )
+    # Second attempt: where a reader of a textual format fails or finds nothing, the lines are read.
+    textual = extension == ".csv"
+    lines = text_elements(decode_text(F.when(textual, content))).cast(ELEMENTS)
+    nothing = textual & (F.coalesce(F.size(found), F.lit(0)) <= 0)
+    second = F.when(nothing, lines)
+    error = F.when(~(nothing & (F.coalesce(F.size(second), F.lit(0)) > 0)), error)
     return (
-        rows.withColumn("elements", F.coalesce(found, F.array().cast(ELEMENTS)))
+        rows.withColumn("elements", F.coalesce(second, found, F.array().cast(ELEMENTS)))
         .withColumn("extract_error", error)
         .drop(*helpers, *extra)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.lines import group_words
 from lorekeep.sources.files import read_files
-from lorekeep.sources.html import html_elements
+from lorekeep.sources.html import html_elements, html_matches
 from lorekeep.sources.router import extract_elements, page_elements
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body>
@@ -193,3 +193,24 @@ def test_pdf_pictures(monkeypatch):
     ]
     assert office.rasterize_page(b"x", 2, 90) == b"png@90"
     assert [p["plain"] for p in office._pdf_plain(b"x")] == [["text"], []]
+
+
+def test_text_of_plain_blocks_is_not_lost(spark):
+    page = (
+        "<html><head><title>no</title></head><body>loose <b>text</b> here<div>in a div<p>in a p</p>after it"
+        "<select><option>no</option></select></div><nav>no</nav><ul><li>item</li></ul></body></html>"
+    )
+    found = spark.createDataFrame([(page,)], "x string").select(html_matches(F.col("x"))).first()[0]
+    assert [(e.element_type, e.text) for e in found] == [
+        ("NarrativeText", "loose text here"), ("NarrativeText", "in a div"), ("NarrativeText", "in a p"),
+        ("NarrativeText", "after it"), ("ListItem", "item"),
+    ]
+
+
+def test_tables_in_other_encodings_and_broken_ones_are_read(spark):
+    rows = [("/d/a.csv", "name,n\nété,1\n".encode("cp1252")), ("/d/b.csv", b'a,b\n1,2\n1,2,3,4\n"open'), ("/d/c.csv", b"")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    found = {r["path"]: r for r in extract_elements(df).collect()}
+    assert "été" in found["/d/a.csv"]["elements"][0]["text"] and found["/d/a.csv"]["elements"][0]["element_type"] == "Table"
+    assert [e["text"] for e in found["/d/b.csv"]["elements"]] == ["a,b", "1,2", "1,2,3,4", '"open']
+    assert found["/d/b.csv"]["extract_error"] is None and found["/d/c.csv"]["elements"] == []
