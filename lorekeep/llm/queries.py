@@ -29,6 +29,26 @@ def op1_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: The hash step by step in wide integers, and the check sum byte by byte with its table.
+OP1_SQL = """
+WITH RECURSIVE
+bits(n, c, k) AS (SELECT n, CAST(n AS UBIGINT), 0 FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+jumps(doc_id, s, b, j) AS (SELECT DISTINCT doc_id, CAST(coalesce(doc_id, 0) AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents
+  UNION ALL SELECT doc_id, n, j, CAST(floor(CAST(j + 1 AS DOUBLE) * (2147483648.0::DOUBLE / CAST(n // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+    FROM (SELECT *, (s * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM jumps WHERE j < 24)),
+placed AS (SELECT doc_id, max(b) AS shard, max(j) AS ahead FROM jumps GROUP BY doc_id),
+sized AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents)
+SELECT doc_id, CAST(octet_length(body) + 8 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(hex(body), '..'), lambda h: CAST('0x' || h AS UBIGINT))),
+    lambda c, x: xor(c >> 8, steps.t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32,
+  'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+  CAST(CASE WHEN ahead = 24 THEN 24 ELSE shard END AS INTEGER) AS grown_shard
+FROM sized JOIN placed USING (doc_id), steps
+"""
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencounts.count_tokens(read_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -93,7 +113,7 @@ FROM marked
 """
 
 REGISTERED = {
-    "op1_jump_sharding": (op1_jump_sharding, None),
+    "op1_jump_sharding": (op1_jump_sharding, OP1_SQL),
     "op2_token_counts": (op2_token_counts, None),
     "op3_unigram_pieces": (op3_unigram_pieces, None),
     "op4_html_extraction": (op4_html_extraction, OP4_SQL),
