@@ -18,8 +18,8 @@ the others only those that would still join two components. In further passes, t
 first of their run are sorted anew and paired among themselves.
 
 Defined results: texts without words are copies of one another; a text of one to four words has one shingle, itself. Rows that
-repeat an id are one document and stay or go together; null ids are compared like others, and come last. Extra columns are carried by ``keep_one`` and ignored
-otherwise.
+repeat an id are one document, which stays if any of its rows does. Rows without an id belong to the class of the documents with their words; if those all
+lack an id, to one without one; ``keep_one`` keeps them all. Extra columns are carried by ``keep_one`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -333,6 +333,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with the columns of ``df``."""
-    gone = classes(df, key, text, threshold).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    gone, _ = broadcast_if_small(stored(gone, "neardup-gone"))
-    return df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_gone")), "left_anti")
+    found = classes(df, key, text, threshold).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_gone")).agg(F.max("kept").alias("stays"))
+    gone, _ = broadcast_if_small(stored(found.where("NOT stays").select("_gone"), "neardup-gone"))
+    return df.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")

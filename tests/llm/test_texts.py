@@ -158,7 +158,15 @@ def test_classes_of_odd_documents(odd_documents):
     by = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
     assert by[0] == by[1] == by[2] == 0 and by[5] == by[6] == 5 and by[4] == 4
     kept = neardup.keep_one(odd_documents)
-    assert kept.columns == odd_documents.columns and {1, 2, 6}.isdisjoint(r.doc_id for r in kept.collect())
+    assert kept.columns == odd_documents.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([0, 3, 4, 5, 5, 7, 7, 8, 9, None])
+
+
+def test_documents_without_an_id_stay(spark):
+    rows = [(None, "some words of a text that has no id"), (None, "some words of a text that has no id"), (3, "some words of a text that has one"), (None, "some words of a text that has one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in neardup.classes(df).select("doc_id", "class_id").collect()) == Counter([(None, None)] * 2 + [(3, 3), (None, 3)])
+    assert neardup.keep_one(df).count() == 4
 
 
 def slow_fingerprints(rows):
