@@ -212,10 +212,12 @@ def content_hash(spark, d):
 
 
 def encoding_cascade(spark, d):
-    """Texts that Latin-1 can hold are stored in it, the others in UTF-8; all must come back."""
+    """Texts that Latin-1 can hold are stored in Windows-1252 with a sign that only it has, the others in UTF-8; and texts with a broken byte."""
     narrow = ~F.col("text").rlike("[^\\x00-\\x7F\\xA0-\\xFF]")
-    stored = F.when(narrow, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    return V.read(spark, d, "documents").select("doc_id", L.decode_text(stored).alias("text"))
+    euro, broken = F.unhex(F.lit("80")), F.unhex(F.lit("81"))
+    stored = F.when(narrow, F.concat(F.encode("text", "ISO-8859-1"), euro)).otherwise(F.encode("text", "UTF-8"))
+    damaged = F.concat(F.encode("text", "UTF-8"), broken)
+    return V.read(spark, d, "documents").select("doc_id", L.decode_text(stored).alias("text"), L.decode_text(damaged).alias("damaged"))
 
 
 def truncate_text(spark, d):
@@ -288,7 +290,11 @@ CHECKS = {
     ),
     "chunk_id_hash": (chunk_id_hash, "SELECT conv_id, turn, sha256(conv_id || ':' || turn) AS chunk_id FROM conversations"),
     "content_hash": (content_hash, "SELECT doc_id, sha256(text) AS id FROM documents"),
-    "encoding_cascade": (encoding_cascade, "SELECT doc_id, text FROM documents"),
+    "encoding_cascade": (
+        encoding_cascade,
+        """SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F\\x{A0}-\\x{FF}]') THEN text ELSE text || '€' END AS text,
+ text || chr(65533) AS damaged FROM documents""",
+    ),
     "truncate_text": (truncate_text, "SELECT doc_id, substr(coalesce(text, ''), 1, 8000) AS text FROM documents"),
     "snippet": (
         snippets,

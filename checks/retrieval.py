@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
@@ -9,7 +11,8 @@ from checks import views as V
 from lorekeep.functions.text import bind
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators import fusion, lexical
-from lorekeep.operators.common import top_per_group
+from lorekeep.operators.common import shared_folder, top_per_group
+from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.operators.nearest import cosine
 from lorekeep.plans import search as P
 
@@ -27,6 +30,15 @@ def bm25_docs(spark, d):
     return hits.select("query_id", F.col("id").alias("document_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_stored_index(spark, d):
+    """The same ranking from an index that was stored and loaded again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    LexicalIndex.of(V.raw_texts(spark, d), ["document_id"], "raw_text", keep=True).save(path)
+    index = LexicalIndex.load(spark, path, ["document_id"], Tokenizer())
+    hits = bm25_search(index, V.questions(spark, d), 20)
+    return hits.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def bm25_chunks(spark, d):
     hits = P.search_fts_chunks(V.corpus(spark, d, stored=False), V.questions(spark, d))
     return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -175,6 +187,7 @@ _RARE = f"""(SELECT query_id, list_sort(list_transform({S.tokens("query")},
 
 CHECKS = {
     "bm25_docs": (bm25_docs, f"WITH {_BM_DOCS} SELECT query_id, id AS document_id, score, rank FROM bm"),
+    "bm25_stored_index": (bm25_stored_index, f"WITH {_BM_DOCS} SELECT query_id, id AS document_id, score, rank FROM bm"),
     "bm25_chunks": (
         bm25_chunks,
         f"WITH RECURSIVE {S.chunks()}, {_BM_CHUNKS} SELECT query_id, id AS chunk_id, document_id, score, rank FROM bm",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from checks import views as V
 from checks import sqlparts as S
+from lorekeep import KnowledgeBase, Settings
 from lorekeep.functions import text as X
 from lorekeep.operators import dedup, upkeep
+from lorekeep.operators.common import shared_folder
 from lorekeep.plans import migrate
 from lorekeep.schemas import DOCUMENT_KEY, VECTOR
 
@@ -108,13 +112,12 @@ def _tables(spark, d):
 
 
 def purge_cascade(spark, d):
-    """Rows left per table after the toxic documents are deleted everywhere."""
-    gone = V.read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("gone"))
-    counts = [
-        rows.join(gone, rows[DOCUMENT_KEY[name]] == gone["gone"], "left_anti")
-        .agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(name))
-        for name, rows in _tables(spark, d).items()
-    ]
+    """Rows left per table of a knowledge base after the toxic documents are deleted."""
+    base = KnowledgeBase(spark, f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}", Settings(embed_dim=64))
+    base.initialize()
+    base.commit(inserts=_tables(spark, d))
+    base.purge(V.read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
+    counts = [base.table(name).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(name)) for name in DOCUMENT_KEY]
     out = counts[0]
     for more in counts[1:]:
         out = out.unionByName(more)
