@@ -97,6 +97,7 @@ class LexicalIndex:
         text: str,
         tokenizer: Tokenizer = Tokenizer(),
         keep: bool = False,
+        staging: str | None = None,
     ) -> LexicalIndex:
         """Derive everything from the table at query time (no stored index).
 
@@ -105,7 +106,7 @@ class LexicalIndex:
         as soon as more than one of the three is used.
         """
         terms = term_table(df, ids, text, tokenizer)
-        terms = materialize(terms) if keep else terms
+        terms = materialize(terms, staging) if keep else terms
         posted = postings(terms, ids)
         return LexicalIndex(
             posted, document_frequency(posted), corpus_stats(terms), tuple(ids), tokenizer, terms

@@ -44,7 +44,7 @@ def web_prompts(corpus: Corpus, queries: DataFrame, mode: str = "hybrid") -> Dat
     contexts, left = None, queries
     if corpus.chunks is not None:
         hits = hybrid_search_chunks(corpus, queries, WEB_CHUNKS, mode)
-        contexts, left = assembly.web_context(hits), unanswered(queries, hits)
+        contexts, left = assembly.web_context(hits), unanswered(queries, hits, corpus.staging)
     if left is not None:
         found = hybrid_search(corpus, left, WEB_DOCUMENTS, mode)
         documents = assembly.web_document_context(found)
@@ -59,7 +59,7 @@ def benchmark_prompts(corpus: Corpus, queries: DataFrame, level: str = "document
         contexts = assembly.document_context(hybrid_search(corpus, queries, 3, "fts"))
     else:
         hits = hybrid_search_chunks(corpus, queries)
-        contexts, left = assembly.chunk_context(hits), unanswered(queries, hits)
+        contexts, left = assembly.chunk_context(hits), unanswered(queries, hits, corpus.staging)
         if left is not None:
             documents = assembly.document_context(hybrid_search(corpus, left, 3))
             contexts = contexts.unionByName(documents)

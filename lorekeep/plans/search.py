@@ -22,7 +22,11 @@ CHUNKS_PER_DOCUMENT = 2
 
 @dataclass(frozen=True)
 class Corpus:
-    """The four tables and, optionally, stored indexes over them."""
+    """The four tables and, optionally, stored indexes over them.
+
+    ``staging`` is the shared folder for intermediate results where the cluster
+    names none.
+    """
 
     documents: DataFrame
     content: DataFrame
@@ -31,6 +35,7 @@ class Corpus:
     tokenizer: Tokenizer = Tokenizer()
     document_index: LexicalIndex | None = None
     chunk_index: LexicalIndex | None = None
+    staging: str | None = None
 
     def lexical_documents(self) -> LexicalIndex:
         return self.document_index or LexicalIndex.of(
@@ -39,6 +44,7 @@ class Corpus:
             "raw_text",
             self.tokenizer,
             keep=True,
+            staging=self.staging,
         )
 
     def lexical_chunks(self) -> LexicalIndex:
@@ -48,6 +54,7 @@ class Corpus:
             "text",
             self.tokenizer,
             keep=True,
+            staging=self.staging,
         )
 
 
@@ -103,7 +110,7 @@ def hybrid_search(
     ``queries`` holds ``query_id``, ``query`` (lexical modes) and ``vector``
     (vector modes; NULL leaves the query to the lexical engine).
     """
-    ranked = materialize(fusion.best(_candidates(corpus, queries, mode, rules, chunks=False), k))
+    ranked = materialize(fusion.best(_candidates(corpus, queries, mode, rules, chunks=False), k), corpus.staging)
     return fusion.hydrate_documents(ranked, corpus.documents, corpus.content, corpus.metadata)
 
 
@@ -117,14 +124,16 @@ def hybrid_search_chunks(
 ) -> DataFrame:
     """Best ``k`` chunks per query, at most ``per_document`` of one document."""
     found = _candidates(corpus, queries, mode, rules, chunks=True)
-    ranked = materialize(fusion.diversify(found, per_document, k))
+    ranked = materialize(fusion.diversify(found, per_document, k), corpus.staging)
     return fusion.hydrate_chunks(ranked, corpus.chunks, corpus.documents, corpus.metadata)
 
 
-def unanswered(queries: DataFrame, hits: DataFrame) -> DataFrame | None:
+def unanswered(
+    queries: DataFrame, hits: DataFrame, staging: str | None = None
+) -> DataFrame | None:
     """Queries without a hit, written once; None if every query has one."""
     left = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    left = materialize(left)
+    left = materialize(left, staging)
     return None if left.isEmpty() else left
 
 
@@ -144,7 +153,7 @@ def search(
         return hybrid_search(corpus, queries, fallback_k or k, mode).select("*", level)
     hits = hybrid_search_chunks(corpus, queries, k, mode)
     found = hits.select("*", F.lit("chunk").alias("level"))
-    left = unanswered(queries, hits)
+    left = unanswered(queries, hits, corpus.staging)
     if left is None:
         return found.withColumn("raw_text", F.lit(None).cast("string"))
     documents = hybrid_search(corpus, left, fallback_k or k, mode).select("*", level)
