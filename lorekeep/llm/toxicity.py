@@ -20,12 +20,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import over_batches, slices, spread_bits, stored
+from lorekeep.llm.common import over_batches, slices, steps, stored
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -35,6 +34,8 @@ MIN_TEXTS = 3
 SMOOTHING = 1.0
 REGULARISATION = 2e-4
 LIMIT = 0.3
+#: Texts are worked on in slices of about so many characters, whose arrays stay small.
+_SLICE = 100_000
 _GAP = "\0" * (max(ORDERS) - 1)
 _KEYS = np.random.default_rng(9).integers(1, 1 << 63, max(ORDERS), dtype=np.uint64) | np.uint64(1)
 
@@ -80,7 +81,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total = np.full(len(texts), self.intercept)
         chosen = self.weights != 0
-        for part in slices(texts):
+        for part in slices(texts, _SLICE):
             owner, features = distinct_features([texts[i] for i in part], chosen)
             total[part.start : part.stop] += np.bincount(owner, self.weights[features], len(part))
         return 1.0 / (1.0 + np.exp(-np.clip(total, -500, 500)))
@@ -109,9 +110,9 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
     def tally(batches):
         counts = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in steps(batches):
             marks, held = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()
-            for part in slices(held):
+            for part in slices(held, _SLICE):
                 owner, features = distinct_features([held[i] for i in part])
                 np.add.at(counts, (marks[part.start + owner], features), 1)
         some = np.flatnonzero(counts.sum(axis=0))
@@ -140,10 +141,10 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     ratio = table["ratio"].to_numpy()
 
     def rows_of(batches):
-        for batch in batches:
+        for batch in steps(batches):
             held = batch.column(1).to_pylist()
             lists = []
-            for part in slices(held):
+            for part in slices(held, _SLICE):
                 owner, features = distinct_features([held[i] for i in part], chosen)
                 cuts = np.searchsorted(owner, np.arange(1, len(part)))
                 lists.extend(x.tolist() for x in np.split(np.sort(place[features]) if len(part) == 1 else place[features], cuts))
@@ -161,17 +162,18 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """``key``, ``held_out``, ``score`` and ``predicted``."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    value = _scorer(held)
-    scored = df.select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), value(F.col(text)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+    narrow = df.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    kind = narrow.schema["key"].dataType.simpleString()
 
+    def make():
+        def work(batch):
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1).to_pylist()))], ["key", "score"])
 
-def _scorer(held):
-    @F.pandas_udf("double")
-    def value(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.scores(texts.tolist()))
+        return work
 
-    return value
+    scored = narrow.mapInArrow(over_batches(make), f"key {kind}, score double")
+    predicted = (F.col("score") >= limit).cast("int").alias("predicted")
+    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", predicted)
 
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text", limit: float = LIMIT) -> DataFrame:
