@@ -6,28 +6,27 @@ result is written to the shared folder and read again. All but the last return t
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import neardup, packing, quality, toxicity
-from lorekeep.llm.common import read_table, stored
+from lorekeep.llm.common import read_table, small_batches, stored
 from lorekeep.session import ship_package
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on the labelled documents of ``docs`` and drops those that the model rejects."""
-    ship_package(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the rules or are outliers of their language and source."""
-    ship_package(spark)
     return quality.keep_good(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
-    ship_package(spark)
     return neardup.keep_one(docs)
 
 
@@ -35,15 +34,26 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the documents' tokens into sequences; one row per piece."""
     import public_tokenizers
 
-    ship_package(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _prepared(stage):
+    """A stage that brings the package to the executors and keeps their batches small."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("quality rules", of_quality),
-    ("near duplicates", without_near_copies),
-    ("packing", packed),
+    ("toxicity", _prepared(without_toxic)),
+    ("quality rules", _prepared(of_quality)),
+    ("near duplicates", _prepared(without_near_copies)),
+    ("packing", _prepared(packed)),
 ]
 
 #: SQL expresses neither the classifier nor the estimates; tests/llm compares every stage with a plain version.

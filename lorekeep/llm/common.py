@@ -18,6 +18,11 @@ SLICE_CHARS = 1_000_000
 STEP_ROWS = 1000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of as many rows in this session, so that long texts do not fill workers and buffers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STEP_ROWS))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import fingerprint, html_extract, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
-from lorekeep.llm.common import read_table
+from lorekeep.llm.common import read_table, small_batches
 
 SHARDS = 24
 
@@ -112,7 +114,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM marked
 """
 
-REGISTERED = {
+def _in_small_batches(query):
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, folder)
+
+    return run
+
+
+_QUERIES = {
     "op1_jump_sharding": (op1_jump_sharding, OP1_SQL),
     "op2_token_counts": (op2_token_counts, None),
     "op3_unigram_pieces": (op3_unigram_pieces, None),
@@ -124,3 +135,5 @@ REGISTERED = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
 }
+
+REGISTERED = {name: (_in_small_batches(query), sql) for name, (query, sql) in _QUERIES.items()}
