@@ -14,8 +14,10 @@ Groups: equal word sequences are one class at once and are represented by their
 their other samples; each is paired with the first of its run and with the one before it, so there are at most two
 pairs per text and band and no group is ever held or multiplied out. The sort is a range exchange that splits
 groups of any size; pairs across range borders are added afterwards. Each text's best pair is verified first; of
-the others only those that would still join two components. In further passes, the rows outside the component of the
-first of their run are sorted anew and paired among themselves.
+the others only those that would still join two components. Then the runs that still hold several components are dealt in
+blocks of bounded size, by component where a component fills one, and all pairs of rows of different components are compared,
+between any two blocks and inside each. A pair is left out only if bounds from whole weights and from hashed cells show
+that it is below the threshold. So a class is exactly a connected component of all candidates that are links.
 
 Defined results: texts without words are copies of one another; a text of one to four words has one shingle, itself. Rows that
 repeat an id are one document, which stays if any of its rows does. Rows without an id belong to the class of the documents with their words; if those all
@@ -39,8 +41,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 BUCKETS = 18
-#: Times that candidates are paired; on 51,282 documents they added 2463, 14, 5 and 0 links.
-PASSES = 3
+#: Rows and characters of a block of a run with several components (or one longer text), and cells of the bound on what two texts share.
+BLOCK_ROWS, BLOCK_CHARS, CELLS = 256, 1_000_000, 1024
 DAMPING = 12.0
 _SLICE = 400_000
 _TABLE = 16
@@ -154,7 +156,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(df: DataFrame, key: str, text: str, held) -> DataFrame:
-    """Written table of ``key``, a digest of the word sequence, and the bands (none without words)."""
+    """Written table of ``key``, a digest of the word sequence, the bands (none without words), and the length of the text."""
 
     def make():
         known, draws, factors = Words(), _draws(), held.value
@@ -169,12 +171,13 @@ def signatures(df: DataFrame, key: str, text: str, held) -> DataFrame:
                 full = [x for x in found if len(x[0])]
                 drawn = iter(bands_of(samples(full, factors, draws)).tolist() if full else ())
                 bands.extend(next(drawn) if len(x[0]) else [] for x in found)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "digest", "bands"])
+            lengths = pa.array([len(t or "") for t in texts], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), lengths], ["key", "digest", "bands", "chars"])
 
         return work
 
     narrow = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
-    return stored(narrow.mapInArrow(over_batches(make), "key long, digest binary, bands array<long>"), "neardup-samples", compression="zstd")
+    return stored(narrow.mapInArrow(over_batches(make), "key long, digest binary, bands array<long>, chars long"), "neardup-samples", compression="zstd")
 
 
 def _neighbours(batches):
@@ -298,41 +301,123 @@ def _unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(*pairs.columns)
 
 
-def _left(bands: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Rows of runs with several components, without the component of the run's first row, in a new order."""
+def _dealt(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (g, side, rep, label): the runs with several components, once for every two blocks ``g`` that may hold pairs across components.
+
+    A component that fills a block has blocks of its own; the other rows of its run share some. A row has a side of 0 or 1, or
+    -1 if the block is compared with itself.
+    """
+    run = ["band", "value"]
     known = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    runs = known.groupBy("band", "value").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("order", "rep", "label")).alias("lead")
-    )
-    runs = runs.where("low <> high").select("band", "value", F.col("lead.label").alias("lead"))
-    rest = known.join(runs, ["band", "value"]).where("label <> lead")
-    return stored(rest.select("rep", "band", "value", F.xxhash64("order", F.lit(turn)).alias("order")), "neardup-rest")
+    mixed = known.groupBy(*run).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*run)
+    mixed, _ = broadcast_if_small(stored(mixed, "neardup-runs"))
+    rest = stored(known.join(mixed, run).select("rep", *run, "label", "chars"), "neardup-rest")
+    load = F.sum(F.lit(1.0) / BLOCK_ROWS + F.col("chars") / BLOCK_CHARS).alias("load")
+    parts = rest.groupBy(*run, "label").agg(load).withColumn("own", F.col("load") >= 1).withColumn("owner", F.when(F.col("own"), F.col("label")).otherwise(0))
+    parts = stored(parts, "neardup-parts")
+    shares = stored(parts.groupBy(*run, "own", "owner").agg(F.ceil(F.sum("load")).cast("int").alias("n")), "neardup-shares")
+    block = F.struct("own", "owner", "i")
+    blocks = shares.select(*run, "own", "owner", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(*run, block.alias("block"))
+    x, y = (blocks.withColumnRenamed("block", c) for c in ("x", "y"))
+    across = ~(F.col("x.own") & F.col("y.own") & (F.col("x.owner") == F.col("y.owner")))
+    pairs = x.join(y, run).where((F.col("x") <= F.col("y")) & across).withColumn("g", F.monotonically_increasing_id())
+    pairs = stored(pairs, "neardup-blocks")
+    one = F.array(F.struct(F.lit(-1).alias("side"), F.col("x").alias("block")))
+    two = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("block")) for k, c in enumerate("xy")))
+    sides = pairs.select(*run, "g", F.explode(F.when(F.col("x") == F.col("y"), one).otherwise(two)).alias("s")).select(*run, "g", "s.side", "s.block")
+    owners = parts.join(shares, [*run, "own", "owner"]).select(*run, "label", "own", "owner", "n")
+    placed = rest.join(owners, [*run, "label"]).withColumn("i", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("n")).cast("int"))
+    return stored(placed.select("rep", *run, "label", block.alias("block")).join(sides, [*run, "block"]).select("g", "side", "rep", "label"), "neardup-dealt")
+
+
+def block_links(ids: list, labels: list, sides: np.ndarray, found: list, factors: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join all components between which the rows of two blocks (or one, side -1) have links."""
+    weights = np.array([float((n * factors[cells(h)]).sum(dtype=np.float64)) for h, n in found])
+    order = np.argsort(weights, kind="stable")
+    weights, sides = weights[order], np.asarray(sides)[order]
+    label = np.unique(np.array(labels)[order], return_inverse=True)[1]
+    shares = np.zeros((len(order), CELLS), np.float32)
+    for row, at in enumerate(order):
+        h, n = found[at]
+        shares[row] = np.bincount((spread_bits(h) >> np.uint64(40)).astype(np.int64) % CELLS, n * factors[cells(h)], CELLS)
+    parent = list(range(int(label.max()) + 1))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    last = np.searchsorted(weights, weights / (threshold - 1e-6) * (1 + 1e-6), "right")
+    for i in range(len(order)):
+        j = np.arange(i + 1, last[i])
+        j = j[(label[j] != label[i]) & ((sides[j] != sides[i]) | (sides[j] < 0))]
+        if not len(j):
+            continue
+        # What two texts share is at most the sum of the lesser of their weights in each cell.
+        most = np.minimum(shares[j], shares[i]).sum(axis=1, dtype=np.float64)
+        least = threshold / (1 + threshold) * (weights[j] + weights[i])
+        for k in j[most * (1 + 1e-4) >= least * (1 - 1e-4)].tolist():
+            p, q = root(label[i]), root(label[k])
+            if p == q:
+                continue
+            near = similarity(found[order[i]], found[order[k]], factors)
+            if near >= threshold - 1e-9:
+                parent[max(p, q)] = min(p, q)
+                a, b = sorted((ids[order[i]], ids[order[k]]))
+                out.append((a, b, near))
+    return out
+
+
+def remaining(bands: DataFrame, labels: DataFrame, texts: DataFrame, held, threshold: float) -> DataFrame:
+    """Written table of links between different components among all candidates; enough of them to join what belongs together."""
+    dealt = _dealt(bands, labels)
+    ids, _ = broadcast_if_small(stored(dealt.select("rep").distinct(), "neardup-ids"))
+    some = texts.join(ids, "rep")
+    rows = dealt.join(some, "rep").select("g", "side", "rep", "label", "t").repartition("g").sortWithinPartitions("g")
+
+    def find(batches):
+        known, factors = Words(), held.value
+        group, ids, labels, sides, found = None, [], [], [], []
+
+        def finished():
+            links = block_links(ids, labels, sides, found, factors, threshold) if len(ids) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links, strict=True)], ["a", "b", "similarity"])
+
+        for batch in steps(batches):
+            for g, side, rep, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    yield from finished()
+                    group, ids, labels, sides, found = g, [], [], [], []
+                ids.append(rep)
+                labels.append(label)
+                sides.append(side)
+                found.append(shingles((text or "").split(), known))
+        yield from finished()
+
+    links = rows.mapInArrow(find, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return stored(links, "neardup-links")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key``, ``copy_of`` (smallest id with the same words), ``class_id`` (smallest id of the class) and ``kept``."""
     held = df.sparkSession.sparkContext.broadcast(inverse_frequencies(df, text))
     signed = signatures(df, key, text, held)
-    reps = stored(signed.groupBy("digest").agg(F.min("key").alias("rep"), F.any_value("bands").alias("bands")), "neardup-reps")
+    reps = stored(
+        signed.groupBy("digest").agg(F.min("key").alias("rep"), F.any_value("bands").alias("bands"), F.max("chars").alias("chars")), "neardup-reps"
+    )
     order = F.xxhash64(*(F.element_at("bands", k + 1) for k in range(BANDS)))
-    full = reps.where(F.col("rep").isNotNull() & (F.size("bands") > 0)).select("rep", F.posexplode("bands").alias("band", "value"), order.alias("order"))
+    bands = reps.where(F.col("rep").isNotNull() & (F.size("bands") > 0)).select("rep", "chars", F.posexplode("bands").alias("band", "value"), order.alias("order"))
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
-    labels = stored(full.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0), "neardup-labels")
-    tried, bands = None, full
-    for turn in range(PASSES):
-        pairs = candidates(bands)
-        if tried is not None:
-            pairs = _unlike(pairs.join(tried, ["a", "b"], "left_anti"), labels)
-        pairs = stored(pairs, "neardup-candidates")
-        best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-        first = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b")
-        for chosen in (first, pairs.join(first, ["a", "b"], "left_anti").select("a", "b")):
-            labels = merged(labels, verified(_unlike(chosen, labels), texts, held, threshold))
-        if turn + 1 < PASSES:
-            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-            bands = _left(full, labels, turn)
-    label = labels
-    named = reps.select("digest", "rep").join(label, reps["rep"] == label["node"], "left").select("digest", "rep", F.coalesce("label", "rep").alias("class_id"))
+    labels = stored(bands.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0), "neardup-labels")
+    pairs = stored(candidates(bands), "neardup-candidates")
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    first = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b")
+    for chosen in (first, pairs.join(first, ["a", "b"], "left_anti").select("a", "b")):
+        labels = merged(labels, verified(_unlike(chosen, labels), texts, held, threshold))
+    labels = merged(labels, remaining(bands, labels, texts, held, threshold))
+    named = reps.select("digest", "rep").join(labels, reps["rep"] == labels["node"], "left").select("digest", "rep", F.coalesce("label", "rep").alias("class_id"))
     joined = signed.select("key", "digest").join(named, "digest")
     return joined.select(F.col("key").alias(key), F.col("rep").alias("copy_of"), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
 

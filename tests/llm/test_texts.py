@@ -260,3 +260,22 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
     owner, features = toxicity.distinct_features(["abcabc"])
     assert len(features) == len(set(features.tolist()))
+
+
+def test_run_with_many_clusters_against_all_pairs(spark, monkeypatch):
+    """One run that holds many clusters, whose members are near to the one before only, dealt in small blocks; and hot components."""
+    r = random.Random(14)
+    rows = []
+    for c in range(12):
+        words = prose(r, 120, 100_000).split()
+        for k in range(30 if c == 0 else 6):
+            rows.append(" ".join(words))
+            words = [w if not 8 * k <= i % 120 < 8 * k + 2 else f"new{c}-{k}-{i}" for i, w in enumerate(words)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    want, factors = slow_classes(rows, neardup.THRESHOLD)
+    assert 12 <= len(set(want.values())) < len(rows) / 3
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8, raising=False)
+    monkeypatch.setattr(neardup, "bands_of", lambda drawn: np.full((len(drawn), neardup.BANDS), 5, np.int64))
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
