@@ -3,9 +3,10 @@
 Method: of texts that pass the fixed rules, four statistics are transformed to roughly even spread. For each (language, source)
 the minimum-covariance-determinant estimate of their centre and scatter is found by concentration steps: start at
 the medians, take the half of the rows with the smallest Mahalanobis distances, estimate centre and scatter from
-them, repeat. The scatter is made consistent for normal data and gets a floor in every direction, so that a
-statistic that is constant in most texts stays invertible. A text is rejected if its squared distance is
-above the chi-square cutoff.
+them, repeat. The scatter is made consistent for normal data and is at least the group's floor in every direction, so that a
+statistic that is constant in most texts stays invertible. A floor is the larger of the group's spread between quartiles and
+what a single event (a symbol, a repeated line, a repeated run of words, chance in the length of words) makes in its
+shorter texts. A text is rejected if its squared distance is above the chi-square cutoff.
 
 Steps are aggregates over all rows of a narrow table (partial sums and quantile sketches), so a group may hold
 any share of the rows. Estimates are one row per group and never pass through the driver.
@@ -39,8 +40,10 @@ STEPS = 5
 CUTOFF = 23.513
 #: Makes the scatter of the half with the smallest distances consistent: 0.5 / P(chi2 with 6 degrees <= median of chi2 with 4).
 CONSISTENCY = 0.5 / 0.23760
-#: Least standard deviation of each transformed statistic.
+#: Scales of the transformed statistics in the first distances.
 FLOORS = (0.25, 0.2, 0.2, 0.1)
+#: Words that a repeated run takes up at both of its places, and the standard deviation of words' lengths as a share of their mean.
+REPEATED, WORD_SPREAD = 6, 0.5
 _D = len(FLOORS)
 _PAIRS = list(combinations_with_replacement(range(_D), 2))
 
@@ -115,27 +118,36 @@ def _invert(frames):
     """From sums over a group's chosen rows to centre and packed inverse scatter."""
     for frame in frames:
         out = []
-        for g, n, s, q in zip(frame["g"], frame["n"], frame["s"], frame["q"], strict=True):
+        for g, n, s, q, f in zip(frame["g"], frame["n"], frame["s"], frame["q"], frame["floors"], strict=True):
             mean = np.array(s) / n
             scatter = np.zeros((_D, _D))
             for k, (i, j) in enumerate(_PAIRS):
                 scatter[i, j] = scatter[j, i] = q[k] / n - mean[i] * mean[j]
-            inverse = np.linalg.inv(scatter * CONSISTENCY + np.diag(np.square(FLOORS)))
+            # In units of the floors, no direction has a variance below 1.
+            scale = np.outer(f, f)
+            spread, axes = np.linalg.eigh(scatter * CONSISTENCY / scale)
+            inverse = (axes / np.maximum(spread, 1.0)) @ axes.T / scale
             out.append((g, mean.tolist(), [float(inverse[i, j]) for i, j in _PAIRS]))
         yield pd.DataFrame(out, columns=["g", "centre", "precision"])
 
 
 def _start(rows: DataFrame, x: list[str]) -> DataFrame:
-    """Medians as the centre, and the floors as the scatter."""
-    centre = F.array(*(F.percentile_approx(c, F.lit(0.5), F.lit(1000)) for c in x))
+    """Medians as the centre, ``FLOORS`` as the scales, and the group's own ``floors``."""
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{c}") for c in x]
+    found = rows.groupBy("g").agg(*quartiles, F.percentile_approx("n_words", F.lit(0.25), F.lit(1000)).alias("n"))
+    centre = F.array(*(F.col(f"q{c}")[1] for c in x))
     precision = F.array(*(F.lit(1.0 / FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS))
-    return rows.groupBy("g").agg(centre.alias("centre")).withColumn("precision", precision)
+    events = (F.log1p(10 / F.col("n")), F.log1p(10 / F.col("n")), REPEATED / F.col("n"), WORD_SPREAD / F.sqrt("n"))
+    # The quartiles of normal data are 0.6745 standard deviations away from the median.
+    floors = F.array(*(F.greatest(e, (q[2] - q[1]) / 0.6745, (q[1] - q[0]) / 0.6745) for e, q in zip(events, (F.col(f"q{c}") for c in x), strict=True)))
+    return found.select("g", centre.alias("centre"), precision.alias("precision"), floors.alias("floors"))
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse scatter per group ``g`` of the columns ``x0`` and so on."""
+    """Centre and inverse scatter per group ``g`` of the columns ``x0`` and so on; ``n_words`` bounds what one event makes."""
     x = [f"x{i}" for i in range(_D)]
     found = stored(_start(rows, x), "quality")
+    floors, _small = broadcast_if_small(found.select("g", "floors"))
     for _ in range(steps):
         side, _small = broadcast_if_small(found)
         far = rows.join(side, "g").select("g", *x, _distance(x).alias("d2"))
@@ -148,7 +160,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             *(F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)),
         )
         packed = sums.select("g", "n", F.array(*(f"s{i}" for i in range(_D))).alias("s"), F.array(*(f"q{k}" for k in range(len(_PAIRS)))).alias("q"))
-        found = stored(packed.mapInPandas(_invert, "g string, centre array<double>, precision array<double>"), "quality")
+        found = stored(packed.join(floors, "g").mapInPandas(_invert, "g string, centre array<double>, precision array<double>"), "quality")
     return found
 
 
@@ -159,7 +171,7 @@ def _group(language: str, source: str) -> Column:
 def _judged(counted: DataFrame, language: str, source: str, prefix: str) -> DataFrame:
     """``counted`` (a written table) with ``prefix + failed`` and ``prefix + kept``."""
     values = [c.alias(f"x{i}") for i, c in enumerate(transformed(prefix))]
-    passed = counted.where(~base_failed(prefix)).select(_group(language, source).alias("g"), *values)
+    passed = counted.where(~base_failed(prefix)).select(_group(language, source).alias("g"), *values, F.col(prefix + "n_words").alias("n_words"))
     side, _ = broadcast_if_small(estimates(passed).select("g", F.struct("centre", "precision").alias(prefix + "e")).withColumnRenamed("g", prefix + "g"))
     x = [f"{prefix}x{i}" for i in range(_D)]
     keyed = counted.withColumns({prefix + "g": _group(language, source)} | dict(zip(x, transformed(prefix), strict=True)))

@@ -72,6 +72,34 @@ def test_outliers_against_plain_concentration(spark, no_documents):
     assert quality.judge(no_documents).collect() == [] and quality.keep_good(no_documents).collect() == []
 
 
+def test_planted_outliers_in_every_group(spark):
+    """Groups without repeats and symbols, with some repeats in every text, and of few texts."""
+    r = random.Random(15)
+    rows, planted, groups = [], set(), (("en", "plain", 150), ("de", "some", 150), ("fr", "few", 12))
+    for lang, source, size in groups:
+        texts = []
+        for _ in range(size):
+            words = prose(r, r.randint(100, 300), 100_000).split()
+            if source == "some":
+                words += words[: r.randrange(3, 6)]
+            texts.append(" ".join(words))
+        words = prose(r, 200, 100_000).split()
+        lines = [" ".join(words[i : i + 4]) for i in range(0, 200, 4)]
+        bad = [
+            " ".join(words[:150] + words[:49]),
+            "\n".join(x for i, x in enumerate(lines) for x in [x] * (2 if i % 4 == 0 else 1)),
+            " ".join(w + "#" if i % 8 == 0 else w for i, w in enumerate(words)),
+            " ".join(w[:3] for w in prose(r, 200, 100_000).split()),
+        ]
+        for k, text in enumerate([*texts, *bad[: 4 if size > 20 else 3]]):
+            if k >= size:
+                planted.add(len(rows))
+            rows.append((len(rows), text, lang, source))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()
+    assert not any(x.base_failed for x in got)
+    assert {x.doc_id for x in got if not x.kept} == planted
+
+
 def test_quality_of_odd_documents(odd_documents):
     rows = quality.judge(odd_documents).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd_documents.collect())
