@@ -138,7 +138,7 @@ def kept_text(page: Page, kept: list[bool]) -> str:
 def texts_of(sources: list[str | None], trees: Trees) -> list[str]:
     out = []
     for part in slices(sources):
-        pages = [read_page(sources[i] or "") for i in part]
+        pages = [read_page(sources[i] or "", labelled=False) for i in part]
         margins = trees.margins(features(pages)).tolist()
         at = 0
         for page in pages:

@@ -52,14 +52,15 @@ class Page:
         self.label, self.order, self.children = [0], [0], [0]
         self.texts: list[tuple[int, str, bool]] = []
 
-    def add(self, parent: int, tag: str, attributes: str) -> int:
+    def add(self, parent: int, tag: str, attributes: str, labelled: bool) -> int:
         words = 0
         label = self.label[parent]
         if "=" in attributes:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 value = a or b or c
-                if name == "data-y":
-                    label = int(value)
+                if name.lower() == "data-y":
+                    if labelled:
+                        label = int(value)
                     continue
                 for token in _TOKEN.findall(value):
                     words |= _GROUP.get(token.lower(), 0)
@@ -77,8 +78,8 @@ class Page:
         return len(self.parent) - 1
 
 
-def read_page(source: str) -> Page:
-    """The tree of a page; text in hidden elements is left out."""
+def read_page(source: str, labelled: bool = True) -> Page:
+    """The tree of a page; text in hidden elements is left out. Only composed pages are ``labelled``; in others ``data-y`` means nothing."""
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]
     at, fresh, link, hidden = 0, True, 0, 0
@@ -140,7 +141,7 @@ def read_page(source: str) -> Page:
             at = end.end() if end else len(source)
             continue
         link = 0
-        stack.append((tag, page.add(stack[-1][1], tag, m.group(4))))
+        stack.append((tag, page.add(stack[-1][1], tag, m.group(4), labelled)))
         hidden += tag in HIDDEN
     text(source[at:])
     return page

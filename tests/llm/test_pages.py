@@ -187,3 +187,12 @@ def test_chunks_carry_running_digests_and_damage_is_found():
     with pytest.raises(ValueError, match="damaged"):
         for c, _, last in [chunks[0], (bytes(broken), None, False), *chunks[2:]]:
             reader.feed(memoryview(c), last)
+
+
+def test_label_attributes_of_given_pages_are_ignored():
+    one = np.zeros((1, 1))
+    trees = html_extract.Trees(one.astype(np.int32), one + np.inf, one.astype(np.int32), one.astype(np.int32), one + 1.0, 1)
+    for mark in ('data-y="12.5"', 'data-y=""', "data-y=top", 'metadata-y="a"', 'DATA-Y="x"', 'data-y="1"'):
+        assert html_extract.texts_of([f"<body><div {mark}><p>some text</p></div></body>"], trees) == ["some text"]
+        page = html_tree.read_page(f"<body><div {mark}>x</div></body>", labelled=False)
+        assert set(page.label) == {0} and not any(page.words)
