@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, html_extract, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
+from lorekeep.llm import fingerprint, html_extract, mixing, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
 from lorekeep.llm.common import read_table, small_batches
 
 SHARDS = 24
@@ -114,6 +114,32 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM marked
 """
 
+
+def op11_fair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read_table(spark, folder, "documents")).taken()
+
+
+#: Targets by filling the sources with the least room first; then one queue per source, one order of finish times.
+OP11_SQL = r"""
+WITH sized AS (SELECT row_number() OVER () AS tie, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k FROM documents),
+per AS (SELECT source, sum(size) AS s FROM sized GROUP BY source),
+ranked AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM per),
+sums AS (SELECT *, sum(w) OVER () AS ws, sum(s) OVER () AS budget,
+    sum(w) OVER o - w AS wb, sum(3 * s) OVER o - 3 * s AS mb FROM ranked WINDOW o AS (ORDER BY 3 * s / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+filled AS (SELECT *, 3 * s * (ws - wb) <= w * (budget - mb) AS f FROM sums),
+level AS (SELECT (any_value(budget) - coalesce(sum(3 * s) FILTER (f), 0)) / (any_value(ws) - coalesce(sum(w) FILTER (f), 0)) AS level FROM filled),
+targets AS (SELECT source, s, budget, CASE WHEN f THEN CAST(3 * s AS DOUBLE) ELSE level * w END AS target FROM filled, level),
+queue AS (SELECT tie, doc_id, size, CAST(s AS BIGINT) AS source_size, budget, target, sum(size) OVER q AS within, sum(size) OVER t AS through
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+  WINDOW q AS (PARTITION BY sized.source ORDER BY k, doc_id, size, tie ROWS UNBOUNDED PRECEDING), t AS (ORDER BY sized.source NULLS LAST, k, doc_id, size, tie ROWS UNBOUNDED PRECEDING)),
+items AS (SELECT tie, size, budget, through, CAST(e * source_size + within AS DOUBLE) / target AS finish FROM queue, range(3) t(e) WHERE size > 0 AND target > 0),
+mixed AS (SELECT tie, size, budget, sum(size) OVER (ORDER BY finish, through ROWS UNBOUNDED PRECEDING) AS mixed FROM items),
+took AS (SELECT tie, sum(size) AS taken FROM mixed WHERE mixed <= budget GROUP BY tie)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM queue LEFT JOIN took USING (tie)
+"""
+
+
 def _in_small_batches(query):
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,6 +160,7 @@ _QUERIES = {
     "op8_parsing_fingerprints": (op8_parsing_fingerprints, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
+    "op11_fair_mixing": (op11_fair_mixing, OP11_SQL),
 }
 
 REGISTERED = {name: (_in_small_batches(query), sql) for name, (query, sql) in _QUERIES.items()}
