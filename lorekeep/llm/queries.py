@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, html_extract, mixing, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
+from lorekeep.llm import divergence, fingerprint, html_extract, mixing, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
 from lorekeep.llm.common import read_table, small_batches
 
 SHARDS = 24
@@ -139,6 +139,30 @@ took AS (SELECT tie, sum(size) AS taken FROM mixed WHERE mixed <= budget GROUP B
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM queue LEFT JOIN took USING (tie)
 """
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read_table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS ln FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT d.lang, source, coalesce(v, 0) AS v, coalesce(ln, 0) AS ln FROM d LEFT JOIN v USING (lang)),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT lang, source, sum(n) AS gn FROM c GROUP BY lang, source),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (coalesce(gn, 0) + g.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (g.ln + g.v) AS q
+  FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+pairs AS (SELECT g.lang, g.source, o.source AS item, 0 AS value FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source WHERE g.v = 0
+  UNION ALL SELECT a.lang, a.source, b.source, sum((a.p - b.p) * (a.p - b.p) // b.p) FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
 
 def _in_small_batches(query):
     @wraps(query)
@@ -161,6 +185,7 @@ _QUERIES = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
     "op11_fair_mixing": (op11_fair_mixing, OP11_SQL),
+    "op12_source_divergence": (op12_source_divergence, OP12_SQL),
 }
 
 REGISTERED = {name: (_in_small_batches(query), sql) for name, (query, sql) in _QUERIES.items()}
