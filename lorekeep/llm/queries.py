@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import divergence, fingerprint, html_extract, mixing, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
+from lorekeep.llm import collocations, divergence, fingerprint, html_extract, mixing, neardup, packing, quality, sentencepiece, sharding, tokencounts, toxicity, warc
 from lorekeep.llm.common import read_table, small_batches
 
 SHARDS = 24
@@ -163,6 +163,25 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 FROM parts QUALIFY part = 'pair' OR rank <= 200
 """
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+f AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS x, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) t(k)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.*, cut, u.a AS l, v.a AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(u.a AS HUGEINT) * v.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f u ON u.lang = c.lang AND u.x = list_slice(c.x, 1, cut) JOIN f v ON v.lang = c.lang AND v.x = list_slice(c.x, cut + 1, c.k)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, cut) = 1),
+longer AS (SELECT lang, list_slice(x, i, i + 1) AS x, max(a) AS a FROM (SELECT lang, x, a, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, x) WHERE k = 3 OR longer.a IS NULL OR 100 * longer.a < 50 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(x, ' ')) AS rank, array_to_string(x, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def _in_small_batches(query):
     @wraps(query)
@@ -186,6 +205,7 @@ _QUERIES = {
     "op10_warc": (op10_warc, OP10_SQL),
     "op11_fair_mixing": (op11_fair_mixing, OP11_SQL),
     "op12_source_divergence": (op12_source_divergence, OP12_SQL),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }
 
 REGISTERED = {name: (_in_small_batches(query), sql) for name, (query, sql) in _QUERIES.items()}
