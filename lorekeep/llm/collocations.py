@@ -6,7 +6,7 @@ sends each tile's counts as packed arrays; the tile's reader adds them up and ke
 frequency in turn and paired with the word that follows them, which counts phrases of three words, and so on: a phrase can be frequent only if
 both its parts of one word less are.
 
-Only words and phrases that occur often enough get ids, and at most ``HEAD_WORDS`` and ``HEAD_PHRASES`` of them, so that
+Only words and phrases that occur often enough get ids, and at most ``Limits.head_words`` and ``Limits.head_phrases`` of them, so that
 what is broadcast is bounded. Where there are more, phrases with a part beyond the bound are counted by their text: slower, and exact as well.
 
 A phrase of ``k`` words in ``a`` places scores ``floor(10^6 a^2 / (l r))`` at a cut into parts found ``l`` and ``r`` times; its
@@ -37,16 +37,25 @@ MAX_WORDS = 3
 COVERED_PERCENT = 50
 TOP = 2000
 UNDEFINED = "und"
-#: Frequent words and phrases of one length with ids: what is broadcast.
-HEAD_WORDS = 1 << 19
-HEAD_PHRASES = 1 << 21
-#: Ids below this are counted in dense tiles of SIDE x SIDE cells.
-DENSE = 2048
+#: Dense tiles have so many rows and columns.
 SIDE = 256
-#: Pairs that a task gathers before it counts them, and cells that the reader of a sparse tile merges at a time.
-HELD_PAIRS = 3_000_000
-#: Words that a task counts before it passes them on.
-HELD_WORDS = 200_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What is broadcast and what a task holds; results do not depend on it.
+
+    Frequent words, and frequent phrases of one length, that get ids; ids below ``dense`` (a multiple of ``SIDE``) are counted in dense
+    tiles; pairs that a task gathers before it counts them, and cells that the reader of a sparse tile merges at a time; words, or
+    phrases by their text, that a task counts before it passes them on.
+    """
+
+    head_words: int = 1 << 19
+    head_phrases: int = 1 << 21
+    dense: int = 2048
+    pairs: int = 3_000_000
+    words: int = 200_000
+
 
 BREAK, BEYOND = -1, -2  # ids of the end of a piece or an infrequent word, and of a word without id
 _END = b"\n"
@@ -76,22 +85,25 @@ def _by_lang(batch):
             yield lang, [texts[i] for i in part]
 
 
-def _count_words(batches):
-    held: dict[str, Counter] = {}
+def _count_words(limits: Limits):
+    def run(batches):
+        held: dict[str, Counter] = {}
+
+        def rows():
+            for lang, words in held.items():
+                words.pop(_END, None)
+                texts = pa.array(list(words), pa.binary()).cast(pa.string())
+                yield from steps([record_batch(_WORDS, [pa.array([lang] * len(words), pa.string()), texts, list(words.values())])], 20_000)
+            held.clear()
 
-    def rows():
-        for lang, words in held.items():
-            words.pop(_END, None)
-            texts = pa.array(list(words), pa.binary()).cast(pa.string())
-            yield from steps([record_batch(_WORDS, [pa.array([lang] * len(words), pa.string()), texts, list(words.values())])], 20_000)
-        held.clear()
+        for batch in steps(batches):
+            for lang, texts in _by_lang(batch):
+                held.setdefault(lang, Counter()).update(words_of(texts))
+            if sum(map(len, held.values())) >= limits.words:
+                yield from rows()
+        yield from rows()
 
-    for batch in steps(batches):
-        for lang, texts in _by_lang(batch):
-            held.setdefault(lang, Counter()).update(words_of(texts))
-        if sum(map(len, held.values())) >= HELD_WORDS:
-            yield from rows()
-    yield from rows()
+    return run
 
 
 @dataclass
@@ -186,14 +198,14 @@ def _encode(head):
     return run
 
 
-def _tile_rows(keys: np.ndarray, parts: int):
+def _tile_rows(keys: np.ndarray, parts: int, dense_ids: int):
     """Counted pairs, packed: dense tiles by cell, then the rest sorted and dealt to ``parts`` tiles."""
     left, right = keys >> 24, keys & 0xFFFFFF
-    dense = (left < DENSE) & (right < DENSE)
+    dense = (left < dense_ids) & (right < dense_ids)
     rows = []
     if dense.any():
-        n = DENSE // SIDE
-        cells = np.bincount(left[dense] * DENSE + right[dense], minlength=DENSE * DENSE).reshape(n, SIDE, n, SIDE)
+        n = dense_ids // SIDE
+        cells = np.bincount(left[dense] * dense_ids + right[dense], minlength=dense_ids * dense_ids).reshape(n, SIDE, n, SIDE)
         for i in range(n):
             for j in range(n):
                 tile = np.ascontiguousarray(cells[i, :, j, :]).ravel()
@@ -214,7 +226,7 @@ def _tile_rows(keys: np.ndarray, parts: int):
     return record_batch(_TILES, [list(c) for c in zip(*rows, strict=True)]) if rows else None
 
 
-def _count_pairs(head, parts: int):
+def _count_pairs(head, parts: int, limits: Limits):
     """Packed counts of (phrase with an id, following word with an id), where the phrase without its first word has an id, too."""
 
     def run(batches):
@@ -222,7 +234,7 @@ def _count_pairs(head, parts: int):
         held, size = [], 0
 
         def flush():
-            out = _tile_rows(np.concatenate(held), parts) if held else None
+            out = _tile_rows(np.concatenate(held), parts, limits.dense) if held else None
             held.clear()
             return () if out is None else steps([out], 50)
 
@@ -238,7 +250,7 @@ def _count_pairs(head, parts: int):
                 there = (left >= 0) & (longest[1 : len(last) + 1] >= 0) & (last >= 0)
                 held.append(_joined(left[there], last[there]))
                 size += len(held[-1])
-                if size >= HELD_PAIRS:
+                if size >= limits.pairs:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -246,7 +258,7 @@ def _count_pairs(head, parts: int):
     return run
 
 
-def _add_tiles(head, min_count: int):
+def _add_tiles(head, min_count: int, limits: Limits):
     """Adds up the packed counts of one tile after the other and keeps its frequent phrases."""
 
     def run(batches):
@@ -264,7 +276,7 @@ def _add_tiles(head, min_count: int):
         def rows():
             if dense is not None:
                 cells = np.flatnonzero(dense >= min_count)
-                n = DENSE // SIDE
+                n = limits.dense // SIDE
                 i, j = divmod(-1 - tile, n)
                 left, right, counts = i * SIDE + cells // SIDE, j * SIDE + cells % SIDE, dense[cells]
             else:
@@ -294,7 +306,7 @@ def _add_tiles(head, min_count: int):
                 keys = np.ascontiguousarray(np.frombuffer(cells, np.uint8).reshape(8, -1).T).view("<i8").ravel()
                 sparse.append((keys, counts))
                 size += len(keys)
-                if size >= HELD_PAIRS:
+                if size >= limits.pairs:
                     sparse = [merged()]
                     size = 0
         if tile is not None:
@@ -303,7 +315,7 @@ def _add_tiles(head, min_count: int):
     return run
 
 
-def _count_texts(head, width: int, every: bool):
+def _count_texts(head, width: int, every: bool, limits: Limits):
     """Phrases of ``width`` words that have a part without an id, by their text.
 
     ``every``: all phrases of the next shorter length have ids, so only words without one matter.
@@ -335,7 +347,7 @@ def _count_texts(head, width: int, every: bool):
                 texts = [known.words[i] if i >= 0 else next(names) if i == BEYOND else None for i in ids.tolist()]
                 found = held.setdefault(lang, Counter())
                 found.update(" ".join(texts[i : i + width]) for i in np.flatnonzero(chosen).tolist())
-            if sum(map(len, held.values())) >= HELD_WORDS:
+            if sum(map(len, held.values())) >= limits.words:
                 yield from rows()
         yield from rows()
 
@@ -375,8 +387,7 @@ def count_phrases(
     lang: str = "lang",
     min_count: int = MIN_COUNT,
     max_words: int = MAX_WORDS,
-    head_words: int = HEAD_WORDS,
-    head_phrases: int = HEAD_PHRASES,
+    limits: Limits = Limits(),
 ) -> tuple[DataFrame, list[DataFrame]]:
     """All words, ``lang, phrase, n``, and per length from 2 on the phrases in at least ``min_count`` places.
 
@@ -385,29 +396,29 @@ def count_phrases(
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNDEFINED)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = rows.mapInArrow(_count_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = rows.mapInArrow(_count_words(limits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = stored(words, "words")
 
-    top, whole = _top_by_count(words.where(F.col("n") >= min_count), "n", head_words)
-    table = top.toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])  # at most ``head_words`` rows
+    top, whole = _top_by_count(words.where(F.col("n") >= min_count), "n", limits.head_words)
+    table = top.toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])  # at most ``limits.head_words`` rows
     head = Head(table["lang"].to_pylist(), table["phrase"].to_pylist(), table["n"].to_numpy().astype(np.int64), whole)
     shared = spark.sparkContext.broadcast(head)
     encoded = stored(rows.mapInArrow(_encode(shared), "lang string, ids binary, beyond array<string>"), "encoded", compression="zstd")
 
     levels, every = [], True
     for width in range(2, max_words + 1):
-        packed = encoded.select("ids").mapInArrow(_count_pairs(shared, parts), "tile int, cells binary, counts binary")
+        packed = encoded.select("ids").mapInArrow(_count_pairs(shared, parts, limits), "tile int, cells binary, counts binary")
         dealt = packed.repartition(parts // 4, "tile").sortWithinPartitions("tile")
-        found = stored(dealt.mapInArrow(_add_tiles(shared, min_count), _FOUND_SQL), "phrases")
+        found = stored(dealt.mapInArrow(_add_tiles(shared, min_count, limits), _FOUND_SQL), "phrases")
         all_found = found
         if not (whole and every):
-            texts = encoded.mapInArrow(_count_texts(shared, width, every), "lang string, phrase string, n long")
+            texts = encoded.mapInArrow(_count_texts(shared, width, every, limits), "lang string, phrase string, n long")
             texts = texts.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
             all_found = found.unionByName(_with_parts(stored(texts, "texts"), words, levels), allowMissingColumns=True)
             all_found = stored(all_found, "all-phrases")
         levels.append(all_found)
         if width < max_words:
-            level, complete = _level(found, head_phrases)
+            level, complete = _level(found, limits.head_phrases)
             every = every and complete
             head = Head(head.langs, head.words, head.counts, whole, [*head.levels, level])
             shared = spark.sparkContext.broadcast(head)

@@ -152,16 +152,14 @@ def divergent_documents(r):
     return rows + [(205, None, "fr", "a"), (206, "", "fr", "b"), (207, "1 2 3", "it", "a"), rows[3], rows[3]]
 
 
-def test_audit_against_plain_counts(spark, monkeypatch):
+def test_audit_against_plain_counts(spark):
     rows = divergent_documents(random.Random(6))
     df = spark.createDataFrame(rows, SCHEMA)
     want = slow_audit(rows)
     assert {"thrice"} == {x[3] for x in want if x[3] in ("twice", "thrice")}
     assert rows_of(divergence.audit(df.repartition(5))) == want
-    monkeypatch.setattr(divergence, "TILE", 2)
-    monkeypatch.setattr(divergence, "BLOCK_CELLS", 5)
-    monkeypatch.setattr(divergence, "HELD_CHUNKS", 3)
-    assert rows_of(divergence.audit(df.repartition(2), top=3)) == slow_audit(rows, top=3)
+    small = divergence.Limits(words=5, entries=7, tile=2, cells=5)
+    assert rows_of(divergence.audit(df.repartition(2), top=3, limits=small)) == slow_audit(rows, top=3)
 
 
 def test_audit_of_odd_and_of_no_documents(spark, odd_documents, no_documents):
@@ -221,13 +219,10 @@ def wordy_documents(r):
 
 @pytest.mark.parametrize(("head_words", "head_phrases"), [(1000, 1000), (8, 1000), (1000, 5), (12, 4), (0, 0)])
 @pytest.mark.parametrize("max_words", [3, 4])
-def test_collocations_against_plain_counts(spark, monkeypatch, head_words, head_phrases, max_words):
-    monkeypatch.setattr(collocations, "DENSE", 256)  # pairs of the last ids are coordinates
-    monkeypatch.setattr(collocations, "HELD_PAIRS", 700)
-    monkeypatch.setattr(collocations, "HELD_WORDS", 20)
+def test_collocations_against_plain_counts(spark, head_words, head_phrases, max_words):
     rows = wordy_documents(random.Random(7))
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = collocations.collocations(df, max_words=max_words, head_words=head_words, head_phrases=head_phrases)
+    got = collocations.collocations(df, max_words=max_words, limits=collocations.Limits(head_words, head_phrases, pairs=700, words=20))
     assert rows_of(got) == slow_collocations(rows, max_words=max_words)
 
 
@@ -238,7 +233,8 @@ def test_sparse_tiles(spark):
     texts = [" ".join(w for p in r.sample(pairs, 400) for w in p) for _ in range(90)]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    assert rows_of(collocations.collocations(df, top=10_000, min_count=9)) == slow_collocations(rows, top=10_000, min_count=9)
+    small = collocations.Limits(dense=256, pairs=5000)
+    assert rows_of(collocations.collocations(df, top=10_000, min_count=9, limits=small)) == slow_collocations(rows, top=10_000, min_count=9)
 
 
 def test_collocations_of_odd_and_of_no_documents(spark, odd_documents, no_documents):
