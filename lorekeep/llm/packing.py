@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +34,36 @@ from lorekeep.operators.common import broadcast_if_small
 
 SEQUENCE = 4096
 END_ID = 2
-#: Parts, and words, that a worker remembers; each starts anew when they are reached.
-CACHE_PARTS = 500_000
+#: Bytes of parts and of words, with their ids, that a worker remembers; each starts anew when they are reached.
+CACHE_BYTES = 32_000_000
+#: What an entry takes besides its text and ids.
+_ENTRY = 200
 #: Characters whose lower case and composition no version of Unicode changes; words of them under the vocabulary's pattern.
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def _remember(cache, text: str, ids: bytes) -> bytes:
+    size = _ENTRY + len(text) + len(ids)
+    if cache.held + size > CACHE_BYTES:
+        cache.clear()
+        cache.held = 0
+    if size <= CACHE_BYTES:
+        cache.held += size
+        cache[text] = ids
+    return ids
+
+
 class _Words(dict):
     """Ids of the vocabulary's words as bytes, remembered up to a bound."""
 
     def __init__(self, model):
         super().__init__()
-        self.tokenize = model.tokenize
+        self.tokenize, self.held = model.tokenize, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_PARTS:
-            self.clear()
-        ids = self[word] = array("I", [t.id for t in self.tokenize(in_bytes(word))]).tobytes()
-        return ids
+        ids = array("I", [t.id for t in self.tokenize(in_bytes(word))]).tobytes()
+        return _remember(self, word, ids)
 
 
 class _Parts(dict):
@@ -59,17 +71,14 @@ class _Parts(dict):
 
     def __init__(self, own):
         super().__init__()
-        self.own, self.words = own, _Words(own.model)
+        self.own, self.words, self.held = own, _Words(own.model), 0
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_PARTS:
-            self.clear()
         if _SIMPLE.fullmatch(part):
             ids = b"".join(map(self.words.__getitem__, _WORDS.findall(part.lower())))
         else:
             ids = array("I", self.own.encode(part, add_special_tokens=False).ids).tobytes()
-        self[part] = ids
-        return ids
+        return _remember(self, part, ids)
 
 
 class Encoder:
@@ -97,6 +106,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder per worker process: its tasks share vocabulary and caches."""
+    return Encoder(path, end_id)
+
+
 _ENCODED = "key {kind}, task int, local long, n long, ids binary"
 _PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -106,7 +121,7 @@ def encoded(df: DataFrame, path: str, key: str, text: str, end_id: int) -> DataF
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("t"))
 
     def make():
-        encoder, task, sofar = Encoder(path, end_id), TaskContext.get().partitionId(), 0
+        encoder, task, sofar = encoder_of(path, end_id), TaskContext.get().partitionId(), 0
         wide = encoder.own.get_vocab_size() > 65536
 
         def work(batch):

@@ -68,7 +68,7 @@ def test_decoding_is_the_best_consistent_choice():
     for _ in range(60):
         page = html_tree.Page()
         for v in range(1, r.randint(2, 8)):
-            page.add(r.randrange(v), "div", "")
+            page.add(r.randrange(v), "div", "", labelled=False)
         page.own = [r.choice((0, 5)) for _ in page.own]
         margins = [r.uniform(-6, 6) for _ in page.own]
         kept = html_extract.decode(page, margins)

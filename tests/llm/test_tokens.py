@@ -188,7 +188,7 @@ def test_packing(odd_documents, no_documents, spark, vocabulary):
 def test_packed_ids_are_the_library_s(strange, vocabulary, monkeypatch):
     path = vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    monkeypatch.setattr(packing, "CACHE_PARTS", 50)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 5000)
     got = packing.Encoder(path, 2).of(strange)
     for text, held in zip(strange, got, strict=True):
         assert np.frombuffer(held, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text[:40]
