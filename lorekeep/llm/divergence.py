@@ -53,8 +53,8 @@ class Limits:
     sources are read once for each such tile), and cells of a block of shares, terms x sources.
     """
 
-    words: int = 400_000
-    entries: int = 1_500_000
+    words: int = 800_000
+    entries: int = 3_000_000
     tile: int = 1024
     cells: int = 500_000
 
@@ -275,7 +275,9 @@ def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """``1 + floor(UNIT * (n + 1) / (total + terms))``."""
     wide = lambda c, digits: c.cast(f"decimal({digits},0)")
-    return F.call_function("div", wide(F.lit(UNIT), 10) * wide(n + 1, 19), wide(total + terms, 19)) + 1
+    exact = F.call_function("div", wide(F.lit(UNIT), 10) * wide(n + 1, 19), wide(total + terms, 19))
+    # Decimals only where the product would pass 64 bits.
+    return F.when(n < (1 << 63) // UNIT - 1, F.call_function("div", F.lit(UNIT).cast("long") * (n + 1), total + terms)).otherwise(exact) + 1
 
 
 def _divergence(p: Column, q: Column) -> Column:
