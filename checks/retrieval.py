@@ -14,7 +14,10 @@ from lorekeep.operators import fusion, lexical
 from lorekeep.operators.common import shared_folder, top_per_group
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.operators.nearest import cosine
+from lorekeep.operators.segments import SegmentStore
 from lorekeep.plans import search as P
+from lorekeep.plans.backfill import refresh_index
+from lorekeep.session import KnowledgeBase
 
 DOC_BODY = "(SELECT CAST(doc_id AS VARCHAR) AS id, text AS body FROM documents)"
 CHUNK_BODY = "(SELECT id, document_id, text AS body FROM ch)"
@@ -39,6 +42,40 @@ def bm25_stored_index(spark, d):
     return hits.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_after_commits(spark, d):
+    """An index that follows four commits: English texts, the others, removal of toxic ones, new texts for those of low quality."""
+    kb = KnowledgeBase(spark, f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}")
+    rows = V.read(spark, d, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text"), "lang", "source")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    labels = V.read(spark, d, "labels")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    poor = rows.join(labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    steps = [
+        {"inserts": {"document_content": rows.where(english)}},
+        {"inserts": {"document_content": rows.where(~english)}},
+        {"removed": {"document_content": toxic}},
+        {"upserts": {"document_content": poor.withColumn("raw_text", F.concat_ws(" ", "raw_text", "source"))}},
+    ]
+    for step in steps:
+        kb.commit(**step)
+        index = refresh_index(kb, "documents")
+    hits = bm25_search(index, V.questions(spark, d), 20, kb.root)
+    return hits.select("query_id", F.col("id").alias("document_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+_COMMITTED = """(SELECT CAST(d.doc_id AS VARCHAR) AS id,
+ CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0) THEN concat_ws(' ', text, source) ELSE text END AS body
+ FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+def bm25_pruned(spark, d):
+    """The ranking of bm25_docs from blocks whose bound can reach it."""
+    store = SegmentStore(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}", ["document_id"], Tokenizer())
+    store.refresh(V.raw_texts(spark, d).withColumn("batch", F.lit(1)), "raw_text", {1}, "1")
+    hits = bm25_search(store.index("1"), V.questions(spark, d), 20)
+    return hits.select("query_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def bm25_chunks(spark, d):
     hits = P.search_fts_chunks(V.corpus(spark, d, stored=False), V.questions(spark, d))
     return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -125,6 +162,12 @@ def hybrid_chunks(spark, d):
     return _chunk_result(P.hybrid_search_chunks(V.corpus(spark, d), V.questions(spark, d)))
 
 
+def hybrid_chunks_full(spark, d):
+    """Twelve chunks of different documents: lists of 20 often hold fewer, so they grow."""
+    hits = P.hybrid_search_chunks(V.corpus(spark, d), V.questions(spark, d), k=12, per_document=1)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "document_id", F.round("score", 8).alias("score"), "source")
+
+
 def diversify_cap(spark, d):
     hits = P.search_fts_chunks(V.corpus(spark, d, stored=False), V.questions(spark, d))
     kept = fusion.diversify(fusion.single_source(hits, "fts", ("document_id",)), 2, 5)
@@ -187,6 +230,8 @@ _RARE = f"""(SELECT query_id, list_sort(list_transform({S.tokens("query")},
 
 CHECKS = {
     "bm25_docs": (bm25_docs, f"WITH {_BM_DOCS} SELECT query_id, id AS document_id, score, rank FROM bm"),
+    "bm25_after_commits": (bm25_after_commits, f"WITH {S.bm25(_COMMITTED, S.QUESTIONS, 20)} SELECT query_id, id AS document_id, score, rank FROM bm"),
+    "bm25_pruned": (bm25_pruned, f"WITH {_BM_DOCS} SELECT query_id, id AS document_id, score, rank FROM bm"),
     "bm25_stored_index": (bm25_stored_index, f"WITH {_BM_DOCS} SELECT query_id, id AS document_id, score, rank FROM bm"),
     "bm25_chunks": (
         bm25_chunks,
@@ -241,6 +286,22 @@ CHECKS = {
  round(score, 8) AS score, source
  FROM h JOIN ch ON ch.id = h.id JOIN {S.DOCUMENTS} d ON d.id = h.document_id
  LEFT JOIN {S.METADATA} m ON m.document_id = h.document_id WHERE h.rank < 5""",
+    ),
+    "hybrid_chunks_full": (
+        hybrid_chunks_full,
+        f"""WITH RECURSIVE {S.chunks()}, {S.bm25(CHUNK_BODY, S.QUESTIONS, 81920, "document_id")}, {S.knn(S.CHUNK_VECTORS, S.QUESTIONS, 81920, "document_id")},
+lv AS (SELECT unnest([20, 80, 320, 1280, 5120, 20480, 81920]) AS p),
+b AS (SELECT p, query_id, id, document_id, rank FROM bm JOIN lv ON rank < p), v AS (SELECT p, query_id, id, document_id, rank FROM nn JOIN lv ON rank < p),
+j AS (SELECT coalesce(b.p, v.p) AS p, coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.id, v.id) AS id,
+  coalesce(b.document_id, v.document_id) AS document_id, b.rank AS fr, v.rank AS vr FROM b FULL JOIN v ON b.p = v.p AND b.query_id = v.query_id AND b.id = v.id),
+f AS (SELECT *, coalesce((CASE WHEN vr < 8 AND fr = 0 THEN 3.0 WHEN vr < 8 AND fr = 1 THEN 2.0 ELSE 1.0 END)::DOUBLE / (60 + fr + 1), 0)
+  + coalesce(1.5::DOUBLE / (60 + vr + 1), 0) AS score FROM j),
+c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY p, query_id, document_id ORDER BY score DESC, fr NULLS LAST, vr NULLS LAST, id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY p, query_id ORDER BY score DESC, fr NULLS LAST, vr NULLS LAST, id) - 1 AS rank FROM c QUALIFY rank < 12),
+ended AS (SELECT p, query_id, count(fr) < p AND count(vr) < p AS ended FROM f GROUP BY p, query_id),
+stop AS (SELECT query_id, min(p) AS p FROM ended JOIN (SELECT p, query_id, count(*) AS n FROM r GROUP BY ALL) USING (p, query_id) WHERE n = 12 OR ended GROUP BY query_id)
+SELECT query_id, rank, id AS chunk_id, document_id, round(score, 8) AS score,
+  CASE WHEN fr IS NULL THEN 'vector' WHEN vr IS NULL THEN 'fts' ELSE 'both' END AS source FROM r JOIN stop USING (p, query_id)""",
     ),
     "diversify_cap": (
         diversify_cap,

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -89,6 +89,8 @@ class LexicalIndex:
     ids: tuple[str, ...]
     tokenizer: Tokenizer
     terms: DataFrame | None = None
+    #: Of a segmented index: ``segment, block, term, max_tf, min_len, n``; its postings have ``segment`` and ``block``, too.
+    blocks: DataFrame | None = None
 
     @staticmethod
     def of(
@@ -161,43 +163,115 @@ def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``query_id, ids, score`` of every text that shares a term with the query."""
-    ids = list(index.ids)
-    wanted = query_terms(queries.select("query_id", "query"), index.tokenizer)
-    vocabulary = wanted.select("term").distinct()
-    small_vocabulary, bounded = broadcast_if_small(vocabulary)
-
-    posted = index.posted
-    if bounded and "prefix" in posted.columns:
-        # A stored index: literal terms reach the scan and prune files.
-        words = [r.term for r in vocabulary.collect()]
-        posted = posted.where(
-            is_one_of("prefix", sorted({w[:2] for w in words})) & is_one_of("term", words)
-        )
-    else:
-        posted = posted.join(small_vocabulary, "term", "left_semi")
-    posted = posted.select(*ids, "doc_len", "term", "tf")
-
-    weighted = (
-        wanted.join(index.frequencies.join(small_vocabulary, "term", "left_semi"), "term")
-        .withColumn("_stats", index.stats.select(F.struct("n_docs", "avg_len")).scalar())
-        .select(
-            "query_id",
-            "term",
-            F.col("_stats.avg_len").alias("avg_len"),
-            idf(F.col("_stats.n_docs"), F.col("df")).alias("idf"),
+    asked = _Asked.of(index, queries)
+    return asked.scores(asked.postings())
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """An index and the terms of some queries with their weights."""
+
+    index: LexicalIndex
+    wanted: DataFrame  # query_id, term
+    weighted: DataFrame  # query_id, term, avg_len, idf
+    vocabulary: DataFrame
+    words: list[str] | None  # of a bounded vocabulary
+
+    @staticmethod
+    def of(index: LexicalIndex, queries: DataFrame) -> _Asked:
+        wanted = query_terms(queries.select("query_id", "query"), index.tokenizer)
+        vocabulary = wanted.select("term").distinct()
+        small, bounded = broadcast_if_small(vocabulary)
+        words = [r.term for r in vocabulary.collect()] if bounded else None
+        weighted = (
+            wanted.join(index.frequencies.join(small, "term", "left_semi"), "term")
+            .withColumn("_stats", index.stats.select(F.struct("n_docs", "avg_len")).scalar())
+            .select(
+                "query_id",
+                "term",
+                F.col("_stats.avg_len").alias("avg_len"),
+                idf(F.col("_stats.n_docs"), F.col("df")).alias("idf"),
+            )
         )
-    )
-    # Partitioned by text id once, the sums below need no further exchange.
-    posted = posted.repartition(ids[0])
-    if bounded and broadcast_if_small(wanted)[1]:
-        matched = posted.join(F.broadcast(weighted), "term")
-    else:
-        matched = _salted_join(posted, weighted, ids[0])
-    weight = term_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf"))
-    return (
-        matched.groupBy("query_id", *ids)
-        .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
-    )
+        return _Asked(index, wanted, weighted, small, words)
+
+    def of_terms(self, rows: DataFrame) -> DataFrame:
+        """Rows of the queries' terms; literal terms reach the scan and prune files."""
+        if self.words is None:
+            return rows.join(self.vocabulary, "term", "left_semi")
+        if "prefix" in rows.columns:
+            rows = rows.where(is_one_of("prefix", sorted({w[:2] for w in self.words})))
+        return rows.where(is_one_of("term", self.words))
+
+    def postings(self) -> DataFrame:
+        return self.of_terms(self.index.posted)
+
+    def scores(self, posted: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+        """Sums of weights; ``chosen`` restricts them to pairs of query and block."""
+        ids = list(self.index.ids)
+        blocks = ["segment", "block"] if chosen is not None else []
+        # Partitioned by text id once, the sums below need no further exchange.
+        posted = posted.select(*ids, "doc_len", "term", "tf", *blocks).repartition(ids[0])
+        if self.words is not None and broadcast_if_small(self.wanted)[1]:
+            matched = posted.join(F.broadcast(self.weighted), "term")
+        else:
+            matched = _salted_join(posted, self.weighted, ids[0])
+        if chosen is not None:
+            matched = matched.join(broadcast_if_small(chosen)[0], ["query_id", *blocks], "left_semi")
+        weight = term_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf"))
+        return matched.groupBy("query_id", *ids).agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
+
+
+# So many times the pool of postings are scored first, to learn a score that the other blocks have to reach.
+FIRST_POSTINGS = 4
+
+
+def block_bounds(asked: _Asked) -> DataFrame:
+    """``query_id, segment, block, bound, n``: no text of the block scores above the bound; ``n`` postings."""
+    at_most = term_weight(F.col("max_tf"), F.col("min_len"), F.col("avg_len"), F.col("idf"))
+    matched = asked.of_terms(asked.index.blocks).join(broadcast_if_small(asked.weighted)[0], "term")
+    return matched.groupBy("query_id", "segment", "block").agg(F.sum(at_most).alias("bound"), F.sum("n").alias("n"))
+
+
+def _in_blocks(posted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Postings of some blocks; few blocks are literals, which skip pages of the files sorted by term and block."""
+    keys = chosen.select("segment", "block").distinct()
+    if not has_at_most(keys, 1000):
+        return posted.join(broadcast_if_small(keys)[0], ["segment", "block"], "left_semi")
+    by_segment: dict[int, list[int]] = {}
+    for r in keys.collect():
+        by_segment.setdefault(r["segment"], []).append(r["block"])
+    held = F.lit(False)
+    for segment, blocks in sorted(by_segment.items()):
+        held = held | ((F.col("segment") == segment) & F.col("block").isin(sorted(blocks)))
+    return posted.where(held)
+
+
+def bm25_pruned(index: LexicalIndex, queries: DataFrame, pool: int, staging: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Best ``pool`` texts per query of a segmented index, reading only blocks that can hold one, and the blocks read.
+
+    The blocks with the highest bounds are scored first. A block whose bound is below the ``pool``-th score found there holds none of the
+    best texts and is not read. Returns ``query_id, ids, score`` and ``query_id, segment, block, bound, n, is_read``.
+    """
+    asked = _Asked.of(index, queries)
+    bounds = block_bounds(asked)
+    before = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block").rowsBetween(Window.unboundedPreceding, -1)
+    is_first = F.coalesce(F.sum("n").over(before), F.lit(0)) < FIRST_POSTINGS * pool
+    bounds = materialize(bounds.withColumn("is_first", is_first), staging)
+    first = bounds.where("is_first")
+    posted = asked.postings()
+    order = [F.desc("score"), F.asc(index.ids[0])]
+    found = materialize(top_per_group(asked.scores(_in_blocks(posted, first), first), ["query_id"], order, pool).drop("rank"), staging)
+    # With fewer than ``pool`` texts there is no score to reach. Scores are rounded, so bounds get that much room.
+    reached = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= pool, F.min("score")).alias("least"))
+    open_ = F.col("least").isNull() | (F.col("bound") + 10.0**-SCORE_DIGITS >= F.col("least"))
+    bounds = bounds.join(reached, "query_id", "left").withColumn("is_read", F.col("is_first") | open_).drop("least")
+    bounds = materialize(bounds, staging)
+    rest = bounds.where("is_read AND NOT is_first")
+    scored = found
+    if not rest.isEmpty():
+        scored = found.unionByName(asked.scores(_in_blocks(posted, rest), rest))
+    return scored, bounds.drop("is_first")
 
 
 def _salted_join(posted: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
@@ -207,12 +281,14 @@ def _salted_join(posted: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
     return posted.withColumn("salt", salt).join(copies, ["term", "salt"]).drop("salt")
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame:
+def bm25_search(index: LexicalIndex, queries: DataFrame, pool: int, staging: str | None = None) -> DataFrame:
     """Best ``pool`` texts per query with a 0-based rank; ties go to the lower id."""
     order = [F.desc("score"), F.asc(index.ids[0])]
     scored = None
     if index.terms is not None:
         scored = _score_in_place(index, queries, pool)
+    elif index.blocks is not None:
+        scored = bm25_pruned(index, queries, pool, staging)[0]
     if scored is None:
         scored = bm25_scores(index, queries)
     return top_per_group(scored, ["query_id"], order, pool)

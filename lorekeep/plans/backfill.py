@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.backends import Embedder, embed_column
 from lorekeep.operators.common import spread
 from lorekeep.operators.lexical import LexicalIndex
+from lorekeep.operators.segments import SegmentStore
 from lorekeep.operators.upkeep import pending
 from lorekeep.plans.search import Corpus
 from lorekeep.session import KnowledgeBase
@@ -51,34 +52,49 @@ def embed_pending(
     return {k: int(v) for k, v in seen.get.items()}
 
 
-def _index_folder(kb: KnowledgeBase, level: str) -> str:
-    return f"{kb.root}/_lexical/{level}/version={kb.version}"
+# Level of a lexical index: its table, the name of its id there, what else it carries, its text.
+INDEXES = {
+    "documents": ("document_content", "document_id", [], "raw_text"),
+    "chunks": ("chunks", "id", ["document_id"], "text"),
+}
+
+
+def segment_store(kb: KnowledgeBase, level: str) -> SegmentStore:
+    return SegmentStore(kb.spark, f"{kb.root}/_lexical/{level}", ["id", *INDEXES[level][2]], kb.settings.tokenizer)
+
+
+def refresh_index(kb: KnowledgeBase, level: str) -> LexicalIndex:
+    """The stored index of the current version; new rows are tokenised, removed ones subtracted, others not touched."""
+    table, key, carried, text = INDEXES[level]
+    store, log = segment_store(kb, level), kb._log()
+    version = kb.version_of(log)
+    if not store.is_at(version):
+        rows = kb.table(table, log, with_batch=True).select(F.col(key).alias("id"), *carried, text, "batch")
+        store.refresh(rows, text, kb.batches_of(table, log), version)
+    return store.index(version)
 
 
 def build_indexes(kb: KnowledgeBase) -> None:
-    """Store the postings of documents and chunks for the current version."""
-    corpus = Corpus(kb.documents, kb.content, kb.metadata, kb.chunks, kb.settings.tokenizer)
-    corpus.lexical_documents().save(_index_folder(kb, "documents"))
-    corpus.lexical_chunks().save(_index_folder(kb, "chunks"))
+    """Store the postings of documents and chunks; from then on they follow every commit."""
+    for level in INDEXES:
+        refresh_index(kb, level)
 
 
-def _stored(kb: KnowledgeBase, level: str, ids: list[str]) -> LexicalIndex | None:
-    folder = _index_folder(kb, level)
-    # The statistics are written last, so their marker means a complete index.
-    if not kb._fs.exists(kb._path(f"{folder}/stats/_SUCCESS")):
-        return None
-    return LexicalIndex.load(kb.spark, folder, ids, kb.settings.tokenizer)
+def sweep_indexes(kb: KnowledgeBase) -> int:
+    """Delete what merged segments and old versions left; only to be called while no job runs."""
+    return sum(segment_store(kb, level).sweep(kb.version) for level in INDEXES)
 
 
 def corpus_of(kb: KnowledgeBase) -> Corpus:
-    """The tables with their stored indexes; a stale index is never used."""
+    """The tables with their lexical indexes, if any were built, brought up to the current version."""
+    found = {level: refresh_index(kb, level) if segment_store(kb, level).exists() else None for level in INDEXES}
     return Corpus(
         kb.documents,
         kb.content,
         kb.metadata,
         kb.chunks,
         kb.settings.tokenizer,
-        _stored(kb, "documents", ["id"]),
-        _stored(kb, "chunks", ["id", "document_id"]),
+        found["documents"],
+        found["chunks"],
         f"{kb.root}/_staging",
     )

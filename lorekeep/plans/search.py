@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,13 @@ class Corpus:
 
 
 def search_fts(corpus: Corpus, queries: DataFrame, pool: int = FusionRules().pool) -> DataFrame:
-    return bm25_search(corpus.lexical_documents(), queries, pool)
+    return bm25_search(corpus.lexical_documents(), queries, pool, corpus.staging)
 
 
 def search_fts_chunks(
     corpus: Corpus, queries: DataFrame, pool: int = FusionRules().pool
 ) -> DataFrame:
-    return bm25_search(corpus.lexical_chunks(), queries, pool)
+    return bm25_search(corpus.lexical_chunks(), queries, pool, corpus.staging)
 
 
 def search_vector(corpus: Corpus, queries: DataFrame, pool: int = FusionRules().pool) -> DataFrame:
@@ -114,6 +115,10 @@ def hybrid_search(
     return fusion.hydrate_documents(ranked, corpus.documents, corpus.content, corpus.metadata)
 
 
+# Lists of open queries grow by this factor.
+WIDER = 4
+
+
 def hybrid_search_chunks(
     corpus: Corpus,
     queries: DataFrame,
@@ -121,13 +126,38 @@ def hybrid_search_chunks(
     mode: str = "hybrid",
     per_document: int = CHUNKS_PER_DOCUMENT,
     rules: FusionRules = FusionRules(),
+    widen: bool = True,
 ) -> DataFrame:
-    """Best ``k`` chunks per query, at most ``per_document`` of one document."""
-    found = _candidates(corpus, queries, mode, rules, chunks=True)
-    ranked = materialize(fusion.diversify(found, per_document, k), corpus.staging)
+    """Best ``k`` chunks per query, at most ``per_document`` of one document.
+
+    A document with many matching chunks can fill the lists of a query. Queries that have fewer than ``k`` rows for that reason, and only
+    those, are asked again with longer lists until ``k`` rows stand or both lists have ended; ``widen=False`` keeps the
+    lists of ``rules``.
+    """
+    if widen:
+        ranked = _until_k(corpus, queries, k, mode, per_document, rules)
+    else:
+        found = _candidates(corpus, queries, mode, rules, chunks=True)
+        ranked = materialize(fusion.diversify(found, per_document, k), corpus.staging)
     return fusion.hydrate_chunks(ranked, corpus.chunks, corpus.documents, corpus.metadata)
 
 
+def _until_k(corpus: Corpus, queries: DataFrame, k: int, mode: str, per_document: int, rules: FusionRules) -> DataFrame:
+    done: list[DataFrame] = []
+    while True:
+        found = materialize(_candidates(corpus, queries, mode, rules, chunks=True), corpus.staging)
+        ranked = materialize(fusion.diversify(found, per_document, k), corpus.staging)
+        # A list as long as asked for may go on.
+        lists = found.groupBy("query_id").agg(((F.count("fts_rank") >= rules.pool) | (F.count("vec_rank") >= rules.pool)).alias("goes_on"))
+        full = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+        short = materialize(lists.where("goes_on").select("query_id").join(full, "query_id", "left_anti"), corpus.staging)
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, ranked])
+        done.append(ranked.join(short, "query_id", "left_anti"))
+        queries = queries.join(short, "query_id", "left_semi")
+        rules = replace(rules, pool=rules.pool * WIDER)
+
+
 def unanswered(
     queries: DataFrame, hits: DataFrame, staging: str | None = None
 ) -> DataFrame | None:

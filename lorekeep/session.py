@@ -139,7 +139,11 @@ class KnowledgeBase:
     @property
     def version(self) -> str:
         """Names the set of live batches: any commit, whatever its number, makes another version."""
-        live = [e["batch"] for e in self._log()]
+        return self.version_of(self._log())
+
+    @staticmethod
+    def version_of(log: list[dict]) -> str:
+        live = [e["batch"] for e in log]
         digest = hashlib.sha256(json.dumps(live).encode()).hexdigest()[:12]
         return f"{max(live)}-{digest}" if live else ""
 
@@ -161,14 +165,16 @@ class KnowledgeBase:
         removed: dict[str, DataFrame] | None = None,
         inserts: dict[str, DataFrame] | None = None,
         replaces: list[int] | None = None,
+        born: set[int] | None = None,
     ) -> int:
         """Publish rows and removals of any number of tables at once.
 
         ``upserts`` replace rows of the same primary key, ``inserts`` are known
         to have none, ``removed`` holds one column of primary keys per table.
-        ``replaces`` names batches whose rows these are; only those stop to be
-        read, so that a batch which another writer commits meanwhile is kept,
-        and its removals apply to these rows too. The tables are written side
+        ``replaces`` names batches whose rows these are, each with its own
+        batch number in ``batch``, one of ``born``. Only those batches stop to
+        be read, so that a batch which another writer commits meanwhile is
+        kept, and its removals apply to the rows that are older than it. The tables are written side
         by side, so that a short one does not wait for a long one.
         """
         batch = self._reserve()
@@ -182,6 +188,8 @@ class KnowledgeBase:
                 .alias(f.name)
                 for f in schema
             ]
+            if replaces:
+                columns.append(F.col("batch").cast("int").alias("born"))
             key = PRIMARY_KEY[table]
             (
                 rows.select(*columns)
@@ -209,7 +217,7 @@ class KnowledgeBase:
             list(pool.map(write_keys, gone))
         told = {"batch": batch, "rows": list(rows), "gone": gone}
         if replaces:
-            told |= {"replaces": replaces, "as_of": max(replaces)}
+            told |= {"replaces": replaces, "born": sorted(born or ())}
         entry = json.dumps(told)
         marker = self._path(f"{self.root}/_commits/{batch:08d}")
         stream = self._fs.create(marker, False)
@@ -222,22 +230,24 @@ class KnowledgeBase:
 
     # ------------------------------------------------------------- reading
 
-    def table(self, name: str, log: list[dict] | None = None) -> DataFrame:
-        """The current rows of a table, or those of a log read before."""
+    def table(self, name: str, log: list[dict] | None = None, with_batch: bool = False) -> DataFrame:
+        """The current rows of a table, or those of a log read before; with the batch that brought each row, if wanted."""
         log = self._log() if log is None else log
         schema = TABLES[name]
         live = [self._dir(name, e["batch"]) for e in log if name in e["rows"]]
         if not live:
-            return self.spark.createDataFrame([], schema)
-        stored = T.StructType([*schema, T.StructField("batch", T.IntegerType())])
+            empty = T.StructType([*schema, *([T.StructField("batch", T.IntegerType())] if with_batch else [])])
+            return self.spark.createDataFrame([], empty)
+        # Rows that a compaction rewrote carry the number of the batch that brought them.
+        numbers = [T.StructField(n, T.IntegerType()) for n in ("born", "batch")]
+        stored = T.StructType([*schema, *numbers])
         rows = (
             self.spark.read.schema(stored).option("basePath", f"{self.root}/{name}").parquet(*live)
         )
         gone = [self._dir(name, e["batch"], "_gone") for e in log if name in e["gone"]]
-        for entry in log:
-            if "as_of" in entry:
-                same = F.col("batch") == entry["batch"]
-                rows = rows.withColumn("batch", F.when(same, entry["as_of"]).otherwise(F.col("batch")))
+        if any("born" in e for e in log):
+            rows = rows.withColumn("batch", F.coalesce("born", "batch"))
+        rows = rows.drop("born")
         if gone:
             keys = (
                 self.spark.read.schema("key string, batch int")
@@ -251,7 +261,12 @@ class KnowledgeBase:
                 (rows[PRIMARY_KEY[name]] == keys["key"]) & (rows["batch"] < keys["gone_at"]),
                 "left_anti",
             )
-        return rows.drop("batch")
+        return rows if with_batch else rows.drop("batch")
+
+    def batches_of(self, name: str, log: list[dict] | None = None) -> set[int]:
+        """Numbers of the batches that brought rows of a table, compacted or not."""
+        log = self._log() if log is None else log
+        return {b for e in log if name in e["rows"] for b in e.get("born", [e["batch"]])}
 
     @property
     def documents(self) -> DataFrame:
@@ -298,7 +313,8 @@ class KnowledgeBase:
         """Delete folders that no version reads any more; how many.
 
         Only to be called while no job reads or writes: old batches, unfinished
-        batches, intermediate results and indexes of other versions go.
+        batches and intermediate results go; ``plans.backfill.sweep_indexes`` does
+        the same for indexes.
         """
         live = {
             self._dir(table, e["batch"], kind)
@@ -306,9 +322,7 @@ class KnowledgeBase:
             for part, kind in (("rows", ""), ("gone", "_gone"))
             for table in e[part]
         }
-        live |= {f"{self.root}/_lexical/{n}/version={self.version}" for n in ("documents", "chunks")}
-        groups = [f"{t}{kind}" for t in TABLES for kind in ("", "_gone")]
-        groups += ["_lexical/documents", "_lexical/chunks", "_staging/lorekeep"]
+        groups = [f"{t}{kind}" for t in TABLES for kind in ("", "_gone")] + ["_staging/lorekeep"]
         deleted = 0
         for group in groups:
             folder = self._path(f"{self.root}/{group}")
@@ -323,5 +337,6 @@ class KnowledgeBase:
     def compact(self) -> int:
         """Rewrite the current rows once, without what was replaced or deleted."""
         log = self._log()
-        rows = {n: self.table(n, log) for n in TABLES}
-        return self.commit(upserts=rows, replaces=[e["batch"] for e in log])
+        rows = {n: self.table(n, log, with_batch=True) for n in TABLES}
+        born = {b for n in TABLES for b in self.batches_of(n, log)}
+        return self.commit(upserts=rows, replaces=[e["batch"] for e in log], born=born)
