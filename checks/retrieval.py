@@ -11,6 +11,7 @@ from checks import views as V
 from lorekeep.functions.text import bind
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators import fusion, lexical
+from lorekeep.operators.cells import Cells
 from lorekeep.operators.common import shared_folder, top_per_group
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.operators.nearest import cosine
@@ -105,6 +106,16 @@ def knn_chunks(spark, d):
     return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def knn_pruned(spark, d):
+    """The neighbours of knn_chunks from cells that can hold one."""
+    chunks = V.corpus(spark, d).chunks.select("id", "document_id", "embedding")
+    queries = V.questions(spark, d)
+    dim = queries.agg(F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("dim")).first()["dim"]
+    cells = Cells.build(chunks, ["id", "document_id"], "embedding", dim, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
+    hits, _ = cells.search(queries, 20)
+    return hits.select("query_id", F.col("id").alias("chunk_id"), "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def cosine_distance(spark, d):
     """Similarity and distance of every vector to the one that its label numbers."""
     rows = V.read(spark, d, "embeddings")
@@ -262,6 +273,10 @@ CHECKS = {
         knn_chunks,
         f"WITH RECURSIVE {S.chunks()}, {_NN_CHUNKS} SELECT query_id, id AS chunk_id, document_id, score, rank FROM nn",
     ),
+    "knn_pruned": (
+        knn_pruned,
+        f"WITH RECURSIVE {S.chunks()}, {_NN_CHUNKS} SELECT query_id, id AS chunk_id, document_id, score, rank FROM nn",
+    ),
     "rrf_fuse": (
         rrf_fuse,
         f"WITH {_BM_DOCS}, {_NN_DOCS}, {S.rrf()} SELECT query_id, id AS document_id, round(score, 8) AS score, source, pos AS rank FROM fu",
