@@ -8,8 +8,9 @@ beginning of that order, up to the total budget.
 Targets share ``share`` of all tokens in proportion to the weights. No target exceeds ``max_repeats`` times its source's tokens; what is above is
 shared among the others by weight until none is above. Sources take the weights in turn, in the order of their code points, null last.
 
-Whole documents are taken: the tokens taken of a source differ from its target by less than its largest document, and no document is taken
-more than ``max_repeats`` times. The order within a source depends on ids (their MD5), then sizes only, so reruns agree on all but
+Whole documents are taken, each at most ``max_repeats`` times. All items that finish by time 1 are in the mix, so a source falls short of its
+target by less than its largest document; what that leaves of the budget goes on in the same proportions, so a source exceeds its target by at most
+its share of the sum of every source's largest document. The order within a source depends on ids (their MD5), then sizes only, so reruns agree on all but
 which of several equal rows is taken. Null texts have no tokens; texts without tokens take part with zero. Null sources are one
 source. Null and repeated ids are rows of their own. An empty table gives an empty mix. Other columns are not read.
 
