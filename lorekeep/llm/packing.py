@@ -35,7 +35,7 @@ from lorekeep.operators.common import broadcast_if_small
 SEQUENCE = 4096
 END_ID = 2
 #: Bytes of parts and of words, with their ids, that a worker remembers; each starts anew when they are reached.
-CACHE_BYTES = 32_000_000
+CACHE_BYTES = 96_000_000
 #: What an entry takes besides its text and ids.
 _ENTRY = 200
 #: Characters whose lower case and composition no version of Unicode changes; words of them under the vocabulary's pattern.
