@@ -1,12 +1,16 @@
 """Quality rules: fixed rules, then robust outliers per language and source.
 
 Method: of texts that pass the fixed rules, four statistics are transformed to roughly even spread. For each (language, source)
-the minimum-covariance-determinant estimate of their centre and scatter is found by concentration steps: start at
-the medians, take the half of the rows with the smallest Mahalanobis distances, estimate centre and scatter from
-them, repeat. The scatter is made consistent for normal data and is at least the group's floor in every direction, so that a
-statistic that is constant in most texts stays invertible. A floor is the larger of the group's spread between quartiles and
-what a single event (a symbol, a repeated line, a repeated run of words, chance in the length of words) makes in its
-shorter texts. A text is rejected if its squared distance is above the chi-square cutoff.
+the minimum-covariance-determinant estimate of their centre and scatter is found by concentration steps: the half of the rows
+with the smallest Mahalanobis distances gives the next centre and scatter. Three starts are followed side by side (medians with fixed
+scales, medians with the group's own scales, mean and covariance of all rows) until no determinant falls any more; the
+smallest one wins. A text is rejected if its squared distance is above the chi-square cutoff.
+
+The scatter is the regularized one: a share of ``SHRINK / (n + SHRINK)``, which vanishes as the half's ``n`` rows grow, comes from
+the diagonal of the group's own scales, so that few rows do not pretend a correlation. Floors act where the half is degenerate only:
+no direction has less variance than a single event makes (a symbol, a repeated line, a repeated run of words, chance in the length of
+words; per statistic, in the group's shorter texts). In the winner, a statistic whose variance in the half is below the
+group's spread between quartiles is stretched to it; correlations stay as estimated.
 
 Steps are aggregates over all rows of a narrow table (partial sums and quantile sketches), so a group may hold
 any share of the rows. Estimates are one row per group and never pass through the driver.
@@ -33,14 +37,16 @@ from lorekeep.operators.common import broadcast_if_small
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Share of a group's rows that the estimate rests on, and concentration steps.
+#: Share of a group's rows that the estimate rests on.
 HALF = 0.5
-STEPS = 5
+#: Rows that the diagonal target weighs as much as, and by how much the logarithm of a determinant falls in a step that counts.
+SHRINK, FALL = 16, 1e-6
+STARTS = 3
 #: Chi-square quantile at 0.9999 with four degrees of freedom.
 CUTOFF = 23.513
 #: Makes the scatter of the half with the smallest distances consistent: 0.5 / P(chi2 with 6 degrees <= median of chi2 with 4).
 CONSISTENCY = 0.5 / 0.23760
-#: Scales of the transformed statistics in the first distances.
+#: Scales of the transformed statistics in the first distances of the first start.
 FLOORS = (0.25, 0.2, 0.2, 0.1)
 #: Words that a repeated run takes up at both of its places, and the standard deviation of words' lengths as a share of their mean.
 REPEATED, WORD_SPREAD = 6, 0.5
@@ -106,62 +112,127 @@ def transformed(prefix: str = "") -> list[Column]:
     ]
 
 
-def _distance(x: list[str], centre: str = "centre", precision: str = "precision") -> Column:
+def _distance(x: list[str], fit: Column) -> Column:
     total = F.lit(0.0)
     for k, (i, j) in enumerate(_PAIRS):
-        di, dj = F.col(x[i]) - F.col(centre)[i], F.col(x[j]) - F.col(centre)[j]
-        total = total + F.col(precision)[k] * di * dj * (1 if i == j else 2)
+        di, dj = F.col(x[i]) - fit["centre"][i], F.col(x[j]) - fit["centre"][j]
+        total = total + fit["precision"][k] * di * dj * (1 if i == j else 2)
     return F.round(total, 6)
 
 
-def _invert(frames):
-    """From sums over a group's chosen rows to centre and packed inverse scatter."""
+def _packed(matrix: np.ndarray) -> list[float]:
+    return [float(matrix[i, j]) for i, j in _PAIRS]
+
+
+def _square(packed) -> np.ndarray:
+    out = np.zeros((_D, _D))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[i, j] = out[j, i] = packed[k]
+    return out
+
+
+def _fit(n, s, q, factor: float, events: np.ndarray, spread: np.ndarray) -> dict:
+    """From sums over chosen rows to centre, regularized scatter, its inverse and the logarithm of its determinant, in units of events."""
+    mean = np.array(s, float) / n
+    scatter = _square(q) / n - np.outer(mean, mean)
+    share = SHRINK / (n + SHRINK)
+    unit = np.outer(events, events)
+    values, axes = np.linalg.eigh((share * np.diag(spread**2) + (1 - share) * factor * scatter) / unit)
+    values = np.maximum(values, 1.0)
+    return {
+        "centre": mean.tolist(),
+        "scatter": _packed((axes * values) @ axes.T * unit),
+        "precision": _packed((axes / values) @ axes.T / unit),
+        "size": float(np.log(values).sum()),
+    }
+
+
+def _diagonal(centre, scales) -> dict:
+    squares = np.square(np.array(scales, float))
+    return {"centre": [float(c) for c in centre], "scatter": _packed(np.diag(squares)), "precision": _packed(np.diag(1 / squares)), "size": float("inf")}
+
+
+_FIT = "struct<centre: array<double>, scatter: array<double>, precision: array<double>, size: double>"
+_STATE = f"g string, events array<double>, spread array<double>, falls boolean, fits array<{_FIT}>"
+
+
+def _begin(frames):
+    for frame in frames:
+        out = []
+        for row in frame.itertuples():
+            low, middle, high = (np.array([q[k] for q in row.quartiles], float) for k in range(3))
+            words = max(row.words, 1)
+            events = np.array([np.log1p(10 / words), np.log1p(10 / words), REPEATED / words, WORD_SPREAD / np.sqrt(words)])
+            # The quartiles of normal data are 0.6745 standard deviations away from the median.
+            spread = np.maximum(events, np.maximum(high - middle, middle - low) / 0.6745)
+            whole = _fit(row.n, row.s, row.q, 1.0, events, spread) | {"size": float("inf")}
+            out.append((row.g, events.tolist(), spread.tolist(), True, [_diagonal(middle, FLOORS), _diagonal(middle, spread), whole]))
+        yield pd.DataFrame(out, columns=["g", "events", "spread", "falls", "fits"])
+
+
+def _step(frames):
+    """A start takes the new estimate if its determinant is smaller; else it has arrived."""
+    for frame in frames:
+        out = []
+        for row in frame.itertuples():
+            events, spread, fits, falls = np.array(row.events), np.array(row.spread), [], False
+            for old, n, s, q in zip(row.fits, row.n, row.s, row.q, strict=True):
+                new = _fit(n, s, q, CONSISTENCY, events, spread)
+                smaller = new["size"] < old["size"] - FALL
+                fits.append(new if smaller else old)
+                falls |= smaller
+            out.append((row.g, row.events, row.spread, falls, fits))
+        yield pd.DataFrame(out, columns=["g", "events", "spread", "falls", "fits"])
+
+
+def _finish(frames):
     for frame in frames:
         out = []
-        for g, n, s, q, f in zip(frame["g"], frame["n"], frame["s"], frame["q"], frame["floors"], strict=True):
-            mean = np.array(s) / n
-            scatter = np.zeros((_D, _D))
-            for k, (i, j) in enumerate(_PAIRS):
-                scatter[i, j] = scatter[j, i] = q[k] / n - mean[i] * mean[j]
-            # In units of the floors, no direction has a variance below 1.
-            scale = np.outer(f, f)
-            spread, axes = np.linalg.eigh(scatter * CONSISTENCY / scale)
-            inverse = (axes / np.maximum(spread, 1.0)) @ axes.T / scale
-            out.append((g, mean.tolist(), [float(inverse[i, j]) for i, j in _PAIRS]))
+        for row in frame.itertuples():
+            best = min(row.fits, key=lambda fit: fit["size"])
+            scatter = _square(best["scatter"])
+            stretch = np.maximum(np.array(row.spread) / np.sqrt(np.diag(scatter)), 1.0)
+            inverse = np.linalg.inv(scatter * np.outer(stretch, stretch))
+            out.append((row.g, list(best["centre"]), _packed(inverse)))
         yield pd.DataFrame(out, columns=["g", "centre", "precision"])
 
 
+def _sums(x: list[str], chosen: Column | None = None) -> list[Column]:
+    """Count, sums and sums of products of the chosen rows."""
+    picked = [F.col(c) if chosen is None else F.when(chosen, F.col(c)) for c in x]
+    n = F.count(F.lit(1)) if chosen is None else F.count_if(chosen)
+    return [n, F.array(*(F.sum(c) for c in picked)), F.array(*(F.sum(picked[i] * F.col(x[j])) for i, j in _PAIRS))]
+
+
 def _start(rows: DataFrame, x: list[str]) -> DataFrame:
-    """Medians as the centre, ``FLOORS`` as the scales, and the group's own ``floors``."""
-    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q{c}") for c in x]
-    found = rows.groupBy("g").agg(*quartiles, F.percentile_approx("n_words", F.lit(0.25), F.lit(1000)).alias("n"))
-    centre = F.array(*(F.col(f"q{c}")[1] for c in x))
-    precision = F.array(*(F.lit(1.0 / FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS))
-    events = (F.log1p(10 / F.col("n")), F.log1p(10 / F.col("n")), REPEATED / F.col("n"), WORD_SPREAD / F.sqrt("n"))
-    # The quartiles of normal data are 0.6745 standard deviations away from the median.
-    floors = F.array(*(F.greatest(e, (q[2] - q[1]) / 0.6745, (q[1] - q[0]) / 0.6745) for e, q in zip(events, (F.col(f"q{c}") for c in x), strict=True)))
-    return found.select("g", centre.alias("centre"), precision.alias("precision"), floors.alias("floors"))
-
-
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    n, s, q = _sums(x)
+    found = rows.groupBy("g").agg(
+        F.array(*(F.percentile_approx(c, quarters, F.lit(1000)) for c in x)).alias("quartiles"),
+        F.percentile_approx("n_words", F.lit(0.25), F.lit(1000)).alias("words"),
+        n.alias("n"), s.alias("s"), q.alias("q"),
+    )
+    return found.mapInPandas(_begin, _STATE)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
     """Centre and inverse scatter per group ``g`` of the columns ``x0`` and so on; ``n_words`` bounds what one event makes."""
     x = [f"x{i}" for i in range(_D)]
     found = stored(_start(rows, x), "quality")
-    floors, _small = broadcast_if_small(found.select("g", "floors"))
-    for _ in range(steps):
-        side, _small = broadcast_if_small(found)
-        far = rows.join(side, "g").select("g", *x, _distance(x).alias("d2"))
-        bound = far.groupBy("g").agg(F.percentile_approx("d2", F.lit(HALF), F.lit(1000)).alias("bound"))
-        bound, _small = broadcast_if_small(bound) if _small else (bound, False)
-        near = far.join(bound, "g").where(F.col("d2") <= F.col("bound"))
-        sums = near.groupBy("g").agg(
-            F.count("*").alias("n"),
-            *(F.sum(c).alias(f"s{i}") for i, c in enumerate(x)),
-            *(F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)),
-        )
-        packed = sums.select("g", "n", F.array(*(f"s{i}" for i in range(_D))).alias("s"), F.array(*(f"q{k}" for k in range(len(_PAIRS)))).alias("q"))
-        found = stored(packed.join(floors, "g").mapInPandas(_invert, "g string, centre array<double>, precision array<double>"), "quality")
-    return found
+    while True:
+        # Ends, as every round lowers a determinant that floors bound from below.
+        falling = found.where("falls")
+        if falling.isEmpty():
+            break
+        side, small = broadcast_if_small(falling.select("g", "fits"))
+        far = rows.join(side, "g").select("g", *x, *(_distance(x, F.col("fits")[k]).alias(f"d{k}") for k in range(STARTS)))
+        bounds = far.groupBy("g").agg(*(F.percentile_approx(f"d{k}", F.lit(HALF), F.lit(1000)).alias(f"b{k}") for k in range(STARTS)))
+        near = far.join(F.broadcast(bounds) if small else bounds, "g")
+        each = [_sums(x, F.col(f"d{k}") <= F.col(f"b{k}")) for k in range(STARTS)]
+        sums = near.groupBy("g").agg(*(F.array(*(one[i] for one in each)).alias(name) for i, name in enumerate(("n", "s", "q"))))
+        moved = falling.join(F.broadcast(sums) if small else sums, "g").mapInPandas(_step, _STATE)
+        found = stored(moved.unionByName(found.where("NOT falls")), "quality")
+    return stored(found.mapInPandas(_finish, "g string, centre array<double>, precision array<double>"), "quality")
 
 
 def _group(language: str, source: str) -> Column:
@@ -176,7 +247,7 @@ def _judged(counted: DataFrame, language: str, source: str, prefix: str) -> Data
     x = [f"{prefix}x{i}" for i in range(_D)]
     keyed = counted.withColumns({prefix + "g": _group(language, source)} | dict(zip(x, transformed(prefix), strict=True)))
     joined = keyed.join(side, prefix + "g", "left")
-    near = _distance(x, f"{prefix}e.centre", f"{prefix}e.precision") <= CUTOFF
+    near = _distance(x, F.col(prefix + "e")) <= CUTOFF
     failed = base_failed(prefix)
     return joined.withColumns({prefix + "failed": failed, prefix + "kept": ~failed & F.coalesce(near, F.lit(False))})
 

@@ -41,6 +41,64 @@ def quality_documents(r):
     return [*rows, (600, "too short", "en", "a"), (601, None, "en", "a"), (602, "x y z " * 60, "en", "a"), (603, prose(r, 80), None, "alone"), rows[7]]
 
 
+def at_share(values, share):
+    """The smallest value that at least such a share does not exceed, per column."""
+    return np.sort(values, axis=0)[max(int(np.ceil(share * len(values))), 1) - 1]
+
+
+def slow_distances(x, lengths):
+    """Squared distances of all rows from the regularized estimate with the smallest determinant of three starts."""
+    low, middle, high = (at_share(x, s) for s in (0.25, 0.5, 0.75))
+    words = at_share(lengths, 0.25)
+    events = np.array([np.log1p(10 / words), np.log1p(10 / words), 6 / words, 0.5 / np.sqrt(words)])
+    spread = np.max([events, (high - middle) / 0.6745, (middle - low) / 0.6745], axis=0)
+
+    def regular(part, factor):
+        w = 16 / (len(part) + 16)
+        centred = part - part.mean(axis=0)
+        mixed = w * np.diag(spread**2) + (1 - w) * factor * (centred.T @ centred) / len(part)
+        values, axes = np.linalg.eigh(np.diag(1 / events) @ mixed @ np.diag(1 / events))
+        root = np.diag(events) @ axes @ np.diag(np.sqrt(np.maximum(values, 1)))
+        return part.mean(axis=0), root @ root.T
+
+    def distances(centre, scatter):
+        return np.array([(v - centre) @ np.linalg.solve(scatter, v - centre) for v in x])
+
+    found = []
+    for centre, scatter in ((middle, np.diag(np.square([0.25, 0.2, 0.2, 0.1]))), (middle, np.diag(spread**2)), regular(x, 1)):
+        size = np.inf
+        while True:
+            d2 = np.round(distances(centre, scatter), 6)
+            new = regular(x[d2 <= at_share(d2, 0.5)], 0.5 / 0.23760)
+            if not np.linalg.slogdet(new[1])[1] < size - 1e-6:
+                break
+            (centre, scatter), size = new, np.linalg.slogdet(new[1])[1]
+        found.append((size, centre, scatter))
+    _, centre, scatter = min(found, key=lambda f: f[0])
+    stretch = np.diag(np.maximum(spread / np.sqrt(np.diag(scatter)), 1))
+    return distances(centre, stretch @ scatter @ stretch)
+
+
+def test_a_text_against_the_correlation_is_far(spark):
+    """Statistics with a correlation of 0.97: (2, -2) is an outlier although neither value is; (2, 2) is none."""
+    g = np.random.default_rng(7)
+    both = g.multivariate_normal([0, 0], [[1, 0.97], [0.97, 1]], 600)
+    x = np.column_stack([both, g.normal(size=(600, 2))])
+    x = np.vstack([x, [[2, -2, 0, 0], [2, 2, 0, 0]]])
+    names = [f"x{i}" for i in range(4)]
+    rows = [("a", *map(float, v), 1_000_000) for v in x] + [("b", 1.0, 2.0, 3.0, 4.0, 60)]
+    df = spark.createDataFrame(rows, f"g string, {', '.join(n + ' double' for n in names)}, n_words long").repartition(4)
+    found = {r.g: r for r in quality.estimates(df).collect()}
+    precision = np.zeros((4, 4))
+    for k, (i, j) in enumerate((i, j) for i in range(4) for j in range(i, 4)):
+        precision[i, j] = precision[j, i] = found["a"].precision[k]
+    away = x - np.array(found["a"].centre)
+    d2 = np.einsum("ni,ij,nj->n", away, precision, away)
+    assert d2[600] > 50 > quality.CUTOFF > d2[601] and np.mean(d2[:600] <= quality.CUTOFF) > 0.995
+    assert np.allclose(d2, slow_distances(x, np.full(602, 1_000_000)), rtol=1e-5)
+    assert found["b"].centre == [1.0, 2.0, 3.0, 4.0] and set(found) == {"a", "b"}
+
+
 def test_outliers_against_plain_concentration(spark, no_documents):
     rows = quality_documents(random.Random(2))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -54,17 +112,10 @@ def test_outliers_against_plain_concentration(spark, no_documents):
             groups.setdefault((lang, source), []).append((d, [np.log1p(10 * symbols / n), np.log1p(10 * dup / n), rep / n, np.log(chars / n)]))
         else:
             assert not got[d].kept
+    lengths = {d: slow_statistics(text)[0] for d, text, *_ in rows}
     for members in groups.values():
         x = np.array([v for _, v in members])
-        centre = np.array([np.sort(c)[(len(c) - 1) // 2] for c in x.T])
-        precision = np.diag(1 / np.square(quality.FLOORS))
-        for _ in range(quality.STEPS):
-            d2 = np.round(np.einsum("ni,ij,nj->n", x - centre, precision, x - centre), 6)
-            near = x[d2 <= np.sort(d2)[(len(d2) + 1) // 2 - 1]]
-            centre = near.mean(axis=0)
-            scatter = (near - centre).T @ (near - centre) / len(near)
-            precision = np.linalg.inv(scatter * quality.CONSISTENCY + np.diag(np.square(quality.FLOORS)))
-        d2 = np.einsum("ni,ij,nj->n", x - centre, precision, x - centre)
+        d2 = slow_distances(x, np.array([lengths[d] for d, _ in members]))
         assert [got[d].kept for d, _ in members] == (d2 <= quality.CUTOFF).tolist()
     assert not got[0].kept and got[1].kept and got[603].kept
     kept = quality.keep_good(df).collect()
