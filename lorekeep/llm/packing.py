@@ -34,7 +34,7 @@ from lorekeep.operators.common import broadcast_if_small
 
 SEQUENCE = 4096
 END_ID = 2
-#: Bytes of parts and of words, with their ids, that a worker remembers; each starts anew when they are reached.
+#: Bytes of parts and of words, with their ids, that a worker remembers (each).
 CACHE_BYTES = 96_000_000
 #: What an entry takes besides its text and ids.
 _ENTRY = 200
@@ -43,42 +43,31 @@ _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-def _remember(cache, text: str, ids: bytes) -> bytes:
-    size = _ENTRY + len(text) + len(ids)
-    if cache.held + size > CACHE_BYTES:
-        cache.clear()
-        cache.held = 0
-    if size <= CACHE_BYTES:
-        cache.held += size
-        cache[text] = ids
-    return ids
+class _Remembered(dict):
+    """Ids as bytes by text, in two generations of bounded size.
 
+    A full younger generation becomes the older one, and what is met again moves up, so that frequent
+    texts stay while the others go.
+    """
 
-class _Words(dict):
-    """Ids of the vocabulary's words as bytes, remembered up to a bound."""
-
-    def __init__(self, model):
+    def __init__(self, work):
         super().__init__()
-        self.tokenize, self.held = model.tokenize, 0
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", [t.id for t in self.tokenize(in_bytes(word))]).tobytes()
-        return _remember(self, word, ids)
-
-
-class _Parts(dict):
-    """Ids of parts without white space as bytes, remembered up to a bound."""
-
-    def __init__(self, own):
-        super().__init__()
-        self.own, self.words, self.held = own, _Words(own.model), 0
-
-    def __missing__(self, part: str) -> bytes:
-        if _SIMPLE.fullmatch(part):
-            ids = b"".join(map(self.words.__getitem__, _WORDS.findall(part.lower())))
-        else:
-            ids = array("I", self.own.encode(part, add_special_tokens=False).ids).tobytes()
-        return _remember(self, part, ids)
+        self.work, self.older, self.held = work, {}, 0
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.work(text)
+        size = _ENTRY + len(text) + len(ids)
+        if size > CACHE_BYTES // 2:
+            return ids
+        if self.held + size > CACHE_BYTES // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[text] = ids
+        return ids
 
 
 class Encoder:
@@ -91,7 +80,15 @@ class Encoder:
             raise ValueError("a vocabulary that drops white space between words is needed")
         self.whole = [*(x["content"] for x in described["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
         self.end = array("I", [end_id]).tobytes()
-        self.parts = _Parts(self.own)
+        self.words, self.parts = _Remembered(self._word), _Remembered(self._part)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.own.model.tokenize(in_bytes(word))]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if _SIMPLE.fullmatch(part):
+            return b"".join(map(self.words.__getitem__, _WORDS.findall(part.lower())))
+        return array("I", self.own.encode(part, add_special_tokens=False).ids).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text and the end id, as little-endian unsigned 32-bit numbers."""
