@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
@@ -17,6 +19,7 @@ from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.plans.backfill import embed_rows
 from lorekeep.plans.ingest import analyze, ingest_files
 from lorekeep.sources.files import read_jsonl
+from lorekeep.sources.listing import read_all_files
 from lorekeep.streaming.ingest import stream_ingest
 
 DIM = 64
@@ -68,6 +71,29 @@ def ingest_outcome(spark, d):
     return outcome.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
+def _write_files(batches):
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            system, inner = fs.FileSystem.from_uri(path)
+            system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(inner) as stream:
+                stream.write(content)
+        yield batch.select(["path"])
+
+
+def all_files_listed(spark, d):
+    """Documents as files, in German empty and in French hidden, in folders with a leading underscore; listed and read back."""
+    folder = re.sub("^file:/+", "/", f"{shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    name = F.concat(F.when(F.col("lang") == "fr", ".").otherwise(""), F.lit("doc_"), F.col("doc_id"), F.lit(".txt"))
+    text = F.when(F.col("lang") == "de", "").otherwise(F.col("text"))
+    rows = V.texts(spark, d).select(
+        F.concat_ws("/", F.lit(folder), "source", F.concat(F.lit("_"), "lang"), name).alias("path"), F.encode(text, "UTF-8").alias("content")
+    )
+    rows.mapInArrow(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    found = read_all_files(spark, folder)
+    return found.select(F.substr("path", F.lit(len(folder) + 2)).alias("path"), "length", F.sha2("content", 256).alias("id"))
+
+
 def analyze_extractive(spark, d):
     rows = V.texts(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text"))
     found = analyze(rows)
@@ -134,6 +160,11 @@ CHECKS = {
   FROM documents), {_UNIQUE}, f AS (SELECT t, min(path) AS first FROM n GROUP BY t)
 SELECT status, count(*) AS files FROM (SELECT CASE WHEN sha256(t) IN (SELECT document_id FROM u) OR path <> first THEN 'dup'
   WHEN path IN (SELECT path FROM u) THEN 'updated' ELSE 'ok' END AS status FROM n JOIN f USING (t)) GROUP BY status""",
+    ),
+    "all_files_listed": (
+        all_files_listed,
+        """SELECT source || '/_' || lang || '/' || CASE WHEN lang = 'fr' THEN '.' ELSE '' END || 'doc_' || doc_id || '.txt' AS path,
+ CASE WHEN lang = 'de' THEN 0 ELSE strlen(text) END AS length, sha256(CASE WHEN lang = 'de' THEN '' ELSE text END) AS id FROM documents""",
     ),
     "analyze_extractive": (
         analyze_extractive,

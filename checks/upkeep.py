@@ -135,6 +135,11 @@ def dup_key_check(spark, d):
     return upkeep.duplicate_keys(_incoming(spark, d), "id")
 
 
+def refused_inserts(spark, d):
+    """Contents that may not be inserted as new documents: twice among the incoming, or stored already."""
+    return upkeep.refused_keys(_incoming(spark, d).select("id"), _stored(spark, d).select("id"), "id")
+
+
 def fk_orphans(spark, d):
     labels = V.read(spark, d, "labels").select("doc_id")
     return upkeep.orphans(V.read(spark, d, "embeddings").select("vec_id"), labels, "vec_id", "doc_id")
@@ -237,6 +242,11 @@ UNION ALL SELECT 'chunks', count(*) FROM ch WHERE document_id NOT IN (FROM g)"""
         dup_key_check,
         "SELECT sha256(text) AS id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     ),
+    "refused_inserts": (
+        refused_inserts,
+        f"""WITH {_INCOMING} SELECT id, count(*) AS copies, id IN (SELECT sid FROM st_f) AS known FROM in_f GROUP BY id
+HAVING count(*) > 1 OR id IN (SELECT sid FROM st_f)""",
+    ),
     "fk_orphans": (fk_orphans, "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)"),
     "reindex_pending_anti": (
         reindex_pending_anti,

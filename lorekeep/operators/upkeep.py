@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.common import broadcast_if_small
+
 
 def pending(
     rows: DataFrame,
@@ -47,6 +49,19 @@ def duplicate_keys(table: DataFrame, key: str) -> DataFrame:
     return table.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+def refused_keys(new: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Keys that ``new`` rows may not be inserted with: ``key``, ``copies`` among them, and whether a live row has it (``known``).
+
+    New rows are counted per key first. Where few keys are new, the live table is looked through without an exchange.
+    A NULL key is refused too.
+    """
+    counted = new.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    keys, _ = broadcast_if_small(counted.select(key))
+    known = live.select(key).join(keys, key, "left_semi").distinct().withColumn("known", F.lit(True))
+    found = counted.join(known, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return found.where(F.col("known") | (F.col("copies") > 1) | F.col(key).isNull())
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose parent does not exist."""
     return child.join(parent, child[child_key] == parent[parent_key], "left_anti")

@@ -15,7 +15,10 @@ from lorekeep.functions.chunks import ChunkRules, chunk_elements
 from lorekeep.functions.elements import ELEMENTS, attach_sections, elements_to_text, typed
 from lorekeep.operators.common import broadcast_if_small, materialize, unnest
 from lorekeep.operators.dedup import classify_files, missing_documents
-from lorekeep.sources.files import has_extension, not_excluded, read_files
+from lorekeep.operators.upkeep import refused_keys
+from lorekeep.schemas import PRIMARY_KEY
+from lorekeep.sources.files import has_extension, not_excluded
+from lorekeep.sources.listing import list_files, with_contents
 from lorekeep.sources.router import extract_elements
 from lorekeep.session import KnowledgeBase
 
@@ -151,6 +154,25 @@ def ingest_files(
     )
 
 
+class KeysRefused(ValueError):
+    """Rows were not inserted, as their keys are repeated, NULL or in use."""
+
+
+def insert_rows(kb: KnowledgeBase, tables: dict[str, DataFrame]) -> int:
+    """Insert rows of any number of tables in one commit, or none if any key is refused.
+
+    The rows are written once before the check, so that what is checked is what is inserted. Writers that
+    insert the same key at the same time are not told from each other.
+    """
+    written = {n: materialize(rows, f"{kb.root}/_staging") for n, rows in tables.items()}
+    for name, rows in written.items():
+        refused = refused_keys(rows, kb.table(name), PRIMARY_KEY[name]).limit(10).collect()
+        if refused:
+            told = ", ".join(f"{r[0]} ({'known' if r['known'] else 'NULL' if r[0] is None else 'repeated'})" for r in refused)
+            raise KeysRefused(f"{name}: {told}")
+    return kb.commit(inserts=written)
+
+
 def sync_directory(kb: KnowledgeBase, present: DataFrame, directory: str) -> int:
     """Delete stored documents below ``directory`` whose file is gone; how many."""
     gone = materialize(
@@ -170,13 +192,14 @@ def ingest_directory(
     sync: bool = True,
     **options,
 ) -> DataFrame:
-    """Ingest a folder tree, then remove what no longer exists in it."""
+    """Ingest a folder tree, hidden and empty files included, then remove what no longer exists in it."""
     directory = kb.qualified(directory)
-    files = read_files(kb.spark, directory).where(not_excluded(F.col("path")))
+    listed = materialize(list_files(kb.spark, directory), f"{kb.root}/_staging")
     chosen = has_extension(F.col("path"), extensions) if extensions else has_extension(F.col("path"))
-    outcome = ingest_files(kb, files.where(chosen), **options)
+    wanted = listed.where(not_excluded(F.col("path")) & chosen)
+    outcome = ingest_files(kb, with_contents(wanted).drop("length"), **options)
     if sync:
-        sync_directory(kb, read_files(kb.spark, directory).select("path"), directory)
+        sync_directory(kb, list_files(kb.spark, directory).select("path"), directory)
     return outcome
 
 
