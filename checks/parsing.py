@@ -13,6 +13,7 @@ from lorekeep.functions.lines import group_words
 from lorekeep.operators.common import unnest
 from lorekeep.sources import files as L
 from lorekeep.sources.html import html_elements, html_matches
+from lorekeep.sources.rows import with_element_rows
 
 LONG = "long"
 # Fixed values of these checks: the extension that stands for a language.
@@ -53,7 +54,7 @@ def path_parts(spark, d):
     return _paths(spark, d).select("path", X.basename(p).alias("name"), X.suffix(p).alias("suffix"))
 
 
-def _markdown(text):
+def markdown(text):
     """Documents turned into Markdown: capitalised articles open titles, sentences list items."""
     headed = F.regexp_replace(text, r"(?m)^(The|Of|Le|De|Der|El) ", "## $1 ")
     return F.regexp_replace(headed, r"\. ([A-M])", "\n- $1")
@@ -63,13 +64,13 @@ MARKDOWN = r"""regexp_replace(regexp_replace(text, '(?m)^(The|Of|Le|De|Der|El) '
 
 
 def elements_markdown(spark, d):
-    rows = V.texts(spark, d).select("doc_id", F.posexplode_outer(E.text_elements(_markdown(F.col("text")))).alias("pos", "e"))
+    rows = V.texts(spark, d).select("doc_id", F.posexplode_outer(E.text_elements(markdown(F.col("text")))).alias("pos", "e"))
     return rows.where("e is not null").select(
         "doc_id", F.col("pos").cast("long").alias("pos"), "e.element_type", "e.text", "e.section"
     )
 
 
-_MD_ELEMENTS = f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM
+MD_ELEMENTS = f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM
  (SELECT doc_id, {S.lines(MARKDOWN)} AS ls FROM documents)),
 e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, element_type, text FROM (
  SELECT doc_id, i, CASE WHEN line LIKE '#%' THEN 'Title' WHEN substr(line, 1, 2) IN ('- ', '* ', '+ ') THEN 'ListItem'
@@ -82,12 +83,18 @@ el AS (SELECT doc_id, pos, element_type, text, coalesce(before, CASE WHEN elemen
   THEN substr(text, 1, 200) END) AS section FROM s)"""
 
 
+def elements_rows(spark, d):
+    """The same elements from a table function, one row as soon as its line is read."""
+    rows = V.texts(spark, d).select("doc_id", markdown(F.col("text")).alias("content"))
+    return with_element_rows(rows, "content").select("doc_id", F.col("position").alias("pos"), "element_type", "text", "section")
+
+
 def section_lookback(spark, d):
     return elements_markdown(spark, d).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
 def elements_to_text(spark, d):
-    joined = E.elements_to_text(E.text_elements(_markdown(F.col("text"))))
+    joined = E.elements_to_text(E.text_elements(markdown(F.col("text"))))
     return V.texts(spark, d).select("doc_id", joined.alias("text"))
 
 
@@ -260,11 +267,12 @@ CHECKS = {
         path_parts,
         f"SELECT path, string_split(path, '/')[-1] AS name, '.' || string_split(path, '.')[-1] AS suffix FROM {PATHS}",
     ),
-    "elements_markdown": (elements_markdown, f"{_MD_ELEMENTS} SELECT * FROM el"),
-    "section_lookback": (section_lookback, f"{_MD_ELEMENTS} SELECT doc_id, section, count(*) AS n FROM el GROUP BY ALL"),
+    "elements_markdown": (elements_markdown, f"{MD_ELEMENTS} SELECT * FROM el"),
+    "elements_rows": (elements_rows, f"{MD_ELEMENTS} SELECT * FROM el"),
+    "section_lookback": (section_lookback, f"{MD_ELEMENTS} SELECT doc_id, section, count(*) AS n FROM el GROUP BY ALL"),
     "elements_to_text": (
         elements_to_text,
-        f"{_MD_ELEMENTS} SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY pos), '') AS text FROM documents LEFT JOIN el USING (doc_id) GROUP BY doc_id".replace(
+        f"{MD_ELEMENTS} SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY pos), '') AS text FROM documents LEFT JOIN el USING (doc_id) GROUP BY doc_id".replace(
             "string_agg(text", "string_agg(el.text"
         ),
     ),

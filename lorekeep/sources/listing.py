@@ -31,7 +31,7 @@ SETTLED = 2.0
 _ARROW = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.int64())])
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str, str]:
     """File system, path in it, and what comes before that path in the spelling of scans."""
     path = re.sub("^file:/+", "/", path)
     system, inner = fs.FileSystem.from_uri(path)
@@ -45,7 +45,7 @@ class _Folder(InputPartition):
 
 def _folders(root: str) -> list[tuple[str, bool]]:
     """Folders that cover everything below ``root`` once: with all that lies below (True), or for their own files only."""
-    system, inner, _ = _opened(root)
+    system, inner, _ = opened(root)
     if system.get_file_info(inner).type != fs.FileType.Directory:
         raise FileNotFoundError(root)
     found, level = [], [inner]
@@ -56,7 +56,7 @@ def _folders(root: str) -> list[tuple[str, bool]]:
 
 
 def _listed(root: str, part: _Folder) -> Iterator[pa.RecordBatch]:
-    system, _, before = _opened(root)
+    system, _, before = opened(root)
     rows = []
     for info in system.get_file_info(fs.FileSelector(part.path, recursive=part.deep, allow_not_found=True)):
         if info.type == fs.FileType.File and part.after < (info.mtime_ns or 0) <= part.until:
@@ -132,7 +132,7 @@ def _contents(batches):
             if held and size + length > BATCH_BYTES:
                 yield _batch(held)
                 held, size = [], 0
-            system, inner, _ = _opened(path)
+            system, inner, _ = opened(path)
             with system.open_input_stream(inner) as stream:
                 content = stream.read()
             held.append((path, content, len(content)))
