@@ -8,6 +8,7 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from checks import parsing as P
 from checks import sqlparts as S
 from checks import views as V
 from lorekeep import KnowledgeBase, Settings
@@ -15,11 +16,13 @@ from lorekeep.backends import HashingEmbedder
 from lorekeep.functions.text import llm_input
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators.common import shared_folder
+from lorekeep.operators.keyterms import DEPTH, WIDTH, DocumentFrequencies
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.plans.backfill import embed_rows
 from lorekeep.plans.ingest import analyze, ingest_files
 from lorekeep.sources.files import read_jsonl
 from lorekeep.sources.listing import read_all_files
+from lorekeep.sources.rows import with_file_rows
 from lorekeep.streaming.ingest import stream_ingest
 
 DIM = 64
@@ -94,12 +97,51 @@ def all_files_listed(spark, d):
     return found.select(F.substr("path", F.lit(len(folder) + 2)).alias("path"), "length", F.sha2("content", 256).alias("id"))
 
 
+def elements_file_rows(spark, d):
+    """Markdown documents written as files; their elements as rows, read in blocks."""
+    folder = re.sub("^file:/+", "/", f"{shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    rows = V.texts(spark, d).select(
+        "doc_id", F.concat(F.lit(folder + "/doc_"), "doc_id", F.lit(".md")).alias("path"), F.encode(P.markdown(F.col("text")), "UTF-8").alias("content")
+    )
+    rows.select("path", "content").mapInArrow(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    return with_file_rows(rows.select("doc_id", "path")).select("doc_id", F.col("position").alias("pos"), "element_type", "text", "section")
+
+
 def analyze_extractive(spark, d):
     rows = V.texts(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text"))
     found = analyze(rows)
     return found.select("document_id", "summary", F.array_join("keywords", "|").alias("keywords"))
 
 
+def analyze_tfidf(spark, d):
+    """Summary and the keywords that tell a document from the others; frequencies from a count-min sketch."""
+    rows = V.raw_texts(spark, d)
+    frequencies = DocumentFrequencies.of(rows, "raw_text")
+    found = analyze(rows, frequencies=frequencies)
+    return found.select("document_id", "summary", F.array_join("keywords", "|").alias("keywords"))
+
+
+def _lead_sql(keywords: str) -> str:
+    """Rows of an offline analysis; ``keywords`` ends the WITH list with ``g`` (doc_id, kw)."""
+    return f"""WITH w AS (SELECT doc_id, unnest({S.tokens("text")}) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS n FROM w WHERE length(term) > 3 GROUP BY ALL),
+{keywords},
+s AS (SELECT doc_id, trim(substr(regexp_extract(text, '(?s)^\\s*(.*?[.!?\\n]|.*)', 1), 1, 300), {S.WS}) AS lead FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lead <> '' AND kw IS NOT NULL THEN lead
+ ELSE 'No summary available (LLM failed)' END AS summary, CASE WHEN lead <> '' AND kw IS NOT NULL THEN kw
+ ELSE 'error|fallback' END AS keywords FROM s LEFT JOIN g USING (doc_id)"""
+
+
+_SKETCH = f"""h AS (SELECT term, r, CAST('0x' || substr(md5(term), 1 + 8 * r, 8) AS BIGINT) % {WIDTH} AS cell
+  FROM (SELECT DISTINCT term FROM c), range({DEPTH}) AS x(r)),
+k AS (SELECT r, cell, count(*) AS n FROM c JOIN h USING (term) GROUP BY ALL),
+e AS (SELECT term, min(k.n) AS df FROM h JOIN k USING (r, cell) GROUP BY term)"""
+_TFIDF = f"""{_SKETCH},
+r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY
+  round(c.n * ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / (1 + df)), 6) DESC, term) AS pos FROM c JOIN e USING (term)),
+g AS (SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS kw FROM r WHERE pos <= 5 GROUP BY doc_id)"""
+
+
 def jsonl_source(spark, d):
     """Conversations written as JSON lines and read back with a fixed schema."""
     rows = V.read(spark, d, "conversations")
@@ -166,6 +208,7 @@ SELECT status, count(*) AS files FROM (SELECT CASE WHEN sha256(t) IN (SELECT doc
         """SELECT source || '/_' || lang || '/' || CASE WHEN lang = 'fr' THEN '.' ELSE '' END || 'doc_' || doc_id || '.txt' AS path,
  CASE WHEN lang = 'de' THEN 0 ELSE strlen(text) END AS length, sha256(CASE WHEN lang = 'de' THEN '' ELSE text END) AS id FROM documents""",
     ),
+    "elements_file_rows": (elements_file_rows, f"{P.MD_ELEMENTS} SELECT * FROM el"),
     "analyze_extractive": (
         analyze_extractive,
         f"""WITH w AS (SELECT doc_id, unnest({S.tokens("text")}) AS term FROM documents),
@@ -177,6 +220,7 @@ SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lead <> '' AND kw IS NO
  ELSE 'No summary available (LLM failed)' END AS summary, CASE WHEN lead <> '' AND kw IS NOT NULL THEN kw
  ELSE 'error|fallback' END AS keywords FROM s LEFT JOIN g USING (doc_id)""",
     ),
+    "analyze_tfidf": (analyze_tfidf, _lead_sql(_TFIDF)),
     "jsonl_source": (jsonl_source, "SELECT * FROM conversations"),
     "bulk_model_input": (
         bulk_model_input,

@@ -15,6 +15,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ EMBED_LEAST = 250
 EMBED_ATTEMPTS = 2
 VISION_ATTEMPTS = 2
 VISION_BACKOFF_SECONDS = 2
+WARM_UP, WARM_UP_SECONDS = "Reply with the word ready.", 300
 OCR_PROMPT = (
     "The picture is part of a document that people search by its words. Write down every word "
     "that can be read in it; where a drawing or a screen carries meaning, say what it shows."
@@ -162,7 +164,7 @@ class HttpChat:
         head = [{"role": "system", "content": self.system}] if self.system else []
         return [*head, {"role": "user", "content": content}]
 
-    def complete(self, content, **options) -> dict:
+    def complete(self, content, timeout: int | None = None, **options) -> dict:
         body = {
             "model": self.model,
             "messages": self.messages(content),
@@ -175,11 +177,20 @@ class HttpChat:
             data=json.dumps(body).encode(),
             headers={"Content-Type": "application/json"},
         )
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+        with urllib.request.urlopen(request, timeout=timeout or self.timeout) as reply:
             return json.load(reply)
 
     def __call__(self, prompt: str) -> str:
-        return self.complete(prompt)["choices"][0]["message"]["content"] or ""
+        return self.ask(prompt)[0]
+
+    def ask(self, prompt: str) -> tuple[str, int | None]:
+        """Answer and the number of its tokens, where the server tells it."""
+        told = self.complete(prompt)
+        return told["choices"][0]["message"]["content"] or "", (told.get("usage") or {}).get("completion_tokens")
+
+    def warm_up(self) -> None:
+        """A call that makes the server load the model, so that the first answer is not the slowest."""
+        self.complete(WARM_UP, timeout=WARM_UP_SECONDS)
 
 
 @dataclass(frozen=True)
@@ -242,23 +253,59 @@ def describe_all_column(describer: Describer | None):
     return describe
 
 
+def _asked(chat: Chat, prompt: str) -> tuple[str, int | None, bool]:
+    """Answer, tokens, whether the model failed; a failure's reason stands for the answer."""
+    try:
+        ask = getattr(chat, "ask", None)
+        return (*(ask(prompt) if ask else (chat(prompt), None)), False)
+    except Exception as problem:  # noqa: BLE001 - a failing model must not fail the job
+        return f"[ERREUR: {problem}]", None, True
+
+
+def _answered(chat: Chat, prompts: list[str]) -> list[tuple[str, float, int | None, bool]]:
+    """Answers with seconds; a model with a ``batch`` method is asked once, and prompt by prompt if that fails."""
+    together = getattr(chat, "batch", None)
+    if together is not None and prompts:
+        start = time.time()
+        try:
+            told = list(together(prompts))
+        except Exception:  # noqa: BLE001 - one bad prompt must not spoil the others
+            told = []
+        if len(told) == len(prompts):
+            each = round((time.time() - start) / len(prompts), 1)
+            return [(text, each, tokens, False) for text, tokens in told]
+    out = []
+    for prompt in prompts:
+        start = time.time()
+        text, tokens, failed = _asked(chat, prompt)
+        out.append((text, round(time.time() - start, 1), tokens, failed))
+    return out
+
+
+@lru_cache(maxsize=64)
+def _warmed(chat: Chat) -> None:
+    """Warm a model up, once per worker process for models that compare equal."""
+    try:
+        chat.warm_up()
+    except Exception:  # noqa: BLE001 - the answers will tell
+        return
+
+
 def chat_column(chat: Chat):
-    """``prompt -> struct<raw, elapsed_s>``; a failure becomes the answer text."""
-    shape = T.StructType(
-        [T.StructField("raw", T.StringType()), T.StructField("elapsed_s", T.DoubleType())]
-    )
+    """``prompt -> struct<raw, elapsed_s, tokens, failed>``; a failure becomes the answer text.
 
-    @F.pandas_udf(shape)
-    def ask(prompts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for prompt in prompts:
-            start = time.time()
-            try:
-                raw = chat(prompt)
-            except Exception as problem:  # noqa: BLE001
-                raw = f"[ERREUR: {problem}]"
-            rows.append((raw, round(time.time() - start, 1)))
-        return pd.DataFrame(rows, columns=["raw", "elapsed_s"])
+    A model may have ``ask`` (answer and tokens), ``batch`` (the same for a list of prompts) and ``warm_up``.
+    """
+
+    @F.pandas_udf("raw string, elapsed_s double, tokens long, failed boolean")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for prompts in batches:
+            if len(prompts) and hasattr(chat, "warm_up"):
+                _warmed(chat)
+            told = _answered(chat, prompts.tolist())
+            frame = pd.DataFrame(told, columns=["raw", "elapsed_s", "tokens", "failed"])
+            frame["tokens"] = frame["tokens"].astype("Int64")
+            yield frame.astype({"elapsed_s": "float64", "failed": "bool"})
 
     return ask
 
@@ -279,12 +326,17 @@ def answer_column(chat: Chat):
     return answer
 
 
-def extractive_answer(text: Column) -> Column:
-    """Offline analysis as the JSON a model would return: lead sentence, top terms."""
+def extractive_answer(text: Column, keywords: Column | None = None) -> Column:
+    """Offline analysis as the JSON a model would return: lead sentence, top terms.
+
+    The terms are those most frequent in the text, unless ``keywords`` (an array) is given.
+    """
     from lorekeep.functions.text import strip
     from lorekeep.functions.tokens import Tokenizer, term_counts
 
     lead = strip(F.substring(F.regexp_extract(text, r"(?s)^\s*(.*?[.!?\n]|.*)", 1), 1, 300))
+    if keywords is not None:
+        return F.to_json(F.struct(lead.alias("summary"), keywords.alias("keywords")))
     counts = F.filter(
         term_counts(Tokenizer().tokens(text)), lambda t: F.length(t["term"]) > 3
     )

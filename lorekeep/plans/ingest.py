@@ -15,6 +15,7 @@ from lorekeep.functions.chunks import ChunkRules, chunk_elements
 from lorekeep.functions.elements import ELEMENTS, attach_sections, elements_to_text, typed
 from lorekeep.operators.common import broadcast_if_small, materialize, unnest
 from lorekeep.operators.dedup import classify_files, missing_documents
+from lorekeep.operators.keyterms import DocumentFrequencies
 from lorekeep.operators.upkeep import refused_keys
 from lorekeep.schemas import PRIMARY_KEY
 from lorekeep.sources.files import has_extension, not_excluded
@@ -36,15 +37,19 @@ def analyze(
     rows: DataFrame,
     analyzer: Chat | None = None,
     shorten: Callable[[Column], Column] | None = None,
+    frequencies: DocumentFrequencies | None = None,
 ) -> DataFrame:
     """``document_id, summary, keywords``; without a model the text speaks for itself.
 
+    ``frequencies`` makes its keywords those that tell it from other documents (tf-idf).
+
     A model reads a long text piece by piece; summaries are joined in order,
     keywords of all pieces are kept once. ``shorten`` shows it one shortened
     text instead: ``head_and_tail``, or ``llm_input``, the plain cut.
     """
     if analyzer is None:
-        answer = extractive_answer(F.col("raw_text"))
+        told = frequencies.keywords(F.col("raw_text")) if frequencies else None
+        answer = extractive_answer(F.col("raw_text"), told)
     elif shorten is not None:
         answer = answer_column(analyzer)(shorten(F.col("raw_text")))
     else:
@@ -90,6 +95,7 @@ def ingest_files(
     analyzer: Chat | None = None,
     describer: Describer | None = None,
     rules: ChunkRules = ChunkRules(),
+    frequencies: DocumentFrequencies | None = None,
 ) -> DataFrame:
     """Ingest ``path, content`` rows; returns one outcome row per file.
 
@@ -125,7 +131,7 @@ def ingest_files(
         "document_content": good.select(
             "document_id", "raw_text", _vector(embedder, dim, F.col("raw_text")).alias("embedding")
         ),
-        "document_ai_metadata": analyze(good, analyzer),
+        "document_ai_metadata": analyze(good, analyzer, frequencies=frequencies),
     }
     if chunks is not None:
         chunks = keep(chunks)
