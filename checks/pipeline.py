@@ -19,6 +19,7 @@ from lorekeep.operators.common import shared_folder
 from lorekeep.operators.keyterms import DEPTH, WIDTH, DocumentFrequencies
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.plans.backfill import embed_rows
+from lorekeep.plans.evaluate import run_models
 from lorekeep.plans.ingest import analyze, ingest_files
 from lorekeep.sources.files import read_jsonl
 from lorekeep.sources.listing import read_all_files
@@ -142,6 +143,24 @@ r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY
 g AS (SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS kw FROM r WHERE pos <= 5 GROUP BY doc_id)"""
 
 
+def model_runs_resumed(spark, d):
+    """A model that fails on texts of odd length, then a run that asks only for what is missing."""
+    rows = V.texts(spark, d).select(
+        F.col("doc_id").alias("query_id"), F.lit("size").alias("query"), F.col("text").alias("prompt"), F.array("source").alias("sources")
+    )
+
+    def half(prompt):
+        return f"{len(prompt)} at first" if len(prompt) % 2 == 0 else 1 / 0
+
+    def whole(prompt):
+        return f"{len(prompt)} | later"
+
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    run_models(rows, {"half": half}, folder, wave=1_000_000)
+    found = run_models(rows, {"half": whole}, folder, wave=1_000_000)
+    return found.select("id", "model", F.element_at("context_sources", 1).alias("source"), "answer")
+
+
 def jsonl_source(spark, d):
     """Conversations written as JSON lines and read back with a fixed schema."""
     rows = V.read(spark, d, "conversations")
@@ -221,6 +240,11 @@ SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lead <> '' AND kw IS NO
  ELSE 'error|fallback' END AS keywords FROM s LEFT JOIN g USING (doc_id)""",
     ),
     "analyze_tfidf": (analyze_tfidf, _lead_sql(_TFIDF)),
+    "model_runs_resumed": (
+        model_runs_resumed,
+        """SELECT doc_id AS id, 'half' AS model, source, length(text) || CASE WHEN length(text) % 2 = 0 THEN ' at first' ELSE ' | later' END AS answer
+FROM documents""",
+    ),
     "jsonl_source": (jsonl_source, "SELECT * FROM conversations"),
     "bulk_model_input": (
         bulk_model_input,

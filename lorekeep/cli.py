@@ -179,7 +179,7 @@ def cmd_bench(kb, args, found):
     prompts = benchmark_prompts(backfill.corpus_of(kb), queries, args.level)
     url = (kb.settings.base_url or "").rstrip("/").removesuffix("/v1") + "/v1"
     models = {m: HttpChat(url, m) for m in args.models}
-    runs = evaluate.run_models(prompts, models)
+    runs = evaluate.run_models(prompts, models, kb.qualified(args.answers) if args.answers else None)
     runs.write.mode("overwrite").json(args.out)
     written = spark.read.schema(BENCH_RUNS).json(args.out)
     lines = evaluate.markdown_rows(written, 150 if args.level == "chunk" else 180, args.level == "chunk")
@@ -279,6 +279,7 @@ def parser() -> argparse.ArgumentParser:
     add(
         "bench", cmd_bench, opt("questions"), opt("out"), opt("--models", nargs="+", required=True),
         opt("--limit", **number), opt("--level", choices=["document", "chunk"], default="document"),
+        opt("--answers", default=None),
     )
     add("report", cmd_report, opt("scores"), opt("runs"), opt("--models", nargs="+", required=True))
     add("compare", cmd_compare, opt("baseline"), opt("chunks"))

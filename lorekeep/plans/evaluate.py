@@ -2,25 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.backends import Chat, chat_column
 from lorekeep.functions.text import basename, strip_thinking, table_cell
+from lorekeep.operators.common import materialize
 
 CRITERIA = ("F", "P", "C", "H")
 POINTS_PER_CRITERION = 2
 
 
-def run_models(prompts: DataFrame, models: dict[str, Chat]) -> DataFrame:
+ANSWER_ROWS = "model string, prompt_id string, raw string, elapsed_s double, tokens long, failed boolean, asked_at timestamp"
+#: Prompts whose answers become permanent together.
+WAVE = 1000
+
+
+def ask_missing(prompts: DataFrame, name: str, chat: Chat, answers: str, wave: int = WAVE) -> int:
+    """Ask a model those ``prompts`` (column ``prompt``) that have no answer of it in the folder ``answers``; how many were asked.
+
+    Equal prompts are asked once. Answers are appended in waves of about ``wave`` prompts, so a run that is stopped keeps
+    all finished waves. A failure is recorded and asked again by the next run; NULL prompts are asked as empty ones.
+    """
+    spark = prompts.sparkSession
+    spark.createDataFrame([], ANSWER_ROWS).write.mode("append").parquet(answers)  # so that the folder exists
+    known = spark.read.schema(ANSWER_ROWS).parquet(answers).where((F.col("model") == name) & ~F.col("failed")).select("prompt_id")
+    wanted = prompts.select(F.coalesce("prompt", F.lit("")).alias("prompt")).distinct()
+    missing = materialize(wanted.withColumn("prompt_id", F.sha2("prompt", 256)).join(known, "prompt_id", "left_anti"))
+    n = missing.count()
+    waves = -(-n // wave)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, wave, n))
+    for k in range(waves):
+        part = missing.where(F.pmod(F.xxhash64("prompt_id"), F.lit(waves)) == k).repartition(tasks, "prompt_id")
+        told = part.withColumn("_answer", chat_column(chat)(F.col("prompt")))
+        told = told.select(F.lit(name).alias("model"), "prompt_id", "_answer.*", F.current_timestamp().alias("asked_at"))
+        told.write.mode("append").parquet(answers)
+    return n
+
+
+def best_answers(spark: SparkSession, answers: str) -> DataFrame:
+    """One answer per model and prompt: the latest that did not fail, else the latest failure."""
+    rows = spark.read.schema(ANSWER_ROWS).parquet(answers)
+    value = F.struct("raw", "elapsed_s", "tokens", "failed")
+    order = F.struct((~F.col("failed")).alias("good"), "asked_at", "raw")
+    return rows.groupBy("model", "prompt_id").agg(F.max_by(value, order).alias("_answer"))
+
+
+def run_models(prompts: DataFrame, models: dict[str, Chat], answers: str | None = None, wave: int = WAVE) -> DataFrame:
     """Ask every model every prompt: rows in the shape of a benchmark run.
 
     ``prompts`` holds ``query_id, query, prompt, sources`` and optionally
-    ``theme`` and ``expected_doc_hint``.
+    ``theme`` and ``expected_doc_hint``. With ``answers``, a folder that all
+    executors share, answers are kept by prompt hash, and only what is missing is asked.
     """
+    kept = None
+    if answers is not None:
+        prompts = materialize(prompts)
+        for name, chat in models.items():
+            ask_missing(prompts, name, chat, answers, wave)
+        kept = best_answers(prompts.sparkSession, answers)
     arms = []
     for name, chat in models.items():
-        asked = prompts.withColumn("_answer", chat_column(chat)(F.col("prompt")))
+        if kept is None:
+            asked = prompts.withColumn("_answer", chat_column(chat)(F.col("prompt")))
+        else:
+            own = kept.where(F.col("model") == name).select("prompt_id", "_answer")
+            asked = prompts.withColumn("prompt_id", F.sha2(F.coalesce("prompt", F.lit("")), 256)).join(own, "prompt_id", "left")
         optional = [
             (F.col(c) if c in prompts.columns else F.lit("")).alias(c)
             for c in ("theme", "expected_doc_hint")
@@ -32,7 +79,7 @@ def run_models(prompts: DataFrame, models: dict[str, Chat]) -> DataFrame:
                 F.col("_answer.raw").alias("answer_raw"),
                 strip_thinking(F.col("_answer.raw")).alias("answer"),
                 F.col("_answer.elapsed_s").alias("elapsed_s"),
-                F.lit(None).cast("long").alias("tokens"),
+                F.col("_answer.tokens").alias("tokens"),
             )
         )
     runs = arms[0]
