@@ -33,6 +33,13 @@ def context_budget(spark, d):
     return found.select("query_id", "context", F.array_join("sources", "|").alias("sources"))
 
 
+def context_passage(spark, d):
+    """Contexts of the passages that match the questions best, not of the documents' heads."""
+    hits = A.with_passages(_document_hits(spark, d), V.questions(spark, d), A.DOCUMENT_CHARS)
+    found = A.document_context(hits)
+    return found.select("query_id", "context", F.array_join("sources", "|").alias("sources"))
+
+
 def context_index(spark, d):
     found = A.chunk_context(_chunk_hits(spark, d))
     return found.select("query_id", "context", F.array_join("sources", "|").alias("sources"))
@@ -73,6 +80,13 @@ _CITE = """CASE WHEN section IS NULL AND page = 0 THEN '' ELSE ' (' || concat_ws
 _DOC_HITS = f"""WITH {S.bm25(DOC_BODY, S.QUESTIONS, 20)}, h AS (SELECT query_id, rank, score,
  'doc_' || id || '.txt' AS file_name, substr(text, 1, 2000) AS text FROM bm JOIN documents ON CAST(doc_id AS VARCHAR) = id
  WHERE rank < 5)"""
+_PASSAGES = f"""WITH {S.bm25(DOC_BODY, S.QUESTIONS, 20)}, h0 AS (SELECT bm.query_id, rank, 'doc_' || id || '.txt' AS file_name, text AS whole,
+ (SELECT list_distinct({S.tokens("q.text")}) FROM benchmark q WHERE q.item_id = bm.query_id) AS words
+ FROM bm JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE rank < 5),
+w AS (SELECT query_id, rank, file_name, words, i, substr(whole, i * 1000 + 1, 2000) AS text FROM
+ (SELECT *, unnest(range(greatest(1, CAST(ceil(length(whole) / 1000.0) AS BIGINT) - 1))) AS i FROM h0)),
+h AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, rank
+ ORDER BY len(list_intersect(words, {S.tokens("text")})) DESC, i) = 1)"""
 _PROMPT_SQL = f"""{_DOC_HITS.replace("rank < 5", "rank < 3 AND score > 20")}, {_BUDGET.format(text="text")},
 c AS (SELECT query_id, string_agg('--- Document : ' || file_name || ' ---' || chr(10) || snip, chr(10) || chr(10)
   ORDER BY rank) AS context, count(*) AS n FROM k GROUP BY query_id)
@@ -220,6 +234,11 @@ CHECKS = {
     "context_budget": (
         context_budget,
         f"""{_DOC_HITS}, {_BUDGET.format(text="text")} SELECT query_id, string_agg('--- Document : ' || file_name || ' ---'
+ || chr(10) || snip, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(file_name, '|' ORDER BY rank) AS sources FROM k GROUP BY query_id""",
+    ),
+    "context_passage": (
+        context_passage,
+        f"""{_PASSAGES}, {_BUDGET.format(text="text")} SELECT query_id, string_agg('--- Document : ' || file_name || ' ---'
  || chr(10) || snip, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(file_name, '|' ORDER BY rank) AS sources FROM k GROUP BY query_id""",
     ),
     "context_index": (

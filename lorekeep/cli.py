@@ -20,6 +20,7 @@ from lorekeep.plans.search import MODES, search
 from lorekeep.schemas import BENCH_RUNS, QUESTIONS, TABLES
 from lorekeep.session import KnowledgeBase, Settings, build_session
 from lorekeep.sources.files import read_files, read_jsonl
+from lorekeep.sources.listing import read_all_files
 
 SYSTEM_PROMPT = (
     "You look things up in a company's documents. Every statement of yours names the document it is "
@@ -116,7 +117,9 @@ def cmd_reindex(kb, args, found):
 
 
 def cmd_rechunk(kb, args, found):
-    rechunk(kb, embedder=found["embedder"])
+    """From the stored texts or, with ``--files``, from the files of a folder (documents without a file: from their text)."""
+    files = read_all_files(kb.spark, kb.qualified(args.files), f"{kb.root}/_staging") if args.files else None
+    rechunk(kb, files, embedder=found["embedder"])
 
 
 VISION_SLICE = 1000
@@ -160,7 +163,7 @@ def cmd_status(kb, args, found):
 
 def cmd_ask(kb, args, found):
     queries = as_queries(kb.spark, args.question, found["embedder"], kb.settings.embed_dim)
-    row = first_row(web_prompts(backfill.corpus_of(kb), queries))
+    row = first_row(web_prompts(backfill.corpus_of(kb), queries, matching=args.passages == "match"))
     deltas = [row["prompt"]]
     if kb.settings.base_url and kb.settings.chat_model:
         chat = HttpChat(kb.settings.base_url, kb.settings.chat_model, SYSTEM_PROMPT)
@@ -176,7 +179,7 @@ def cmd_bench(kb, args, found):
         questions = questions.limit(args.limit)
     rows = questions.collect()  # a question set typed by people
     queries = as_queries(spark, [r["question"] for r in rows], found["embedder"], kb.settings.embed_dim)
-    prompts = benchmark_prompts(backfill.corpus_of(kb), queries, args.level)
+    prompts = benchmark_prompts(backfill.corpus_of(kb), queries, args.level, args.passages == "match")
     url = (kb.settings.base_url or "").rstrip("/").removesuffix("/v1") + "/v1"
     models = {m: HttpChat(url, m) for m in args.models}
     runs = evaluate.run_models(prompts, models, kb.qualified(args.answers) if args.answers else None)
@@ -269,17 +272,18 @@ def parser() -> argparse.ArgumentParser:
     )
     add("compact", cmd_compact)
     add("reindex", cmd_reindex)
-    add("rechunk", cmd_rechunk)
+    add("rechunk", cmd_rechunk, opt("--files", default=None))
     add(
         "reindex-vision", cmd_reindex_vision, opt("--filter", default=None), opt("--limit", **number),
         opt("--category", default="Uncategorized"), opt("--reset", action="store_true"),
     )
     add("status", cmd_status, opt("--total", type=int, default=299))
-    add("ask", cmd_ask, opt("question"))
+    passages = opt("--passages", choices=["head", "match"], default="head")
+    add("ask", cmd_ask, opt("question"), passages)
     add(
         "bench", cmd_bench, opt("questions"), opt("out"), opt("--models", nargs="+", required=True),
         opt("--limit", **number), opt("--level", choices=["document", "chunk"], default="document"),
-        opt("--answers", default=None),
+        opt("--answers", default=None), passages,
     )
     add("report", cmd_report, opt("scores"), opt("runs"), opt("--models", nargs="+", required=True))
     add("compare", cmd_compare, opt("baseline"), opt("chunks"))

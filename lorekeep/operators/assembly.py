@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import citation, rag_prompt, source_label, xml_document
+from lorekeep.functions.text import bind, citation, rag_prompt, source_label, xml_document
+from lorekeep.functions.tokens import Tokenizer
 
 # Fixed values.
 CONTEXT_CHARS = 6000
 DOCUMENT_CHARS = 2000
+WEB_DOCUMENT_CHARS = 3000
 NO_DOCUMENT = "(aucun document trouvé)"
 NO_DOCUMENT_WEB = "Aucun document trouvé."
 NO_ANSWER = (
@@ -39,6 +43,36 @@ def within_budget(
     )
 
 
+def best_window(text: Column, query: Column, size: int, tokenizer: Tokenizer = Tokenizer()) -> Column:
+    """The ``size`` characters of ``text`` that hold most different words of ``query``; of equals the first.
+
+    Windows start every ``size // 2`` characters (``size`` must be even) and each is tokenised as it is cut, without stemming.
+    The text is cut once, so the cost is linear in its length. NULL counts as empty; a query without words gives the head.
+    """
+    if size < 2 or size % 2:
+        raise ValueError("size must be even")
+    plain = replace(tokenizer, stem=False)
+    wanted = F.array_distinct(plain.tokens(F.coalesce(query, F.lit(""))))
+    halves = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{size // 2}}}"), F.lit(0))
+
+    def best(found: Column, words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 2, F.lit(0)))
+        windows = F.transform(starts, lambda i: F.concat(F.coalesce(F.get(found, i), F.lit("")), F.coalesce(F.get(found, i + 1), F.lit(""))))
+        rated = F.transform(
+            windows, lambda w, i: F.struct(F.size(F.array_intersect(words, plain.tokens(w))).alias("n"), (-i).alias("first"), w.alias("window"))
+        )
+        return F.array_max(rated)["window"]
+
+    return bind(halves, lambda found: bind(wanted, lambda words: best(found, words)))
+
+
+def with_passages(hits: DataFrame, queries: DataFrame, size: int, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
+    """Document hits whose ``raw_text`` is the passage of ``size`` characters that matches their query best."""
+    asked = queries.select("query_id", F.col("query").alias("_asked"))
+    rows = hits.join(asked, "query_id", "left")
+    return rows.withColumn("raw_text", best_window(F.col("raw_text"), F.col("_asked"), size, tokenizer)).drop("_asked")
+
+
 def file_index(hits: DataFrame) -> DataFrame:
     """Add ``doc_index``: one more than the number of distinct files before the row."""
     earlier = F.size(F.collect_set("file_name").over(_before()))
@@ -101,7 +135,7 @@ def web_context(hits: DataFrame) -> DataFrame:
     )
 
 
-def web_document_context(hits: DataFrame, each: int = 3000) -> DataFrame:
+def web_document_context(hits: DataFrame, each: int = WEB_DOCUMENT_CHARS) -> DataFrame:
     block = F.concat(
         F.lit("--- Document: "), F.col("file_name"), F.lit(" ---\n"),
         F.substring(F.coalesce(F.col("raw_text"), F.lit("")), 1, each), F.lit("\n\n"),

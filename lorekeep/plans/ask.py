@@ -39,29 +39,40 @@ def as_queries(
     return spark.createDataFrame(rows, schema)
 
 
-def web_prompts(corpus: Corpus, queries: DataFrame, mode: str = "hybrid") -> DataFrame:
-    """``query_id, query, context, sources, prompt`` with a fallback to documents."""
+def _passages(hits: DataFrame, queries: DataFrame, size: int, corpus: Corpus, matching: bool) -> DataFrame:
+    return assembly.with_passages(hits, queries, size, corpus.tokenizer) if matching else hits
+
+
+def web_prompts(corpus: Corpus, queries: DataFrame, mode: str = "hybrid", matching: bool = False) -> DataFrame:
+    """``query_id, query, context, sources, prompt`` with a fallback to documents.
+
+    A document is shown by its first characters or, with ``matching``, by the passage that matches the question best.
+    """
     contexts, left = None, queries
     if corpus.chunks is not None:
         hits = hybrid_search_chunks(corpus, queries, WEB_CHUNKS, mode)
         contexts, left = assembly.web_context(hits), unanswered(queries, hits, corpus.staging)
     if left is not None:
         found = hybrid_search(corpus, left, WEB_DOCUMENTS, mode)
-        documents = assembly.web_document_context(found)
+        documents = assembly.web_document_context(_passages(found, left, assembly.WEB_DOCUMENT_CHARS, corpus, matching))
         contexts = documents if contexts is None else contexts.unionByName(documents)
     wanted = queries.select("query_id", "query")
     return assembly.with_prompts(wanted, contexts, assembly.NO_DOCUMENT_WEB)
 
 
-def benchmark_prompts(corpus: Corpus, queries: DataFrame, level: str = "document") -> DataFrame:
-    """Prompts of a benchmark: lexical top-3 documents or hybrid top-5 chunks."""
+def benchmark_prompts(corpus: Corpus, queries: DataFrame, level: str = "document", matching: bool = False) -> DataFrame:
+    """Prompts of a benchmark: lexical top-3 documents or hybrid top-5 chunks; ``matching`` as for ``web_prompts``."""
+
+    def shown(hits: DataFrame) -> DataFrame:
+        return assembly.document_context(_passages(hits, queries, assembly.DOCUMENT_CHARS, corpus, matching))
+
     if level == "document":
-        contexts = assembly.document_context(hybrid_search(corpus, queries, 3, "fts"))
+        contexts = shown(hybrid_search(corpus, queries, 3, "fts"))
     else:
         hits = hybrid_search_chunks(corpus, queries)
         contexts, left = assembly.chunk_context(hits), unanswered(queries, hits, corpus.staging)
         if left is not None:
-            documents = assembly.document_context(hybrid_search(corpus, left, 3))
+            documents = shown(hybrid_search(corpus, left, 3))
             contexts = contexts.unionByName(documents)
     return assembly.with_prompts(queries, contexts)
 

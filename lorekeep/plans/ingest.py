@@ -44,7 +44,8 @@ def analyze(
     ``frequencies`` makes its keywords those that tell it from other documents (tf-idf).
 
     A model reads a long text piece by piece; summaries are joined in order,
-    keywords of all pieces are kept once. ``shorten`` shows it one shortened
+    keywords of all pieces are kept once, and a summary ends with the number of
+    pieces that the model failed on, if there are any. ``shorten`` shows it one shortened
     text instead: ``head_and_tail``, or ``llm_input``, the plain cut.
     """
     if analyzer is None:
@@ -68,13 +69,18 @@ def _analyzed_in_pieces(rows: DataFrame, analyzer: Chat) -> DataFrame:
     told = one.select("document_id", "n", X.parse_analysis(answer_column(analyzer)(F.col("piece"))).alias("a"))
     told = told.withColumn("ok", F.col("a.summary") != X.FAILED_SUMMARY)
     good = told.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("n", "a")))).alias("good"), F.first("a").alias("any")
+        F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("n", "a")))).alias("good"),
+        F.first("a").alias("any"),
+        F.count(F.lit(1)).alias("n_pieces"),
     )
     words = F.array_distinct(F.flatten(F.transform("good", lambda g: g["a"]["keywords"])))
     some = F.size("good") > 0
+    lost = F.col("n_pieces") - F.size("good")
+    mark = F.when(lost > 0, F.format_string(" [%d of %d parts without an analysis]", lost, F.col("n_pieces"))).otherwise("")
+    summary = F.concat(F.array_join(F.transform("good", lambda g: g["a"]["summary"]), " "), mark)
     return good.select(
         "document_id",
-        F.when(some, F.array_join(F.transform("good", lambda g: g["a"]["summary"]), " ")).otherwise(F.col("any.summary")).alias("summary"),
+        F.when(some, summary).otherwise(F.col("any.summary")).alias("summary"),
         F.when(some, words).otherwise(F.col("any.keywords")).alias("keywords"),
     )
 

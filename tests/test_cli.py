@@ -24,6 +24,11 @@ def test_commands(spark, capsys, tmp_path):
     assert run(spark, capsys, root, "search", "zzz", "--mode", "fts")[1] == "No results found.\n"
     _, out = run(spark, capsys, root, "ask", "red pump")
     assert out.startswith('data: {"sources": ["pump.md - Pump"') and out.endswith("data: [DONE]\n\n")
+    _, out = run(spark, capsys, root, "ask", "red pump", "--passages", "match")
+    assert "Install the red pump" in out
+    assert run(spark, capsys, root, "rechunk", "--files", str(folder))[0] == 0
+    _, out = run(spark, capsys, root, "search", "red pump", "--mode", "fts", "--limit", "1")
+    assert out.startswith("1. pump.md - Pump (score ")  # sections come from the file, not from the stored text
     _, out = run(spark, capsys, root, "embed", "--rebuild", "--chunks-only")
     assert out.strip() == 'chunks {"embedded": 2, "failed": 0}'
 
