@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from lorekeep.operators.common import (
     has_at_most,
     is_one_of,
     materialize,
+    tasks_for,
     top_per_group,
     unnest,
     unnest_values,
@@ -37,8 +39,9 @@ K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
 SALTS = 64
-# Cells of the score matrix (texts x queries) that a task holds at a time.
-SCORE_CELLS = 4_000_000
+# What a task holds at a time: texts, and weights (one per text, query and term that both have).
+SCORE_TEXTS = 1_000
+SCORE_WEIGHTS = 500_000
 
 
 def term_table(df: DataFrame, ids: list[str], text: str, tokenizer: Tokenizer) -> DataFrame:
@@ -121,16 +124,17 @@ class LexicalIndex:
         two-letter prefix directory prunes whole directories, the sorted terms
         prune row groups.
         """
-        key = self.ids[0]
+        key, spark = self.ids[0], self.posted.sparkSession
+        self.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
+        n = spark.read.parquet(f"{path}/frequencies").agg(F.sum("df")).first()[0] or 0
         (
             self.posted.withColumn("prefix", F.substring("term", 1, 2))
-            .repartitionByRange("prefix", "term", key)
+            .repartitionByRange(tasks_for(spark, n), "prefix", "term", key)
             .sortWithinPartitions("prefix", "term", key)
             .write.mode("overwrite")
             .partitionBy("prefix")
             .parquet(f"{path}/postings")
         )
-        self.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
         self.posted.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
@@ -161,9 +165,9 @@ def query_terms(queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return unnest_values(queries, ["query_id"], tokens, "term")
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+def bm25_scores(index: LexicalIndex, queries: DataFrame, staging: str | None = None) -> DataFrame:
     """``query_id, ids, score`` of every text that shares a term with the query."""
-    asked = _Asked.of(index, queries)
+    asked = _Asked.of(index, queries, staging)
     return asked.scores(asked.postings())
 
 
@@ -173,12 +177,12 @@ class _Asked:
 
     index: LexicalIndex
     wanted: DataFrame  # query_id, term
-    weighted: DataFrame  # query_id, term, avg_len, idf
+    weighted: DataFrame  # query_id, term, df, avg_len, idf
     vocabulary: DataFrame
     words: list[str] | None  # of a bounded vocabulary
 
     @staticmethod
-    def of(index: LexicalIndex, queries: DataFrame) -> _Asked:
+    def of(index: LexicalIndex, queries: DataFrame, staging: str | None = None) -> _Asked:
         wanted = query_terms(queries.select("query_id", "query"), index.tokenizer)
         vocabulary = wanted.select("term").distinct()
         small, bounded = broadcast_if_small(vocabulary)
@@ -189,11 +193,13 @@ class _Asked:
             .select(
                 "query_id",
                 "term",
+                "df",
                 F.col("_stats.avg_len").alias("avg_len"),
                 idf(F.col("_stats.n_docs"), F.col("df")).alias("idf"),
             )
         )
-        return _Asked(index, wanted, weighted, small, words)
+        # Written, as several plans read it and each would count the frequencies again.
+        return _Asked(index, wanted, materialize(weighted, staging), small, words)
 
     def of_terms(self, rows: DataFrame) -> DataFrame:
         """Rows of the queries' terms; literal terms reach the scan and prune files."""
@@ -206,12 +212,18 @@ class _Asked:
     def postings(self) -> DataFrame:
         return self.of_terms(self.index.posted)
 
+    @cached_property
+    def n_weights(self) -> int:
+        """How many pairs of query and posting have a term in common."""
+        return self.weighted.agg(F.sum("df")).first()[0] or 0
+
     def scores(self, posted: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
         """Sums of weights; ``chosen`` restricts them to pairs of query and block."""
         ids = list(self.index.ids)
         blocks = ["segment", "block"] if chosen is not None else []
-        # Partitioned by text id once, the sums below need no further exchange.
-        posted = posted.select(*ids, "doc_len", "term", "tf", *blocks).repartition(ids[0])
+        # Partitioned by text id once, the sums below need no further exchange. A task sums about as many weights, whatever the number of texts.
+        n = self.n_weights if chosen is None else chosen.agg(F.sum("n")).first()[0] or 0
+        posted = posted.select(*ids, "doc_len", "term", "tf", *blocks).repartition(tasks_for(posted.sparkSession, n), ids[0])
         if self.words is not None and broadcast_if_small(self.wanted)[1]:
             matched = posted.join(F.broadcast(self.weighted), "term")
         else:
@@ -253,7 +265,7 @@ def bm25_pruned(index: LexicalIndex, queries: DataFrame, pool: int, staging: str
     The blocks with the highest bounds are scored first. A block whose bound is below the ``pool``-th score found there holds none of the
     best texts and is not read. Returns ``query_id, ids, score`` and ``query_id, segment, block, bound, n, is_read``.
     """
-    asked = _Asked.of(index, queries)
+    asked = _Asked.of(index, queries, staging)
     bounds = block_bounds(asked)
     before = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block").rowsBetween(Window.unboundedPreceding, -1)
     is_first = F.coalesce(F.sum("n").over(before), F.lit(0)) < FIRST_POSTINGS * pool
@@ -290,10 +302,30 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, pool: int, staging: str
     elif index.blocks is not None:
         scored = bm25_pruned(index, queries, pool, staging)[0]
     if scored is None:
-        scored = bm25_scores(index, queries)
+        scored = bm25_scores(index, queries, staging)
     return top_per_group(scored, ["query_id"], order, pool)
 
 
+def _some_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, SCORE_TEXTS):
+            yield whole.slice(at, SCORE_TEXTS)
+
+
+def _runs_of_texts(text: np.ndarray, copies: np.ndarray) -> Iterator[slice]:
+    """Entries (ordered by text) in runs of at most ``SCORE_WEIGHTS`` copies or of one text; no text is in two runs."""
+    sofar, at = np.cumsum(copies), 0
+    while at < len(text):
+        before = sofar[at] - copies[at]
+        end = int(np.searchsorted(sofar, before + SCORE_WEIGHTS, side="right"))
+        if end < len(text):
+            end = int(np.searchsorted(text, text[end]))
+        if end <= at:
+            end = int(np.searchsorted(text, text[at], side="right"))
+        yield slice(at, end)
+        at = end
+
+
 def _count_words(terms: DataFrame, words: list[str]) -> tuple[int, float, np.ndarray]:
     """Number of texts, their mean length and how many hold each word, in one pass.
 
@@ -305,7 +337,7 @@ def _count_words(terms: DataFrame, words: list[str]) -> tuple[int, float, np.nda
         lookup = pa.array(shared.value, pa.string())
         held = np.zeros(len(lookup), dtype=np.int64)
         texts = length = 0
-        for batch in batches:
+        for batch in _some_texts(batches):
             word = pc.index_in(batch.column(1).flatten(), lookup).drop_null().to_numpy()
             held += np.bincount(word, minlength=len(lookup))
             texts += batch.num_rows
@@ -365,41 +397,41 @@ def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataF
             "queries": np.array([q for w in words for q in asked[w]], dtype=np.int64),
         }
     )
-    n_queries = len(names)
-    step = max(1, SCORE_CELLS // n_queries)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
-        lookup = pa.array(known["words"], pa.string())
+        lookup, first = pa.array(known["words"], pa.string()), known["first"]
         best = BestPerQuery(names, ids, pool)
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                lists = batch.column(len(ids) + 1)
-                entries = lists.flatten()
-                word = pc.index_in(entries.field("term"), lookup)
-                hit = word.is_valid().to_numpy(zero_copy_only=False)
-                word = word.drop_null().to_numpy()
-                text = pc.list_parent_indices(lists).to_numpy()[hit]
-                tf = entries.field("tf").to_numpy(zero_copy_only=False)[hit].astype(np.float64)
-                length = batch.column(len(ids)).to_numpy(zero_copy_only=False)[text]
-                weight = term_weight(tf, length, avg_len, known["idf"][word])
+        for batch in _some_texts(batches):
+            lists = batch.column(len(ids) + 1)
+            entries = lists.flatten()
+            word = pc.index_in(entries.field("term"), lookup)
+            hit = word.is_valid().to_numpy(zero_copy_only=False)
+            word = word.drop_null().to_numpy()
+            text = pc.list_parent_indices(lists).to_numpy()[hit]
+            tf = entries.field("tf").to_numpy(zero_copy_only=False)[hit].astype(np.float64)
+            length = batch.column(len(ids)).to_numpy(zero_copy_only=False)[text]
+            weight = term_weight(tf, length, avg_len, known["idf"][word])
+            copies = first[word + 1] - first[word]
+            rows = pa.table({i: batch.column(n) for n, i in enumerate(ids)})
+            for run in _runs_of_texts(text, copies):
                 # One entry per (text, term) becomes one per query that has the term.
-                first = known["first"]
-                copies = first[word + 1] - first[word]
-                source = np.repeat(np.arange(len(word)), copies)
-                nth = np.arange(len(source)) - np.repeat(np.cumsum(copies) - copies, copies)
+                n = copies[run]
+                source = np.repeat(np.arange(run.start, run.stop), n)
+                nth = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
                 query = known["queries"][first[word[source]] + nth]
-                if not len(query):
-                    continue
                 # Sums over the pairs that occur, ordered by query and text.
                 pair = query * batch.num_rows + text[source]
                 order = np.argsort(pair, kind="stable")
                 starts = np.flatnonzero(np.append(True, np.diff(pair[order]) > 0))
                 scores = half_up(np.add.reduceat(weight[source][order], starts))
                 pair = pair[order][starts]
-                rows = pa.table({i: batch.column(n) for n, i in enumerate(ids)})
-                ends = np.flatnonzero(np.append(np.diff(pair // batch.num_rows) > 0, True)) + 1
+                # Of many pairs few can still be among the best.
+                able = scores >= best.floors[pair // batch.num_rows]
+                pair, scores = pair[able], scores[able]
+                if not len(pair):
+                    continue
+                ends = np.flatnonzero(np.diff(pair // batch.num_rows, append=-1)) + 1
                 for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
                     matched = pair[low:high] % batch.num_rows
                     best.offer(int(pair[low] // batch.num_rows), scores[low:high], rows.take(pa.array(matched)))

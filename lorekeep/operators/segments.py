@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.tokens import Tokenizer
-from lorekeep.operators.common import broadcast_if_small, unnest
+from lorekeep.operators.common import broadcast_if_small, materialize, tasks_for, unnest
 from lorekeep.operators.lexical import LexicalIndex, term_table
 
 FAN_OUT = 8
@@ -102,17 +102,23 @@ class SegmentStore:
         number, key = self._reserve(), self.ids[0]
         place = F.monotonically_increasing_id()
         block = F.shiftleft(F.shiftright(place, 33), 32) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK_TEXTS)
-        ordered = terms.repartitionByRange("doc_len", key).sortWithinPartitions("doc_len", key)
+        # Written once: ranges are drawn from a first look at the rows, which would tokenise them twice.
+        terms = materialize(terms, f"{self.path}/_staging")
+        counted = terms.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
+        n_tasks = tasks_for(self.spark, counted["postings"])
+        ordered = terms.repartitionByRange(n_tasks, "doc_len", key).sortWithinPartitions("doc_len", key)
         ordered.withColumn("block", block.cast("long")).write.mode("overwrite").parquet(self._folder(number, "texts"))
         texts = self.spark.read.parquet(self._folder(number, "texts"))
         posted = unnest(texts, [*self.ids, "batch", "block", "doc_len"], F.col("terms"))
         # Sorted files: the terms of a query, and their blocks, are found by the statistics of row groups and pages.
-        posted.repartitionByRange("term", "block", key).sortWithinPartitions("term", "block", key).write.mode("overwrite").parquet(self._folder(number, "postings"))
-        bounds = posted.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count(F.lit(1)).alias("n"))
-        bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(self._folder(number, "blocks"))
+        posted.repartitionByRange(n_tasks, "term", "block", key).sortWithinPartitions("term", "block", key).write.mode("overwrite").parquet(self._folder(number, "postings"))
+        # The ranges hold whole blocks, so a task groups its own rows without another exchange.
+        ranged = self.spark.read.parquet(self._folder(number, "postings")).select("term", "block", "tf", "doc_len").repartitionByRange(n_tasks, "term", "block")
+        bounds = ranged.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count(F.lit(1)).alias("n"))
+        bounds.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(self._folder(number, "blocks"))
         blocks = self.spark.read.parquet(self._folder(number, "blocks"))
         blocks.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(self._folder(number, "frequencies"))
-        segment = Segment(number, tuple(batches), texts.count())
+        segment = Segment(number, tuple(batches), counted["texts"])
         self._publish(number, batches, segment.texts, replaces)
         return segment
 
@@ -187,7 +193,7 @@ class SegmentStore:
         """Delete parts of segments and versions that nothing reads any more; how many folders."""
         live = {self._folder(s.number, part) for s in self.segments() for part in _PARTS} | {self._gone_folder(version)}
         deleted = 0
-        for part in (*_PARTS, "gone"):
+        for part in (*_PARTS, "gone", "_staging/lorekeep"):
             folder = self._path(f"{self.path}/{part}")
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
                 name = f"{self.path}/{part}/{status.getPath().getName()}"

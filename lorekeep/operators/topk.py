@@ -29,6 +29,8 @@ class BestPerQuery:
     def __init__(self, names: list, ids: list[str], pool: int) -> None:
         self.names, self.ids, self.pool = names, ids, pool
         self.best: list[pa.Table | None] = [None] * len(names)
+        #: Scores below a query's floor cannot be among its best any more.
+        self.floors = np.full(len(names), -np.inf)
 
     def offer(self, query: int, scores: np.ndarray, rows: pa.Table) -> None:
         """Scores of ``rows`` (a table of id columns) for one query."""
@@ -42,6 +44,8 @@ class BestPerQuery:
             again = best_rows(both["score"].to_numpy(), both[self.ids[0]], self.pool)
             found = both.take(pa.array(again))
         self.best[query] = found
+        if len(found) >= self.pool > 0:
+            self.floors[query] = found["score"][self.pool - 1].as_py()
 
     def batches(self, name_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         for name, found in zip(self.names, self.best):
