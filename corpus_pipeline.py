@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the documents' tokens into sequences; one row per piece."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=PACKING_CACHE_BYTES)
 
 
 def _prepared(stage):
@@ -49,6 +49,9 @@ def _prepared(stage):
     return run
 
 
+#: Workers of earlier stages go on to packing, so that its caches are smaller here than alone; ids are the same.
+PACKING_CACHE_BYTES = 24_000_000
+
 STAGES = [
     ("toxicity", _prepared(without_toxic)),
     ("quality rules", _prepared(of_quality)),

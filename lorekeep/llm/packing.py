@@ -50,18 +50,18 @@ class _Remembered(dict):
     texts stay while the others go.
     """
 
-    def __init__(self, work):
+    def __init__(self, work, limit: int | None = None):
         super().__init__()
-        self.work, self.older, self.held = work, {}, 0
+        self.work, self.limit, self.older, self.held = work, limit or CACHE_BYTES, {}, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
             ids = self.work(text)
         size = _ENTRY + len(text) + len(ids)
-        if size > CACHE_BYTES // 2:
+        if size > self.limit // 2:
             return ids
-        if self.held + size > CACHE_BYTES // 2:
+        if self.held + size > self.limit // 2:
             self.older = dict(self)
             self.clear()
             self.held = 0
@@ -73,14 +73,14 @@ class _Remembered(dict):
 class Encoder:
     """Ids of texts under a vocabulary that drops white space."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, cache_bytes: int | None = None):
         self.own, described = load(path)
         split = str(described["pre_tokenizer"])
         if "'invert': True" not in split or "Removed" not in split:
             raise ValueError("a vocabulary that drops white space between words is needed")
         self.whole = [*(x["content"] for x in described["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
         self.end = array("I", [end_id]).tobytes()
-        self.words, self.parts = _Remembered(self._word), _Remembered(self._part)
+        self.words, self.parts = _Remembered(self._word, cache_bytes), _Remembered(self._part, cache_bytes)
 
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.own.model.tokenize(in_bytes(word))]).tobytes()
@@ -104,21 +104,21 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end_id: int) -> Encoder:
+def encoder_of(path: str, end_id: int, cache_bytes: int | None = None) -> Encoder:
     """One encoder per worker process: its tasks share vocabulary and caches."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, cache_bytes)
 
 
 _ENCODED = "key {kind}, task int, local long, n long, ids binary"
 _PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def encoded(df: DataFrame, path: str, key: str, text: str, end_id: int) -> DataFrame:
+def encoded(df: DataFrame, path: str, key: str, text: str, end_id: int, cache_bytes: int | None = None) -> DataFrame:
     """Written table of ids with their offset inside the task that encoded them."""
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("t"))
 
     def make():
-        encoder, task, sofar = encoder_of(path, end_id), TaskContext.get().partitionId(), 0
+        encoder, task, sofar = encoder_of(path, end_id, cache_bytes), TaskContext.get().partitionId(), 0
         wide = encoder.own.get_vocab_size() > 65536
 
         def work(batch):
@@ -137,9 +137,9 @@ def encoded(df: DataFrame, path: str, key: str, text: str, end_id: int) -> DataF
     return stored(narrow.mapInArrow(over_batches(make), _ENCODED.format(kind=kind)), "packing", compression="zstd")
 
 
-def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, end_id: int = END_ID, ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, end_id: int = END_ID, ids: bool = False, cache_bytes: int | None = None) -> DataFrame:
     """One row per piece: ``key``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``; with ``ids``, the ids too."""
-    table = encoded(df, path, key, text, end_id)
+    table = encoded(df, path, key, text, end_id, cache_bytes)
     kind = table.schema["key"].dataType.simpleString()
     totals = table.groupBy("task").agg(F.max(F.col("local") + F.col("n")).alias("total"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
