@@ -7,7 +7,8 @@ frequency in turn and paired with the word that follows them, which counts phras
 both its parts of one word less are.
 
 Only words and phrases that occur often enough get ids, and at most ``Limits.head_words`` and ``Limits.head_phrases`` of them, so that
-what is broadcast is bounded. Where there are more, phrases with a part beyond the bound are counted by their text: slower, and exact as well.
+what is broadcast is bounded. Workers hold it in packed arrays. Batches are bounded in bytes, rows of ids in length, and there are more
+tiles for more words, so that what a task holds does not grow with the table. Where there are more, phrases with a part beyond the bound are counted by their text: slower, and exact as well.
 
 A phrase of ``k`` words in ``a`` places scores ``floor(10^6 a^2 / (l r))`` at a cut into parts found ``l`` and ``r`` times; its
 lowest score counts (ties: the first cut). Phrases that lie in a longer candidate which has at least half their occurrences are dropped.
@@ -23,20 +24,24 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import record_batch, slices, spread_bits, steps, stored
+from lorekeep.llm.common import give_back, record_batch, slices, small_batches, spread_bits, steps, stored
 
 MIN_COUNT = 10
 MAX_WORDS = 3
 COVERED_PERCENT = 50
 TOP = 2000
 UNDEFINED = "und"
+#: Bytes of an Arrow batch that a worker gets, ids of a row of an encoded text, and ids that are looked up at a time.
+BATCH_BYTES = 8 << 20
+ROW_IDS = 4096
+LOOKUP_IDS = 1 << 18
 #: Dense tiles have so many rows and columns.
 SIDE = 256
 
@@ -47,7 +52,7 @@ class Limits:
 
     Frequent words, and frequent phrases of one length, that get ids; ids below ``dense`` (a multiple of ``SIDE``) are counted in dense
     tiles; pairs that a task gathers before it counts them, and cells that the reader of a sparse tile merges at a time; words, or
-    phrases by their text, that a task counts before it passes them on.
+    phrases by their text, that a task counts before it passes them on; words of all texts for which there is one more sparse tile.
     """
 
     head_words: int = 1 << 19
@@ -55,6 +60,7 @@ class Limits:
     dense: int = 2048
     pairs: int = 3_000_000
     words: int = 200_000
+    per_tile: int = 2_000_000
 
 
 BREAK, BEYOND = -1, -2  # ids of the end of a piece or an infrequent word, and of a word without id
@@ -75,6 +81,16 @@ def words_of(texts: list[str]) -> list[bytes]:
     return [w for w in plain.split(b" ") if w]
 
 
+def _tidy(run):
+    """A task that gives its memory back when it ends."""
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def _by_lang(batch):
     """Texts of a batch in slices of one language."""
     groups: dict[str, list] = {}
@@ -103,12 +119,12 @@ def _count_words(limits: Limits):
                 yield from rows()
         yield from rows()
 
-    return run
+    return _tidy(run)
 
 
 @dataclass
 class Level:
-    """Phrases of one length with ids: ``keys`` sorted, with the rank and the count of each, and the keys by rank."""
+    """Phrases of one length with ids: ``keys`` sorted, with the rank and the count of each, and the places of the keys by rank."""
 
     keys: np.ndarray
     rank: np.ndarray
@@ -121,19 +137,35 @@ class Head:
     """Words with ids, in the order of ids, and the levels of longer phrases."""
 
     langs: list[str]
-    words: list[str]
+    lang: np.ndarray  # by id, a place in ``langs``
+    words: pa.StringArray
     counts: np.ndarray
     whole: bool  # every frequent word has an id
     levels: list[Level] = field(default_factory=list)
 
+    @staticmethod
+    def of(table: pa.Table, whole: bool) -> Head:
+        """``table``: lang, phrase, n by falling n."""
+        coded = table["lang"].combine_chunks().dictionary_encode()
+        words = table["phrase"].combine_chunks().cast(pa.string())
+        return Head(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32), words, table["n"].to_numpy().astype(np.int64), whole)
+
     @cached_property
-    def ids_by_lang(self) -> dict[str, dict[bytes, int]]:
-        """Built once per worker process: workers keep the broadcast object."""
-        found: dict[str, dict[bytes, int]] = {}
-        for i, (lang, word) in enumerate(zip(self.langs, self.words, strict=True)):
-            found.setdefault(lang, {_END: BREAK})[word.encode()] = i
+    def ids_by_lang(self) -> dict[str, tuple[pa.BinaryArray, np.ndarray]]:
+        """Words and ids. Built once per worker process: workers keep the broadcast object."""
+        found = {}
+        for code, lang in enumerate(self.langs):
+            ids = np.flatnonzero(self.lang == code).astype(np.int32)
+            found[lang] = self.words.take(pa.array(ids)).cast(pa.binary()), ids
         return found
 
+    def texts(self, ids: np.ndarray) -> pa.StringArray:
+        """Phrases of word ids, one row per phrase."""
+        return pc.binary_join_element_wise(*(self.words.take(pa.array(column)) for column in ids.T), " ")
+
+    def langs_of(self, ids: np.ndarray) -> pa.StringArray:
+        return pa.array(self.langs, pa.string()).take(pa.array(self.lang[ids]))
+
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left << 24) | right
@@ -164,7 +196,7 @@ def _phrase_ids(head: Head, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Word ids, one row per phrase."""
     columns = [right]
     for level in reversed(head.levels):
-        keys = level.by_rank[left]
+        keys = level.keys[level.by_rank[left]]
         columns.append(keys & 0xFFFFFF)
         left = keys >> 24
     return np.stack([left, *reversed(columns)], axis=1)
@@ -179,53 +211,89 @@ def _counts_of(head: Head, ids: np.ndarray) -> np.ndarray:
 
 
 def _encode(head):
-    """Texts as ids, a row per slice and language."""
+    """Texts as ids, in rows of one language that end where no phrase goes on."""
 
     def run(batches):
-        by_lang, whole = head.value.ids_by_lang, head.value.whole
+        known = head.value
+        none = pa.array([], pa.binary()), np.zeros(0, np.int32)
         for batch in steps(batches):
             out = [[], [], []]
             for lang, texts in _by_lang(batch):
-                known = by_lang.get(lang, {_END: BREAK})
-                words = words_of(texts)
-                ids = np.fromiter(map(known.get, words, repeat(BREAK if whole else BEYOND)), np.int32, len(words))
-                beyond = [] if whole else [words[i].decode() for i in np.flatnonzero(ids == BEYOND)]
-                for column, value in zip(out, (lang, ids.tobytes(), beyond), strict=True):
-                    column.append(value)
+                values, ids_of = known.ids_by_lang.get(lang, none)
+                words = pa.array(words_of(texts), pa.binary())
+                at = pc.index_in(words, value_set=values)
+                there = at.is_valid().to_numpy(zero_copy_only=False)
+                ids = np.full(len(words), BREAK if known.whole else BEYOND, np.int32)
+                ids[there] = ids_of[at.drop_null().to_numpy()]
+                if not known.whole:
+                    ids[pc.equal(words, pa.scalar(_END, pa.binary())).to_numpy(zero_copy_only=False)] = BREAK
+                ends = np.flatnonzero(ids == BREAK) + 1
+                start = 0
+                while start < len(ids):
+                    nth = np.searchsorted(ends, start + ROW_IDS)
+                    end = int(ends[nth]) if nth < len(ends) else len(ids)
+                    row = ids[start:end]
+                    beyond = [] if known.whole else words.slice(start, end - start).filter(pa.array(row == BEYOND)).cast(pa.string()).to_pylist()
+                    for column, value in zip(out, (lang, row.tobytes(), beyond), strict=True):
+                        column.append(value)
+                    start = end
             if out[0]:
                 yield record_batch(_ENCODED, out)
 
-    return run
+    return _tidy(run)
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and how often each occurs, or the sums of its counts. Keys without counts are sorted in place."""
+    if counts is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.append(len(keys) > 0, np.diff(keys) > 0)) if len(keys) else np.zeros(0, np.int64)
+    sums = np.diff(starts, append=len(keys)) if counts is None else np.add.reduceat(counts, starts) if len(starts) else counts
+    return keys[starts], sums
 
 
 def _tile_rows(keys: np.ndarray, parts: int, dense_ids: int):
-    """Counted pairs, packed: dense tiles by cell, then the rest sorted and dealt to ``parts`` tiles."""
-    left, right = keys >> 24, keys & 0xFFFFFF
-    dense = (left < dense_ids) & (right < dense_ids)
-    rows = []
-    if dense.any():
-        n = dense_ids // SIDE
-        cells = np.bincount(left[dense] * dense_ids + right[dense], minlength=dense_ids * dense_ids).reshape(n, SIDE, n, SIDE)
-        for i in range(n):
-            for j in range(n):
-                tile = np.ascontiguousarray(cells[i, :, j, :]).ravel()
-                full = np.flatnonzero(tile)
-                if len(full):
-                    rows.append((-1 - (i * n + j), full.astype(np.uint16).tobytes(), tile[full].astype(np.uint32).tobytes()))
-    found, counts = np.unique(keys[~dense], return_counts=True)
-    tile = (spread_bits(found) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(tile, kind="stable")
-    found, counts = found[order], counts[order].astype(np.uint32)
-    ends = np.searchsorted(tile[order], np.arange(parts + 1))
-    for t in range(parts):
-        part = slice(ends[t], ends[t + 1])
-        if ends[t] < ends[t + 1]:
-            # Bytes of equal weight side by side: sorted keys compress well that way.
-            packed = found[part].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-            rows.append((t, packed, counts[part].tobytes()))
+    """Counted pairs, packed: dense tiles by cell, then the rest sorted and dealt to ``parts`` tiles. Sorts ``keys`` in place."""
+    found, counts = _counted(keys)
+    counts = counts.astype(np.uint32)
+    dense = ((found >> 24) < dense_ids) & ((found & 0xFFFFFF) < dense_ids)
+    rows, n = [], dense_ids // SIDE
+
+    def dealt(tile: np.ndarray, number: int):
+        order = np.argsort(tile, kind="stable")
+        ends = np.searchsorted(tile[order], np.arange(number + 1))
+        return ((t, order[ends[t] : ends[t + 1]]) for t in np.flatnonzero(np.diff(ends)).tolist())
+
+    keys, cells = found[dense], counts[dense]
+    for t, part in dealt(((keys >> 24) // SIDE * n + (keys & 0xFFFFFF) // SIDE).astype(np.int32), n * n):
+        full = (keys[part] >> 24) % SIDE * SIDE + (keys[part] & 0xFFFFFF) % SIDE
+        rows.append((-1 - t, full.astype(np.uint16).tobytes(), cells[part].tobytes()))
+    found, counts = found[~dense], counts[~dense]
+    for t, part in dealt((spread_bits(found) % np.uint64(parts)).astype(np.int32), parts):
+        # Bytes of equal weight side by side: sorted keys compress well that way.
+        packed = found[part].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        rows.append((t, packed, counts[part].tobytes()))
     return record_batch(_TILES, [list(c) for c in zip(*rows, strict=True)]) if rows else None
 
 
+def _runs_of_ids(batches):
+    """Rows of ids, joined to runs of about ``LOOKUP_IDS`` with a break after each row."""
+    held, size = [], 0
+    for batch in batches:
+        for row in batch.column(0):
+            ids = np.frombuffer(row.as_buffer(), np.int32)
+            held += [ids.astype(np.int64), np.full(1, BREAK, np.int64)]
+            size += len(ids) + 1
+            if size >= LOOKUP_IDS:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _count_pairs(head, parts: int, limits: Limits):
     """Packed counts of (phrase with an id, following word with an id), where the phrase without its first word has an id, too."""
 
@@ -234,28 +302,27 @@ def _count_pairs(head, parts: int, limits: Limits):
         held, size = [], 0
 
         def flush():
-            out = _tile_rows(np.concatenate(held), parts, limits.dense) if held else None
+            keys = np.concatenate(held) if held else None
             held.clear()
+            out = None if keys is None else _tile_rows(keys, parts, limits.dense)
             return () if out is None else steps([out], 50)
 
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                ids = np.frombuffer(ids, np.int32).astype(np.int64)
-                ranks = _unit_ranks(known, ids)
-                longest = ranks[-1]
-                if len(longest) < 2:
-                    continue
-                last = ranks[0][len(known.levels) + 1 :]
-                left = longest[: len(last)]
-                there = (left >= 0) & (longest[1 : len(last) + 1] >= 0) & (last >= 0)
-                held.append(_joined(left[there], last[there]))
-                size += len(held[-1])
-                if size >= limits.pairs:
-                    yield from flush()
-                    size = 0
+        for ids in _runs_of_ids(batches):
+            ranks = _unit_ranks(known, ids)
+            longest = ranks[-1]
+            if len(longest) < 2:
+                continue
+            last = ranks[0][len(known.levels) + 1 :]
+            left = longest[: len(last)]
+            there = (left >= 0) & (longest[1 : len(last) + 1] >= 0) & (last >= 0)
+            held.append(_joined(left[there], last[there]))
+            size += len(held[-1])
+            if size >= limits.pairs:
+                yield from flush()
+                size = 0
         yield from flush()
 
-    return run
+    return _tidy(run)
 
 
 def _add_tiles(head, min_count: int, limits: Limits):
@@ -263,15 +330,12 @@ def _add_tiles(head, min_count: int, limits: Limits):
 
     def run(batches):
         known = head.value
-        langs, words = np.array(known.langs, object), np.array(known.words, object)
         tile, dense, sparse, size = None, None, [], 0
 
         def merged():
             keys, counts = (np.concatenate(x) for x in zip(*sparse, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            starts = np.flatnonzero(np.append(True, np.diff(keys) > 0))
-            return keys[starts], np.add.reduceat(counts, starts)
+            sparse.clear()
+            return _counted(keys, counts)
 
         def rows():
             if dense is not None:
@@ -289,11 +353,10 @@ def _add_tiles(head, min_count: int, limits: Limits):
                 cuts = range(1, ids.shape[1])
                 ls = np.stack([_counts_of(known, ids[:, :k]) for k in cuts], axis=1)
                 rs = np.stack([_counts_of(known, ids[:, k:]) for k in cuts], axis=1)
-                phrases = [" ".join(p) for p in words[ids]]
-                yield record_batch(_FOUND, [langs[ids[:, 0]].tolist(), phrases, n, a, b.astype(np.int32), ls.tolist(), rs.tolist()])
+                yield record_batch(_FOUND, [known.langs_of(ids[:, 0]), known.texts(ids), n, a, b.astype(np.int32), ls.tolist(), rs.tolist()])
 
         for batch in batches:
-            for t, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, cells, counts in zip(batch.column(0).to_pylist(), *(map(pa.BinaryScalar.as_buffer, c) for c in batch.columns[1:]), strict=True):
                 if t != tile:
                     if tile is not None:
                         yield from rows()
@@ -312,7 +375,7 @@ def _add_tiles(head, min_count: int, limits: Limits):
         if tile is not None:
             yield from rows()
 
-    return run
+    return _tidy(run)
 
 
 def _count_texts(head, width: int, every: bool, limits: Limits):
@@ -343,15 +406,18 @@ def _count_texts(head, width: int, every: bool, limits: Limits):
                 else:
                     longest = _unit_ranks(known, ids)[-1]
                     chosen = inside & (bare | (longest[:n] < 0) | (longest[1 : n + 1] < 0))
-                names = iter(beyond)
-                texts = [known.words[i] if i >= 0 else next(names) if i == BEYOND else None for i in ids.tolist()]
+                at = np.flatnonzero(chosen)
+                if not len(at):
+                    continue
+                words = known.words.take(pa.array(ids, mask=ids < 0)) if len(known.words) else pa.nulls(len(ids), pa.string())
+                words = pc.replace_with_mask(words, pa.array(ids == BEYOND), pa.array(beyond, pa.string()))
                 found = held.setdefault(lang, Counter())
-                found.update(" ".join(texts[i : i + width]) for i in np.flatnonzero(chosen).tolist())
+                found.update(pc.binary_join_element_wise(*(words.take(pa.array(at + k)) for k in range(width)), " ").to_pylist())
             if sum(map(len, held.values())) >= limits.words:
                 yield from rows()
         yield from rows()
 
-    return run
+    return _tidy(run)
 
 
 def _top_by_count(df: DataFrame, count: str, limit: int) -> tuple[DataFrame, bool]:
@@ -376,9 +442,9 @@ def _level(found: DataFrame, limit: int) -> tuple[Level, bool]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     by_rank = np.lexsort((keys, -counts))
-    rank = np.empty(len(keys), np.int64)
-    rank[by_rank] = np.arange(len(keys))
-    return Level(keys, rank, counts, keys[by_rank]), whole
+    rank = np.empty(len(keys), np.int32)
+    rank[by_rank] = np.arange(len(keys), dtype=np.int32)
+    return Level(keys, rank, counts, by_rank.astype(np.int32)), whole
 
 
 def count_phrases(
@@ -394,14 +460,16 @@ def count_phrases(
     Phrases are ``lang, phrase, a, left, right, l, r``; ``l`` and ``r`` hold the counts of the parts at each cut.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark, BATCH_BYTES)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNDEFINED)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = rows.mapInArrow(_count_words(limits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = stored(words, "words")
+    n_words = words.agg(F.sum("n")).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // limits.per_tile)
 
     top, whole = _top_by_count(words.where(F.col("n") >= min_count), "n", limits.head_words)
     table = top.toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])  # at most ``limits.head_words`` rows
-    head = Head(table["lang"].to_pylist(), table["phrase"].to_pylist(), table["n"].to_numpy().astype(np.int64), whole)
+    head = Head.of(table, whole)
     shared = spark.sparkContext.broadcast(head)
     encoded = stored(rows.mapInArrow(_encode(shared), "lang string, ids binary, beyond array<string>"), "encoded", compression="zstd")
 
@@ -420,7 +488,7 @@ def count_phrases(
         if width < max_words:
             level, complete = _level(found, limits.head_phrases)
             every = every and complete
-            head = Head(head.langs, head.words, head.counts, whole, [*head.levels, level])
+            head = Head(head.langs, head.lang, head.words, head.counts, whole, [*head.levels, level])
             shared = spark.sparkContext.broadcast(head)
     return words, levels
 

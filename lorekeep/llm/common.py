@@ -21,9 +21,11 @@ SLICE_CHARS = 1_000_000
 STEP_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of as many rows in this session, so that long texts do not fill workers and buffers."""
+def small_batches(spark: SparkSession, max_bytes: int | None = None) -> None:
+    """Arrow batches of as many rows in this session, and bytes if given, so that long texts do not fill workers and buffers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STEP_ROWS))
+    if max_bytes is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
