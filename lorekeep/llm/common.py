@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.operators.common import shared_folder
+from lorekeep.operators.common import give_back, shared_folder
 
 #: Texts are worked on in slices of about so many characters, which bounds what a worker holds besides its batch.
 SLICE_CHARS = 1_000_000
@@ -78,14 +75,6 @@ def over_batches(make: Callable) -> Callable:
     return run
 
 
-def give_back() -> None:
-    """Return what a finished task has freed to the system: workers go on to other stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -8,13 +8,14 @@ for the terms of the queries only, and its few rows are joined and summed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,6 +25,7 @@ from lorekeep.functions.tokens import Tokenizer, term_counts
 from lorekeep.operators.common import (
     BROADCAST_ROWS,
     broadcast_if_small,
+    dealt,
     has_at_most,
     is_one_of,
     materialize,
@@ -32,6 +34,7 @@ from lorekeep.operators.common import (
     unnest,
     unnest_values,
 )
+from lorekeep.operators.runs import by_text, only_blocks, over_runs, small_batches
 from lorekeep.operators.topk import BestPerQuery, hit_schema, query_key
 
 # Default parameters of the ranking function.
@@ -82,6 +85,15 @@ def term_weight(tf, doc_len, avg_len, idf):
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
+@dataclass(frozen=True)
+class Packed:
+    """Postings in runs (see ``runs``) with ``segment``, their live texts, and ``segment, run, gone``, places of texts that are not live."""
+
+    rows: DataFrame
+    texts: DataFrame
+    gone: DataFrame | None
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings with the two tables of statistics that BM25 needs."""
@@ -92,8 +104,10 @@ class LexicalIndex:
     ids: tuple[str, ...]
     tokenizer: Tokenizer
     terms: DataFrame | None = None
-    #: Of a segmented index: ``segment, block, term, max_tf, min_len, n``; its postings have ``segment`` and ``block``, too.
+    #: Of a segmented index: ``segment, block, term, max_tf, min_len, n``; its postings have ``segment`` and ``block``, too,
+    #: and are unpacked from ``packed`` where they are read.
     blocks: DataFrame | None = None
+    packed: Packed | None = None
 
     @staticmethod
     def of(
@@ -223,7 +237,7 @@ class _Asked:
         blocks = ["segment", "block"] if chosen is not None else []
         # Partitioned by text id once, the sums below need no further exchange. A task sums about as many weights, whatever the number of texts.
         n = self.n_weights if chosen is None else chosen.agg(F.sum("n")).first()[0] or 0
-        posted = posted.select(*ids, "doc_len", "term", "tf", *blocks).repartition(tasks_for(posted.sparkSession, n), ids[0])
+        posted = dealt(posted.select(*ids, "doc_len", "term", "tf", *blocks), n, ids[0])
         if self.words is not None and broadcast_if_small(self.wanted)[1]:
             matched = posted.join(F.broadcast(self.weighted), "term")
         else:
@@ -268,24 +282,82 @@ def bm25_pruned(index: LexicalIndex, queries: DataFrame, pool: int, staging: str
     asked = _Asked.of(index, queries, staging)
     bounds = block_bounds(asked)
     before = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block").rowsBetween(Window.unboundedPreceding, -1)
-    is_first = F.coalesce(F.sum("n").over(before), F.lit(0)) < FIRST_POSTINGS * pool
+    alone = _names_one_text(index)
+    # Texts of one id count together, whatever their blocks: the bound of one block says nothing about them.
+    is_first = F.coalesce(F.sum("n").over(before), F.lit(0)) < FIRST_POSTINGS * pool if alone else F.lit(True)
     bounds = materialize(bounds.withColumn("is_first", is_first), staging)
     first = bounds.where("is_first")
-    posted = asked.postings()
     order = [F.desc("score"), F.asc(index.ids[0])]
-    found = materialize(top_per_group(asked.scores(_in_blocks(posted, first), first), ["query_id"], order, pool).drop("rank"), staging)
+    runs = _run_scorer(asked, pool) if alone else None
+    if runs is None:
+        posted = asked.postings()
+        firsts = asked.scores(_in_blocks(posted, first), first)
+    else:
+        firsts = runs(first)
+    with small_batches(queries.sparkSession):
+        found = materialize(top_per_group(firsts, ["query_id"], order, pool).drop("rank"), staging)
     # With fewer than ``pool`` texts there is no score to reach. Scores are rounded, so bounds get that much room.
     reached = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= pool, F.min("score")).alias("least"))
     open_ = F.col("least").isNull() | (F.col("bound") + 10.0**-SCORE_DIGITS >= F.col("least"))
     bounds = bounds.join(reached, "query_id", "left").withColumn("is_read", F.col("is_first") | open_).drop("least")
     bounds = materialize(bounds, staging)
     rest = bounds.where("is_read AND NOT is_first")
+    if runs is not None:  # texts of the first blocks were scored for all queries
+        rest = rest.join(broadcast_if_small(bounds.where("is_first").select("segment", "block").distinct())[0], ["segment", "block"], "left_anti")
     scored = found
     if not rest.isEmpty():
-        scored = found.unionByName(asked.scores(_in_blocks(posted, rest), rest))
+        if runs is None:
+            scored = found.unionByName(asked.scores(_in_blocks(posted, rest), rest))
+        else:  # the best rows of each task only
+            with small_batches(queries.sparkSession):
+                scored = found.unionByName(materialize(runs(rest), staging))
     return scored, bounds.drop("is_first")
 
 
+def _names_one_text(index: LexicalIndex) -> bool:
+    if index.packed is None:
+        return True
+    return index.packed.texts.groupBy(*index.ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _run_scorer(asked: _Asked, pool: int) -> Callable[[DataFrame], DataFrame] | None:
+    """Scores all queries on the texts of some blocks, run by run; None if there are too many queries. Ids must name one text each.
+
+    Postings stay packed until the task that has all those of a run; it turns them into counted texts, and the best rows leave it.
+    """
+    index = asked.index
+    if index.packed is None or asked.words is None or not has_at_most(asked.wanted, BROADCAST_ROWS):
+        return None
+    ids = list(index.ids)
+    spark = asked.wanted.sparkSession
+    spark_key, arrow_key = query_key(asked.weighted.schema["query_id"].dataType)
+    schema = hit_schema(index.packed.texts, ids, spark_key)
+    pairs = asked.weighted.collect()
+    weights = {r["term"]: r["idf"] for r in pairs}
+    names, table = _query_table(pairs, lambda words: np.array([weights[w] for w in words]))
+    shared = spark.sparkContext.broadcast(table)
+    avg_len = pairs[0]["avg_len"] if pairs else 0.0
+    scan = _scorer(shared, names, ids, pool, avg_len, arrow_key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scan(b.select([*ids, "doc_len", "terms"]) for b in by_text(batches, ids, False))
+
+    def score(chosen: DataFrame) -> DataFrame:
+        if not pairs:
+            return spark.createDataFrame([], schema)
+        rows = index.packed.rows
+        rows = only_blocks(asked.of_terms(rows).unionByName(rows.where("term = ''")), chosen)
+        if index.packed.gone is None:
+            rows = rows.withColumn("gone", F.lit(None).cast("array<smallint>"))
+        else:
+            heads = rows.where("term = ''").join(index.packed.gone, ["segment", "run"], "left")
+            rows = rows.where("term <> ''").unionByName(heads, allowMissingColumns=True)
+        n = chosen.agg(F.sum("n")).first()[0] or 0
+        return over_runs(rows.select("segment", "run", "term", "at", "tf", "texts", "gone"), n, run, schema)
+
+    return score
+
+
 def _salted_join(posted: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
     """Join on term with every term spread over ``SALTS`` tasks."""
     salt = F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")
@@ -382,21 +454,37 @@ def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataF
     if not pairs:
         return spark.createDataFrame([], schema)
 
+    n_docs, avg_len = 0, 0.0
+
+    def weigh(words: list[str]) -> np.ndarray:
+        nonlocal n_docs, avg_len
+        n_docs, avg_len, frequency = _count_words(index.terms, words)
+        return np.log10((n_docs - frequency + 0.5) / (frequency + 0.5) + 1)
+
+    names, table = _query_table(pairs, weigh)
+    scan = _scorer(spark.sparkContext.broadcast(table), names, ids, pool, avg_len, arrow_key)
+    return index.terms.select(*ids, "doc_len", "terms").mapInArrow(scan, schema)
+
+
+def _query_table(pairs: list, weigh: Callable[[list[str]], np.ndarray]) -> tuple[list, dict]:
+    """Names of the queries, and a sparse term-by-query table of rows ``query_id, term``; ``weigh``: the idf of words."""
     names = sorted({p["query_id"] for p in pairs})
     slot = {name: n for n, name in enumerate(names)}
     asked: dict[str, list[int]] = {}
     for p in pairs:
         asked.setdefault(p["term"], []).append(slot[p["query_id"]])
     words = sorted(asked)
-    n_docs, avg_len, frequency = _count_words(index.terms, words)
-    table = spark.sparkContext.broadcast(
-        {
-            "words": words,
-            "idf": np.log10((n_docs - frequency + 0.5) / (frequency + 0.5) + 1),
-            "first": np.cumsum([0, *[len(asked[w]) for w in words]]),
-            "queries": np.array([q for w in words for q in asked[w]], dtype=np.int64),
-        }
-    )
+    table = {
+        "words": words,
+        "idf": weigh(words),
+        "first": np.cumsum([0, *[len(asked[w]) for w in words]]),
+        "queries": np.array([q for w in words for q in asked[w]], dtype=np.int64),
+    }
+    return names, table
+
+
+def _scorer(table: Broadcast, names: list, ids: list[str], pool: int, avg_len: float, arrow_key: pa.DataType):
+    """From batches of ``ids, doc_len, terms`` to the best rows of every query."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
@@ -437,4 +525,4 @@ def _score_in_place(index: LexicalIndex, queries: DataFrame, pool: int) -> DataF
                     best.offer(int(pair[low] // batch.num_rows), scores[low:high], rows.take(pa.array(matched)))
         yield from best.batches(arrow_key)
 
-    return index.terms.select(*ids, "doc_len", "terms").mapInArrow(scan, schema)
+    return scan

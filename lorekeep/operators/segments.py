@@ -1,12 +1,12 @@
 """A lexical index that follows a table commit by commit.
 
-Every refresh tokenises the rows of new batches only and writes them as one immutable segment: counted texts, postings sorted by
-term and block, bounds per block and document frequencies. Statistics of the whole are sums over segments. Rows that are gone are
+Every refresh tokenises the rows of new batches only and writes them as one immutable segment: postings in runs (``runs``), the texts
+of the runs, bounds per block and document frequencies. Statistics of the whole are sums over segments. Rows that are gone are
 known by id and batch; what they contributed is kept beside the segments, per version of the table, and subtracted when a query is
 asked. As soon as ``FAN_OUT`` segments are of similar size they are merged from their postings, without what is gone, so that a
 table of n rows has O(log n) segments and a posting is rewritten O(log n) times.
 
-Blocks are runs of ``BLOCK_TEXTS`` texts of similar length, the same for all terms of a segment. The largest term frequency and
+Blocks are ``BLOCK_TEXTS`` texts of a run, of similar length, the same for all terms of a segment. The largest term frequency and
 the least length in a block bound the weight of a term there, whatever the statistics are later.
 """
 
@@ -21,12 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.tokens import Tokenizer
-from lorekeep.operators.common import broadcast_if_small, materialize, tasks_for, unnest
-from lorekeep.operators.lexical import LexicalIndex, term_table
+from lorekeep.operators.common import broadcast_if_small, has_at_most
+from lorekeep.operators.lexical import LexicalIndex, Packed, term_table
+from lorekeep.operators.runs import blocks_of, packed, small_batches, texts_in, texts_with_terms
 
 FAN_OUT = 8
 BLOCK_TEXTS = 128
+# Places of texts that are gone; so many narrow rows are broadcast.
+GONE_ROWS = 1_000_000
 _PARTS = ("texts", "postings", "blocks", "frequencies")
+# Segments of another layout are not read; their batches are indexed anew, and ``sweep`` deletes them.
+LAYOUT = "runs"
 
 
 @dataclass(frozen=True)
@@ -62,7 +67,9 @@ class SegmentStore:
                 stream = self._fs.open(self._path(f"{self.path}/_log/{name}"))
                 text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
                 stream.close()
-                entries.append(json.loads(text))
+                entry = json.loads(text)
+                if entry.get("layout") == LAYOUT:
+                    entries.append(entry)
         replaced = {n for e in entries for n in e["replaces"]}
         live, covered = [], set()
         for e in entries:
@@ -80,7 +87,7 @@ class SegmentStore:
         return number
 
     def _publish(self, number: int, batches: list[int], texts: int, replaces: list[int]) -> None:
-        entry = {"number": number, "batches": sorted(batches), "texts": texts, "replaces": replaces}
+        entry = {"number": number, "batches": sorted(batches), "texts": texts, "replaces": replaces, "layout": LAYOUT}
         # Renamed into place, so a reader never sees half an entry.
         draft = self._path(f"{self.path}/_drafts/{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
@@ -99,26 +106,19 @@ class SegmentStore:
 
     def _write(self, terms: DataFrame, batches: list[int], replaces: list[int]) -> Segment:
         """``terms``: ids, batch, doc_len, terms."""
-        number, key = self._reserve(), self.ids[0]
-        place = F.monotonically_increasing_id()
-        block = F.shiftleft(F.shiftright(place, 33), 32) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK_TEXTS)
-        # Written once: ranges are drawn from a first look at the rows, which would tokenise them twice.
-        terms = materialize(terms, f"{self.path}/_staging")
-        counted = terms.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
-        n_tasks = tasks_for(self.spark, counted["postings"])
-        ordered = terms.repartitionByRange(n_tasks, "doc_len", key).sortWithinPartitions("doc_len", key)
-        ordered.withColumn("block", block.cast("long")).write.mode("overwrite").parquet(self._folder(number, "texts"))
-        texts = self.spark.read.parquet(self._folder(number, "texts"))
-        posted = unnest(texts, [*self.ids, "batch", "block", "doc_len"], F.col("terms"))
-        # Sorted files: the terms of a query, and their blocks, are found by the statistics of row groups and pages.
-        posted.repartitionByRange(n_tasks, "term", "block", key).sortWithinPartitions("term", "block", key).write.mode("overwrite").parquet(self._folder(number, "postings"))
-        # The ranges hold whole blocks, so a task groups its own rows without another exchange.
-        ranged = self.spark.read.parquet(self._folder(number, "postings")).select("term", "block", "tf", "doc_len").repartitionByRange(n_tasks, "term", "block")
-        bounds = ranged.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count(F.lit(1)).alias("n"))
-        bounds.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(self._folder(number, "blocks"))
-        blocks = self.spark.read.parquet(self._folder(number, "blocks"))
-        blocks.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(self._folder(number, "frequencies"))
-        segment = Segment(number, tuple(batches), counted["texts"])
+        number = self._reserve()
+
+        def write(part: str, rows: DataFrame) -> DataFrame:
+            with small_batches(self.spark):
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(self._folder(number, part))
+            return self.spark.read.schema(rows.schema).parquet(self._folder(number, part))
+
+        # Tokenised and written once, by the same tasks; the other parts are read off the packed postings without an exchange.
+        rows = write("postings", packed(terms, self.ids, BLOCK_TEXTS))
+        texts = write("texts", texts_in(rows))
+        write("blocks", blocks_of(rows))
+        write("frequencies", rows.where("term <> ''").groupBy("term").agg(F.sum(F.size("at")).alias("df")))
+        segment = Segment(number, tuple(batches), texts.count())
         self._publish(number, batches, segment.texts, replaces)
         return segment
 
@@ -143,26 +143,43 @@ class SegmentStore:
         for group in tiers.values():
             if len(group) >= FAN_OUT:
                 key = self.ids[0]
-                terms = self._read(group, "texts").drop("block", "segment")
+                n = self._read(group, "frequencies").agg(F.sum("df")).first()[0] or 0
+                terms = texts_with_terms(self._read(group, "postings"), n, self.ids)
                 live = rows.select(key, "batch")
                 kept = terms.join(live, [key, "batch"], "left_semi").select(*self.ids, "batch", "doc_len", "terms")
                 self._write(kept, [b for s in group for b in s.batches], [s.number for s in group])
                 return
 
+    def _places(self, gone: DataFrame) -> DataFrame:
+        """``segment, run, at`` of the texts that are gone; an id or a batch that is NULL equals none."""
+        return gone.where(F.col(self.ids[0]).isNotNull() & F.col("batch").isNotNull()).select("segment", "run", "at")
+
+    def _words_of(self, gone: DataFrame, segments: list[Segment]) -> DataFrame:
+        """``term, df``: how many of the texts that are gone hold each term, once or more often in the result."""
+        places = self._places(gone)
+        of = {r["segment"] for r in places.select("segment").distinct().collect()}
+        if not of:
+            return self.spark.createDataFrame([], "term string, df long")
+        posted = self._read([s for s in segments if s.number in of], "postings").where("term <> ''").select("segment", "run", "term", "at")
+        if has_at_most(places, GONE_ROWS):
+            each = posted.select("segment", "run", "term", F.explode("at").alias("at"))
+            return each.join(F.broadcast(places), ["segment", "run", "at"], "left_semi").select("term", F.lit(1).cast("long").alias("df"))
+        by_run = places.groupBy("segment", "run").agg(F.collect_list("at").alias("gone"))  # at most the texts of a run
+        held = F.size(F.array_intersect("at", "gone")).cast("long")
+        return posted.join(by_run, ["segment", "run"]).select("term", held.alias("df")).where("df > 0")
+
     def _gone_folder(self, version: str) -> str:
-        return f"{self.path}/gone/version={version}"
+        return f"{self.path}/gone_places/version={version}"
 
     def _write_gone(self, rows: DataFrame, version: str) -> None:
         """Ids and batches of indexed texts that are no longer current, and how often each of their terms counts."""
         key, segments = self.ids[0], self.segments()
         known = self._read(segments, "texts")
-        gone = known.select(key, "batch", "segment", "doc_len").join(rows.select(key, "batch"), [key, "batch"], "left_anti")
+        gone = known.select(key, "batch", "segment", "doc_len", "run", "at").join(rows.select(key, "batch"), [key, "batch"], "left_anti")
         folder = self._gone_folder(version)
         gone.write.mode("overwrite").parquet(f"{folder}/texts")
-        gone = self.spark.read.parquet(f"{folder}/texts")
-        small, _ = broadcast_if_small(gone.select(key, "batch"))
-        words = known.join(small, [key, "batch"], "left_semi").select(F.explode("terms.term").alias("term"))
-        words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/frequencies")
+        words = self._words_of(self.spark.read.parquet(f"{folder}/texts"), segments)
+        words.groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{folder}/frequencies")
         covers = self.spark.createDataFrame([(s.number,) for s in segments], "segment long")
         covers.write.mode("overwrite").parquet(f"{folder}/segments")  # last: with it the version is complete
 
@@ -184,16 +201,19 @@ class SegmentStore:
         counted = self._read(live, "frequencies").select("term", "df").unionByName(taken.select("term", (-F.col("df")).alias("df")))
         frequencies = counted.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0)
 
-        posted = self._read(live, "postings")
+        rows, known, by_run = self._read(live, "postings"), self._read(live, "texts"), None
         if not gone.isEmpty():
-            posted = posted.join(broadcast_if_small(gone.select(key, "batch"))[0], [key, "batch"], "left_anti")
-        return LexicalIndex(posted, frequencies, stats, tuple(self.ids), self.tokenizer, blocks=self._read(live, "blocks"))
+            known = known.join(broadcast_if_small(gone.select(key, "batch"))[0], [key, "batch"], "left_anti")
+            by_run = self._places(gone).groupBy("segment", "run").agg(F.collect_list("at").alias("gone"))
+        each = rows.where("term <> ''").select("segment", "run", "term", F.explode(F.arrays_zip("at", "tf")).alias("_p")).select("segment", "run", "term", "_p.*")
+        posted = each.join(known, ["segment", "run", "at"]).drop("run", "at")
+        return LexicalIndex(posted, frequencies, stats, tuple(self.ids), self.tokenizer, blocks=self._read(live, "blocks"), packed=Packed(rows, known, by_run))
 
     def sweep(self, version: str) -> int:
         """Delete parts of segments and versions that nothing reads any more; how many folders."""
         live = {self._folder(s.number, part) for s in self.segments() for part in _PARTS} | {self._gone_folder(version)}
         deleted = 0
-        for part in (*_PARTS, "gone", "_staging/lorekeep"):
+        for part in (*_PARTS, "gone", "gone_places", "_staging/lorekeep"):
             folder = self._path(f"{self.path}/{part}")
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
                 name = f"{self.path}/{part}/{status.getPath().getName()}"
