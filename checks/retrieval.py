@@ -12,7 +12,7 @@ from lorekeep.functions.text import bind
 from lorekeep.functions.tokens import Tokenizer
 from lorekeep.operators import fusion, lexical
 from lorekeep.operators.cells import Cells
-from lorekeep.operators.common import shared_folder, top_per_group
+from lorekeep.operators.common import broadcast_if_small, shared_folder, top_per_group
 from lorekeep.operators.lexical import LexicalIndex, bm25_search
 from lorekeep.operators.nearest import cosine
 from lorekeep.operators.segments import SegmentStore
@@ -50,7 +50,9 @@ def bm25_after_commits(spark, d):
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     labels = V.read(spark, d, "labels")
     toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
-    poor = rows.join(labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    # Few narrow keys are broadcast, so that the texts are not sent across the network to find those of low quality.
+    low = broadcast_if_small(labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct(), 1_000_000)[0]
+    poor = rows.join(low, "doc_id", "left_semi")
     steps = [
         {"inserts": {"document_content": rows.where(english)}},
         {"inserts": {"document_content": rows.where(~english)}},
